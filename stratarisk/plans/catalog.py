@@ -201,3 +201,243 @@ def q_sample_n_per_cell(spark, sf_dir):
     s = K.sample_n_per_group(test, ["stratum", "outcome"], "id", C.SHAP_SAMPLE,
                              max_groups=FX.n_cells(spark))
     return s.select(F.col("id").alias("row_id"), "stratum", "outcome", "sample_rank")
+
+
+# ---------------------------------------------------------------------------
+# 2. Metrics over the scored table (hold-out rows)
+# ---------------------------------------------------------------------------
+
+from stratarisk.operators import compare as CMP  # noqa: E402
+from stratarisk.operators import fairness as FAIR  # noqa: E402
+from stratarisk.operators import metrics as M  # noqa: E402
+from stratarisk.plans import oracle as O  # noqa: E402
+
+CELL = ["stratum", "outcome"]
+CELL_ALGO = CELL + ["algo"]
+BASE = FX.STANDIN_BASELINE
+
+
+def _algos(spark):
+    return C.algos_dim(spark, FX.STANDIN_ALGOS, BASE)
+
+
+def _holdout(spark, sf_dir):
+    return FX.scored(spark, sf_dir).where(F.col("is_test"))
+
+
+def _holdout_metrics(spark, sf_dir):
+    return M.cell_metrics(_holdout(spark, sf_dir), CELL_ALGO)
+
+
+def _best(spark, sf_dir):
+    return CMP.best_algo(M.auc(_holdout(spark, sf_dir), CELL_ALGO), CELL, _algos(spark))
+
+
+def _best_scored(spark, sf_dir):
+    return FAIR.best_rows(FX.scored(spark, sf_dir), _best(spark, sf_dir), CELL)
+
+
+SQL_EXTRA = {
+    "test": (["scored"], "select * from scored where is_test"),
+    "ho_auc": (["test"], f"select * from {O.auc_sql('test', CELL_ALGO)} z"),
+    "ho_conf": (["test"], f"select * from {O.conf_sql('test', CELL_ALGO)} z"),
+    "ho_prf": (["ho_conf"], f"select * from {O.prf_sql('ho_conf', CELL_ALGO)} z"),
+    "best": (["ho_auc", "algos"], f"""
+        select stratum, outcome, algo as best_algo, a4 as best_auc from (
+          select h.*, {O.r4('h.auc')} as a4,
+            row_number() over (partition by stratum, outcome order by {O.r4('h.auc')} desc, a.algo_order) as rn
+          from ho_auc h join algos a using (algo)
+          where h.algo <> '{BASE}' and h.auc is not null) z where rn = 1"""),
+    "best_scored": (["scored", "best"], """
+        select s.* from scored s join best b
+          on s.stratum = b.stratum and s.outcome = b.outcome and s.algo = b.best_algo"""),
+    "best_test": (["best_scored"], "select * from best_scored where is_test"),
+    "fair_cells": (["best_test"], f"""
+        select a.stratum, a.outcome, a.algo, {O.r4('a.auc')} as auc, {O.r4('c.tpr')} as tpr,
+          {O.r4('c.fpr')} as fpr, {O.r4('e.ece')} as ece, a.n
+        from {O.auc_sql('best_test', CELL_ALGO)} a
+        join {O.conf_sql('best_test', CELL_ALGO)} c using (stratum, outcome, algo)
+        join {O.ece_sql('best_test', CELL_ALGO)} e using (stratum, outcome, algo)"""),
+    "fold_metrics": (["scored"], f"""
+        select a.stratum, a.outcome, a.algo, a.fold, a.auc, p.f1, p.precision, p.recall
+        from {O.auc_sql('scored', CELL_ALGO + ['fold'])} a
+        join {O.prf_sql(O.conf_sql('scored', CELL_ALGO + ['fold']), CELL_ALGO + ['fold'])} p
+          using (stratum, outcome, algo, fold)"""),
+    "cv": (["fold_metrics"], f"""
+        select stratum, outcome, algo, cast(count(*) as bigint) as n_folds,
+          {O.r4('avg(auc)')} as cv_auc_mean, {O.r4('stddev_pop(auc)')} as cv_auc_std,
+          {O.r4('avg(f1)')} as cv_f1_mean, {O.r4('stddev_pop(f1)')} as cv_f1_std,
+          {O.r4('avg(precision)')} as cv_precision_mean, {O.r4('stddev_pop(precision)')} as cv_precision_std,
+          {O.r4('avg(recall)')} as cv_recall_mean, {O.r4('stddev_pop(recall)')} as cv_recall_std
+        from fold_metrics group by stratum, outcome, algo"""),
+}
+
+
+def W(*names):
+    return O.with_(*names, extra=SQL_EXTRA)
+
+
+@query("auc_by_cell", W("ho_auc") + "select * from ho_auc")
+def q_auc_by_cell(spark, sf_dir):
+    """Exact ROC AUC per (stratum, outcome, algo) on the hold-out, two-phase."""
+    return M.auc(_holdout(spark, sf_dir), CELL_ALGO)
+
+
+@query("confusion", W("ho_conf") + "select * from ho_conf")
+def q_confusion(spark, sf_dir):
+    """Confusion counts at p >= 0.5 with TPR / FPR (0 when undefined)."""
+    return M.confusion(_holdout(spark, sf_dir), CELL_ALGO)
+
+
+@query("ece", W("test") + f"select * from {O.ece_sql('test', CELL_ALGO)} z")
+def q_ece(spark, sf_dir):
+    """Expected calibration error, 10 bins of (lo, hi]."""
+    return M.ece(_holdout(spark, sf_dir), CELL_ALGO)
+
+
+@query("reliability_bins", W("test") + f"select * from {O.bins_sql('test', CELL_ALGO)} z")
+def q_reliability_bins(spark, sf_dir):
+    return M.reliability_bins(_holdout(spark, sf_dir), CELL_ALGO)
+
+
+@query("weighted_prf", W("ho_prf") + "select * from ho_prf")
+def q_weighted_prf(spark, sf_dir):
+    """Support-weighted precision, recall and F1."""
+    return M.weighted_prf(_holdout(spark, sf_dir), CELL_ALGO)
+
+
+@query("best_algo", W("best") + "select * from best")
+def q_best_algo(spark, sf_dir):
+    """Best non-baseline algorithm per cell by 4-dp AUC; ties keep list order."""
+    return _best(spark, sf_dir)
+
+
+@query("algo_comparison", W("ho_auc", "ho_prf", "best", "algos") + f"""
+, m as (select h.stratum, h.outcome, h.algo, a.algo_order, h.auc, p.f1, p.precision, p.recall
+        from ho_auc h join ho_prf p using (stratum, outcome, algo) join algos a using (algo))
+, b as (select stratum, outcome, {O.r4('auc')} as base from m where algo = '{BASE}')
+select m.stratum, m.outcome, m.algo, m.algo_order,
+  case when m.algo = '{BASE}' then 'baseline' when m.algo = best.best_algo then 'best' else 'compare' end as role,
+  {O.r4('m.auc')} as auc, {O.r4('m.f1')} as f1, {O.r4('m.precision')} as precision, {O.r4('m.recall')} as recall,
+  case when m.algo <> '{BASE}' and b.base is not null then {O.r4(O.r4('m.auc') + ' - b.base')} end as delta_vs_baseline
+from m left join best using (stratum, outcome) left join b using (stratum, outcome)""")
+def q_algo_comparison(spark, sf_dir):
+    """Flat comparison table: role, metrics and AUC delta against the baseline."""
+    met = _holdout_metrics(spark, sf_dir)
+    best = CMP.best_algo(met, CELL, _algos(spark))
+    return CMP.algo_comparison(met, best, CELL, _algos(spark))
+
+
+@query("auc_matrix", W("ho_auc", "best") + """
+select stratum, outcome, """ + ", ".join(
+    f"max(case when algo = '{a}' then {O.r4('auc')} end) as auc_{a}" for a in FX.STANDIN_ALGOS) + """,
+  max(best_algo) as best_algo
+from ho_auc left join best using (stratum, outcome) group by stratum, outcome""")
+def q_auc_matrix(spark, sf_dir):
+    """Cell x algorithm AUC pivot with the best algorithm marked."""
+    a = M.auc(_holdout(spark, sf_dir), CELL_ALGO)
+    return CMP.auc_matrix(a, CMP.best_algo(a, CELL, _algos(spark)), CELL, FX.STANDIN_ALGOS)
+
+
+def _fold_metrics(spark, sf_dir):
+    s = FX.scored(spark, sf_dir)
+    keys = CELL_ALGO + ["fold"]
+    a = M.auc(s, keys).select(*keys, "auc")
+    p = M.weighted_prf(s, keys).drop("n")
+    return a.join(p, keys)
+
+
+def _cv(spark, sf_dir):
+    return CMP.cv_summary(_fold_metrics(spark, sf_dir), CELL_ALGO)
+
+
+@query("cv_summary", W("cv") + """
+select *, printf('%.4f +- %.4f', cv_auc_mean, cv_auc_std) as cv_auc_text from cv""")
+def q_cv_summary(spark, sf_dir):
+    """5-fold CV per (cell, algo): mean and population std of AUC, F1, P, R."""
+    return _cv(spark, sf_dir)
+
+
+@query("cv_vs_holdout", W("cv", "ho_auc") + f"""
+select c.stratum, c.outcome, c.algo, c.cv_auc_mean, c.cv_auc_std, {O.r4('h.auc')} as ho_auc
+from cv c left join ho_auc h using (stratum, outcome, algo)""")
+def q_cv_vs_holdout(spark, sf_dir):
+    """CV summary with the hold-out AUC looked up by (cell, algo)."""
+    return CMP.cv_vs_holdout(_cv(spark, sf_dir), M.auc(_holdout(spark, sf_dir), CELL_ALGO), CELL_ALGO)
+
+
+CV_GAP_SQL = f"""
+, cvg as (select c.stratum, c.outcome, c.algo, {O.r4('h.auc')} as ho_auc, c.cv_auc_mean,
+            {O.r4('abs(c.cv_auc_mean - ' + O.r4('h.auc') + ')')} as gap
+          from cv c join best b on c.stratum = b.stratum and c.outcome = b.outcome and c.algo = b.best_algo
+          left join ho_auc h on h.stratum = c.stratum and h.outcome = c.outcome and h.algo = c.algo)
+"""
+
+
+@query("cv_gap", W("cv", "ho_auc", "best") + CV_GAP_SQL + f"""
+select *, {O.judge_sql('gap', 'G2_cv_gap')} as verdict from cvg""")
+def q_cv_gap(spark, sf_dir):
+    """Robustness: |CV mean - hold-out| AUC of the best algorithm, with verdict."""
+    a = M.auc(_holdout(spark, sf_dir), CELL_ALGO)
+    return CMP.cv_gap(_cv(spark, sf_dir), a, CMP.best_algo(a, CELL, _algos(spark)), CELL)
+
+
+def _fair_cells(spark, sf_dir):
+    return FAIR.fairness_cells(_best_scored(spark, sf_dir).where(F.col("is_test")), CELL)
+
+
+@query("fairness_cells", W("fair_cells") + "select * from fair_cells")
+def q_fairness_cells(spark, sf_dir):
+    """Per-cell hold-out AUC, TPR, FPR, ECE and n of the best algorithm."""
+    return _fair_cells(spark, sf_dir)
+
+
+FAIR_GAPS_SQL = f"""
+, fg0 as (select outcome, cast(count(*) as bigint) as n_strata,
+            {O.r4('max(auc) - min(auc)')} as delta_auc, {O.r4('max(tpr) - min(tpr)')} as delta_tpr,
+            {O.r4('max(fpr) - min(fpr)')} as delta_fpr, {O.r4('max(ece) - min(ece)')} as delta_ece
+          from fair_cells group by outcome having count(*) >= 2)
+, fg as (select outcome, n_strata, delta_auc, {O.r4('delta_tpr + delta_fpr')} as eq_odds, delta_ece from fg0)
+"""
+
+
+@query("fairness_gaps", W("fair_cells") + FAIR_GAPS_SQL + f"""
+select outcome, n_strata, delta_auc, {O.judge_sql('delta_auc', 'G1_delta_auc')} as auc_verdict,
+  eq_odds, {O.judge_sql('eq_odds', 'G1_eq_odds')} as eq_odds_verdict,
+  delta_ece, {O.judge_sql('delta_ece', 'G1_calib_ece')} as ece_verdict
+from fg""")
+def q_fairness_gaps(spark, sf_dir):
+    """AUC, equalized-odds and ECE gaps across strata with verdicts."""
+    return FAIR.fairness_gaps(_fair_cells(spark, sf_dir))
+
+
+@query("fairness_chart", W("fair_cells", "strata") + """
+, grid as (select s.stratum, s.stratum_order, o.outcome from strata s
+           cross join (values ('Diabetes'), ('Hypertension')) as o(outcome))
+, rng as (select outcome, min(auc) as auc_min, max(auc) as auc_max from fair_cells where auc > 0 group by outcome)
+select g.outcome, g.stratum, g.stratum_order, f.auc, f.tpr, f.fpr, r.auc_min, r.auc_max
+from grid g left join fair_cells f on f.stratum = g.stratum and f.outcome = g.outcome
+left join rng r on r.outcome = g.outcome""")
+def q_fairness_chart(spark, sf_dir):
+    """Chart table: every stratum in order, AUC / TPR / FPR, range of non-missing AUC."""
+    return FAIR.fairness_chart(_fair_cells(spark, sf_dir), C.strata_dim(spark), list(FX.OUTCOME_CODES))
+
+
+TEMPORAL_SQL = f"""
+, tp as (select stratum, outcome, algo, y, p6, 'holdout' as part from best_scored where is_test
+         union all
+         select stratum, outcome, algo, y, p6, 'temporal' as part from best_scored where year >= {FX.TEMPORAL_CUT})
+, ta as (select * from {O.auc_sql('tp', CELL_ALGO + ['part'])} z)
+, tg as (select h.stratum, h.outcome, h.algo, {O.r4('h.auc')} as ho_auc, {O.r4('t.auc')} as temporal_auc,
+           t.n as n_temporal, {O.r4('abs(h.auc - t.auc)')} as gap
+         from ta h join ta t on h.stratum = t.stratum and h.outcome = t.outcome and h.algo = t.algo
+         where h.part = 'holdout' and t.part = 'temporal' and t.n >= {C.TEMPORAL_MIN_ROWS}
+           and t.n_pos >= {C.TEMPORAL_MIN_POSITIVES} and t.n_neg > 0)
+"""
+
+
+@query("temporal_gap", W("best_scored") + TEMPORAL_SQL + f"""
+select *, {O.judge_sql('gap', 'G2_temporal_gap')} as verdict from tg""")
+def q_temporal_gap(spark, sf_dir):
+    """Hold-out vs latest-year AUC of the best algorithm, guarded, with verdict."""
+    return FAIR.temporal_gap(_best_scored(spark, sf_dir), CELL, FX.TEMPORAL_CUT)

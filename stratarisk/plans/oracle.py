@@ -117,3 +117,70 @@ def with_(*names: str, extra: dict[str, tuple[list[str], str]] | None = None) ->
     for n in names:
         visit(n)
     return "with " + ",\n".join(f"{n} as ({table[n][1]})" for n in order) + "\n"
+
+
+# ---- metric fragments (brute force) ----------------------------------------
+
+def auc_sql(src: str, keys: list[str]) -> str:
+    """Mid-rank (Mann-Whitney) AUC per group, exact integer numerator."""
+    k = ", ".join(keys)
+    return f"""(select {k}, cast(count(*) as bigint) as n, cast(sum(y) as bigint) as n_pos,
+        cast(count(*) - sum(y) as bigint) as n_neg,
+        case when sum(y) > 0 and count(*) - sum(y) > 0 then
+          cast(sum(case when y = 1 then 2 * r + ties - 1 else 0 end) - sum(y) * (sum(y) + 1) as double)
+          / (2.0 * cast(sum(y) as double) * cast(count(*) - sum(y) as double)) end as auc
+      from (select {k}, y, rank() over (partition by {k} order by p6) as r,
+                   count(*) over (partition by {k}, p6) as ties from {src}) z
+      group by {k})"""
+
+
+def _ratio(n: str, d: str) -> str:
+    return f"(case when ({d}) > 0 then cast({n} as double) / ({d}) else 0.0 end)"
+
+
+def conf_sql(src: str, keys: list[str], t6: int = 500000) -> str:
+    k = ", ".join(keys)
+    return f"""(select {k}, tp, fp, fn, tn, {_ratio('tp', 'tp + fn')} as tpr, {_ratio('fp', 'fp + tn')} as fpr
+      from (select {k},
+        cast(count_if(y = 1 and p6 >= {t6}) as bigint) as tp,
+        cast(count_if(y = 0 and p6 >= {t6}) as bigint) as fp,
+        cast(count_if(y = 1 and p6 < {t6}) as bigint) as fn,
+        cast(count_if(y = 0 and p6 < {t6}) as bigint) as tn
+      from {src} group by {k}) z)"""
+
+
+def _f1(p: str, r: str) -> str:
+    return f"(case when {p} + {r} > 0 then 2.0 * {p} * {r} / ({p} + {r}) else 0.0 end)"
+
+
+def prf_sql(conf: str, keys: list[str]) -> str:
+    k = ", ".join(keys)
+    p1, r1 = _ratio("tp", "tp + fp"), _ratio("tp", "tp + fn")
+    p0, r0 = _ratio("tn", "tn + fn"), _ratio("tn", "tn + fp")
+    s1, s0 = "cast(tp + fn as double)", "cast(tn + fp as double)"
+    n = f"({s0} + {s1})"
+
+    def wavg(m0, m1):
+        return f"(({s0} * {m0} + {s1} * {m1}) / {n})"
+
+    return f"""(select {k}, tp + fp + fn + tn as n, {wavg(p0, p1)} as precision,
+        {wavg(r0, r1)} as recall, {wavg(_f1(p0, r0), _f1(p1, r1))} as f1 from {conf} z)"""
+
+
+def bins_sql(src: str, keys: list[str], n_bins: int = 10) -> str:
+    k = ", ".join(keys)
+    return f"""(select {k}, bin, cast(count(*) as bigint) as n, cast(sum(y) as bigint) as sum_y,
+        cast(sum(p6) as bigint) as sum_p6, cast(sum(y) as double) / count(*) as mean_y,
+        cast(sum(p6) as double) / (1e6 * count(*)) as mean_p
+      from (select *, cast(floor((cast(p6 as bigint) * {n_bins} + 999999) / 1e6) as int) as bin from {src}) z
+      where bin > 0 group by {k}, bin)"""
+
+
+def ece_sql(src: str, keys: list[str], n_bins: int = 10) -> str:
+    k = ", ".join(keys)
+    on = " and ".join(f"a.{c} = b.{c}" for c in keys)
+    ka = ", ".join(f"a.{c}" for c in keys)
+    return f"""(select {ka}, a.n, cast(coalesce(b.g, 0) as double) / (1e6 * a.n) as ece
+      from (select {k}, cast(count(*) as bigint) as n from {src} group by {k}) a
+      left join (select {k}, sum(abs(sum_y * 1000000 - sum_p6)) as g from {bins_sql(src, keys, n_bins)} bb
+                 group by {k}) b on {on})"""
