@@ -113,7 +113,7 @@ RETRAIN_TRIGGERS = [
     ("robustness_cv_gap", "cv_gap", ">", 0.03),
     ("robustness_perturb_drop", "perturb_drop", ">", 0.03),
     ("transparency_hhi", "hhi", ">", 0.15),
-    ("accountability_model_card", "model_card", "<", 0.80),
+    ("accountability_model_card", "card_score", "<", 0.80),
     ("composite_score", "composite", "<", 0.60),
     ("small_sample", "min_positives", "<", 50.0),
 ]

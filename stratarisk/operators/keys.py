@@ -81,12 +81,38 @@ def stratified_folds(df: DataFrame, cell_cols: list[str], label_col: str, id_col
     return r.withColumn(out, ((F.col("_rk") - 1) % k).cast("int")).drop("_rk")
 
 
+def hash_top_k(df: DataFrame, group_cols: list[str], id_col: str, k: int, tag: str,
+               seed: int = C.SEED, bucket_bits: int = 16, out: str = "_rank",
+               salt_col: str | None = None, max_groups: int | None = None) -> DataFrame:
+    """The k rows with the smallest (h, id) per group, with their exact rank.
+
+    Only buckets whose offset is below k can hold a top-k row, so after the
+    (partial-aggregated) bucket count every other row is discarded before
+    anything is shuffled; ranking then runs on about k + n / 2^bits rows per
+    group, split by bucket.
+    """
+    parts = [F.col(id_col), tag, seed] + ([F.col(salt_col)] if salt_col else [])
+    d = (df.withColumn("_h", hash32(*parts))
+           .withColumn("_b", F.shiftright(F.col("_h"), 32 - bucket_bits)))
+    counts = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    off = counts.select(*group_cols, "_b",
+                        (F.sum("_cnt").over(Window.partitionBy(*group_cols).orderBy("_b"))
+                         - F.col("_cnt")).alias("_off"))
+    keep = off.where(F.col("_off") < F.lit(k))
+    bound = None if max_groups is None else max_groups * (1 << bucket_bits)
+    cand = d.join(bounded_broadcast(keep, bound), group_cols + ["_b"])
+    local = F.row_number().over(Window.partitionBy(*group_cols, "_b").orderBy("_h", id_col))
+    r = cand.withColumn("_rk_out", (F.col("_off") + local).cast("bigint"))
+    r = r.where(F.col("_rk_out") <= F.lit(k)).drop("_h", "_b", "_off")
+    return r.withColumnRenamed("_rk_out", out)
+
+
 def sample_n_per_group(df: DataFrame, group_cols: list[str], id_col: str, n: int,
                        seed: int = C.SEED, tag: str = "sample", out: str = "sample_rank",
-                       max_groups: int | None = None, bucket_bits: int = 12) -> DataFrame:
+                       max_groups: int | None = None, bucket_bits: int = 16) -> DataFrame:
     """Seeded sample without replacement: at most n rows per group (the rank is kept)."""
-    r = hash_rank(df, group_cols, id_col, tag, seed, bucket_bits, out, None, max_groups)
-    return r.where(F.col(out) <= F.lit(n))
+    return hash_top_k(df, group_cols, id_col, n, tag, seed, bucket_bits, out,
+                      max_groups=max_groups)
 
 
 def split_and_folds(df: DataFrame, cell_cols: list[str], label_col: str, id_col: str,

@@ -441,3 +441,187 @@ select *, {O.judge_sql('gap', 'G2_temporal_gap')} as verdict from tg""")
 def q_temporal_gap(spark, sf_dir):
     """Hold-out vs latest-year AUC of the best algorithm, guarded, with verdict."""
     return FAIR.temporal_gap(_best_scored(spark, sf_dir), CELL, FX.TEMPORAL_CUT)
+
+
+# ---------------------------------------------------------------------------
+# 3. Attribution summaries (stand-in: exact linear Shapley values on the sample)
+# ---------------------------------------------------------------------------
+
+from stratarisk.operators import attribution as AT  # noqa: E402
+from stratarisk.operators import grade as GR  # noqa: E402
+from stratarisk.operators import perturb as PT  # noqa: E402
+from stratarisk.operators import governance as GOV  # noqa: E402
+from stratarisk.functions.scalar import round_half_up  # noqa: E402
+
+STRATA_NAMES = [s[0] for s in C.STRATA]
+OUTCOMES = list(FX.OUTCOME_CODES)
+
+
+def _sample(spark, sf_dir):
+    test = FX.split_cells(spark, sf_dir).where(F.col("is_test"))
+    s = K.sample_n_per_group(test, CELL, "id", C.SHAP_SAMPLE, max_groups=FX.n_cells(spark))
+    return s.withColumnRenamed("id", "row_id")
+
+
+def _phi(spark, sf_dir):
+    return AT.linear_shapley(_sample(spark, sf_dir), CELL, FX.STANDIN_ATTRIBUTION,
+                             carry=["sample_rank"])
+
+
+def _imp(spark, sf_dir):
+    return AT.feature_importance(_phi(spark, sf_dir), CELL)
+
+
+def _r6(c):
+    return round_half_up(c, 6)
+
+
+def _coef_case(feature: str) -> str:
+    return "case outcome " + " ".join(
+        f"when '{o}' then {dict(v).get(feature, 0.0)}" for o, v in FX.STANDIN_ATTRIBUTION.items()) + " end"
+
+
+_FEATS = sorted({f for v in FX.STANDIN_ATTRIBUTION.values() for f, _ in v})
+
+SQL_EXTRA.update({
+    "samp": (["split"], f"""
+        select * from (select id as row_id, stratum, outcome, num_a, num_b, cat_a, age,
+          row_number() over (partition by stratum, outcome order by {hash_sql('id', 'sample')}, id) as sample_rank
+          from split where is_test) z where sample_rank <= {C.SHAP_SAMPLE}"""),
+    "phil": (["samp"], " union all ".join(
+        f"select row_id, stratum, outcome, sample_rank, '{f}' as feature, cast({f} as double) as x, "
+        f"{_coef_case(f)} as c from samp" for f in _FEATS)),
+    "phi": (["phil"], """
+        select p.row_id, p.stratum, p.outcome, p.sample_rank, p.feature, p.c * (p.x - m.mu) as phi, p.x
+        from phil p join (select stratum, outcome, feature, avg(x) as mu from phil group by all) m
+          using (stratum, outcome, feature)"""),
+    "imp": (["phi"], """
+        select stratum, outcome, feature, avg(abs(phi)) as mean_abs, cast(count(*) as bigint) as n
+        from phi group by stratum, outcome, feature"""),
+    "hhi": (["imp"], """
+        select stratum, outcome, sum((mean_abs / tot) * (mean_abs / tot)) as hhi, cast(count(*) as bigint) as n_features
+        from (select *, sum(mean_abs) over (partition by stratum, outcome) as tot from imp) z
+        where tot > 0 group by stratum, outcome"""),
+    "boot": (["phi"], f"""
+        select stratum, outcome, b, sum((mean_abs / tot) * (mean_abs / tot)) as hhi from (
+          select *, sum(mean_abs) over (partition by stratum, outcome, b) as tot from (
+            select d.stratum, d.outcome, d.b, p.feature, sum(d.m * abs(p.phi)) / max(d.n) as mean_abs
+            from (select stratum, outcome, n, b, idx, count(*) as m from (
+                    select stratum, outcome, n, b,
+                      cast(floor({O.uniform_sql('stratum', 'outcome', 'cast(b as varchar)', 'cast(j as varchar)', "'boot'", "'42'")} * n) + 1 as bigint) as idx
+                    from (select stratum, outcome, n, b, unnest(generate_series(1, n)) as j from (
+                            select stratum, outcome, n, unnest(generate_series(1, {C.N_BOOTSTRAP})) as b
+                            from (select stratum, outcome, count(distinct sample_rank) as n from phi group by all) s0) s1) s2) s3
+                  group by all) d
+            join phi p on p.stratum = d.stratum and p.outcome = d.outcome and p.sample_rank = d.idx
+            group by d.stratum, d.outcome, d.b, p.feature) z) y
+        where tot > 0 group by stratum, outcome, b"""),
+    "transparency": (["hhi", "boot"], f"""
+        select h.stratum, h.outcome, {O.r4('h.hhi')} as hhi, {O.r4('q.lo')} as hhi_ci_lo, {O.r4('q.hi')} as hhi_ci_hi,
+          {O.judge_sql(O.r4('h.hhi'), 'G3_hhi')} as verdict
+        from hhi h left join (select stratum, outcome, quantile_cont(hhi, 0.025) as lo, quantile_cont(hhi, 0.975) as hi
+                              from boot group by all) q using (stratum, outcome)"""),
+})
+
+
+@query("feature_importance", W("imp") + "select stratum, outcome, feature, "
+       + O.r4("mean_abs", 6) + " as mean_abs, n from imp")
+def q_feature_importance(spark, sf_dir):
+    """Mean |attribution| per cell and feature."""
+    i = _imp(spark, sf_dir)
+    return i.select(*CELL, "feature", _r6("mean_abs").alias("mean_abs"), "n")
+
+
+@query("hhi", W("hhi") + f"select stratum, outcome, {O.r4('hhi')} as hhi, n_features from hhi")
+def q_hhi(spark, sf_dir):
+    """Concentration (HHI) of attribution importance per cell."""
+    h = AT.hhi(_phi(spark, sf_dir), CELL)
+    return h.select(*CELL, round_half_up("hhi").alias("hhi"), "n_features")
+
+
+@query("hhi_bootstrap", W("transparency") + "select * from transparency")
+def q_hhi_bootstrap(spark, sf_dir):
+    """Transparency: HHI with a 200-replicate multinomial bootstrap 95 % interval."""
+    return AT.hhi_interval(_phi(spark, sf_dir), CELL, "sample_rank")
+
+
+@query("top_features", W("imp") + f"""
+select outcome, rank, feature, {O.r4('importance', 6)} as importance from (
+  select *, row_number() over (partition by outcome order by importance desc, feature) as rank from (
+    select i.outcome, i.feature, sum(i.mean_abs) / max(n.ns) as importance
+    from imp i join (select outcome, count(distinct stratum) as ns from imp group by outcome) n using (outcome)
+    group by i.outcome, i.feature) z) y where rank <= 10""")
+def q_top_features(spark, sf_dir):
+    """Top-10 features per outcome by mean importance over strata (missing = 0)."""
+    t = AT.top_features_overall(_imp(spark, sf_dir), "outcome", "stratum", 10)
+    return t.select("outcome", "rank", "feature", _r6("importance").alias("importance"))
+
+
+@query("top_features_per_cell", W("imp") + f"""
+select stratum, outcome, rank, feature, {O.r4('mean_abs', 6)} as mean_abs from (
+  select *, row_number() over (partition by stratum, outcome order by mean_abs desc, feature) as rank from imp) z
+where rank <= 12""")
+def q_top_features_per_cell(spark, sf_dir):
+    t = AT.top_features_per_cell(_imp(spark, sf_dir), CELL, 12)
+    return t.select(*CELL, "rank", "feature", _r6("mean_abs").alias("mean_abs"))
+
+
+SQL_EXTRA.update({
+    "border": (["samp", "best_scored"], """
+        select stratum, outcome, row_id, p6, in_band from (
+          select s.stratum, s.outcome, s.row_id, b.p6, b.p6 between 350000 and 650000 as in_band,
+            row_number() over (partition by s.stratum, s.outcome
+                               order by case when b.p6 between 350000 and 650000 then 0 else 1 end, s.sample_rank) as rn
+          from samp s join best_scored b on b.row_id = s.row_id and b.stratum = s.stratum and b.outcome = s.outcome) z
+        where rn = 1"""),
+})
+
+
+def _border(spark, sf_dir):
+    s = _sample(spark, sf_dir).select("row_id", *CELL, "sample_rank")
+    b = _best_scored(spark, sf_dir).select("row_id", *CELL, "p6")
+    return AT.borderline_case(s.join(b, ["row_id"] + CELL), CELL, "sample_rank")
+
+
+@query("borderline_case", W("border") + "select * from border")
+def q_borderline_case(spark, sf_dir):
+    """Per cell the first sampled row with 0.35 <= p <= 0.65 (else the first row)."""
+    return _border(spark, sf_dir)
+
+
+@query("waterfall_rows", W("border", "phi") + f"""
+select stratum, outcome, row_id, rank, feature, {O.r4('phi', 6)} as phi, x from (
+  select p.stratum, p.outcome, p.row_id, p.feature, p.phi, p.x,
+    row_number() over (partition by p.stratum, p.outcome, p.row_id order by abs(p.phi) desc, p.feature) as rank
+  from phi p join border b on b.stratum = p.stratum and b.outcome = p.outcome and b.row_id = p.row_id) z
+where rank <= 11""")
+def q_waterfall_rows(spark, sf_dir):
+    """Waterfall data of each cell's borderline case (top contributions + remainder)."""
+    b = _border(spark, sf_dir).select(*CELL, "row_id")
+    one = _phi(spark, sf_dir).join(F.broadcast(b), CELL + ["row_id"])
+    w = AT.waterfall_rows(one, CELL, 12)
+    return w.select(*CELL, "row_id", "rank", "feature", _r6("phi").alias("phi"), "x")
+
+
+@query("beeswarm_rows", W("imp", "phi") + f"""
+, t as (select * from (select *, row_number() over (partition by stratum, outcome order by mean_abs desc, feature) as rank
+        from imp) z where rank <= 12)
+select p.stratum, p.outcome, p.row_id, t.rank, p.feature, {O.r4('p.phi', 6)} as phi,
+  {O.r4("case when max(p.x) over w > min(p.x) over w then (p.x - min(p.x) over w) / (max(p.x) over w - min(p.x) over w) else 0.5 end", 6)} as x_scaled
+from phi p join t on t.stratum = p.stratum and t.outcome = p.outcome and t.feature = p.feature
+window w as (partition by p.stratum, p.outcome, p.feature)""")
+def q_beeswarm_rows(spark, sf_dir):
+    """Beeswarm data: phi and min-max scaled feature value for each cell's top features."""
+    phi = _phi(spark, sf_dir)
+    top = AT.top_features_per_cell(AT.feature_importance(phi, CELL), CELL, 12)
+    b = AT.beeswarm_rows(phi, CELL, top)
+    return b.select(*CELL, "row_id", "rank", "feature", _r6("phi").alias("phi"), _r6("x_scaled").alias("x_scaled"))
+
+
+@query("importance_matrix", W("imp") + "select outcome, feature, " + ", ".join(
+    f"coalesce(max(case when stratum = '{s}' then {O.r4('mean_abs', 6)} end), 0.0) as {s}" for s in STRATA_NAMES)
+    + " from imp group by outcome, feature")
+def q_importance_matrix(spark, sf_dir):
+    """feature x stratum importance pivot per outcome, missing = 0."""
+    i = _imp(spark, sf_dir).withColumn("mean_abs", _r6("mean_abs"))
+    return AT.importance_matrix(i, "outcome", "stratum", STRATA_NAMES)

@@ -152,3 +152,23 @@ def standin_p6(algo: str, cols: dict[str, str] | None = None):
         for k, v in cols.items():
             lg = lg.replace(k, v)
     return F.expr(p6_sql(lg))
+
+
+# ---- stand-ins for attribution and grading inputs --------------------------
+
+# Fixed starting centres (micro-units) for the deterministic one-step grade queries.
+FIXED_CENTRES = [(0, 200000.0, 200000.0), (1, 500000.0, 500000.0), (2, 800000.0, 800000.0)]
+
+
+def standin_score_case(algo_col: str = "algo"):
+    """Score of whichever stand-in model a row names, over the row's own columns."""
+    e = None
+    for a, _, lg in STANDIN_SCORERS:
+        cond = F.col(algo_col) == F.lit(a)
+        e = F.when(cond, F.expr(p6_sql(lg))) if e is None else e.when(cond, F.expr(p6_sql(lg)))
+    return e
+
+
+def fixed_centres(spark: SparkSession) -> DataFrame:
+    rows = [(n, 1, k, c1, c2) for n, *_ in C.STRATA for k, c1, c2 in FIXED_CENTRES]
+    return spark.createDataFrame(rows, "stratum string, init int, cluster int, c1 double, c2 double")
