@@ -625,3 +625,222 @@ def q_importance_matrix(spark, sf_dir):
     """feature x stratum importance pivot per outcome, missing = 0."""
     i = _imp(spark, sf_dir).withColumn("mean_abs", _r6("mean_abs"))
     return AT.importance_matrix(i, "outcome", "stratum", STRATA_NAMES)
+
+
+# ---------------------------------------------------------------------------
+# 4. Risk grades: two scores per row (each outcome's best model), k-means
+# ---------------------------------------------------------------------------
+
+def _points(spark, sf_dir):
+    """Whole-stratum rows with the best model's score for each outcome (x1, x2)."""
+    best = _best(spark, sf_dir)
+    wide = (best.groupBy("stratum").pivot("outcome", OUTCOMES).agg(F.first("best_algo"))
+            .where(F.col(OUTCOMES[0]).isNotNull() & F.col(OUTCOMES[1]).isNotNull())
+            .select("stratum", F.col(OUTCOMES[0]).alias("_a1"), F.col(OUTCOMES[1]).alias("_a2")))
+    sc = FX.stratified_cohort(spark, sf_dir).join(F.broadcast(wide), "stratum")
+    return sc.select("stratum", F.col("id").alias("row_id"),
+                     FX.standin_score_case("_a1").alias("x1"), FX.standin_score_case("_a2").alias("x2"),
+                     F.col(OUTCOMES[0]).alias("y1"), F.col(OUTCOMES[1]).alias("y2"))
+
+
+def _one_step(spark, sf_dir):
+    pts = _points(spark, sf_dir)
+    a0 = GR.assign(pts, FX.fixed_centres(spark))
+    upd = GR.update(a0)
+    return pts, a0, upd
+
+
+def _case_p6(col):
+    return "case " + col + " " + " ".join(
+        f"when '{a}' then {FX.p6_sql(lg)}" for a, _, lg in FX.STANDIN_SCORERS) + " end"
+
+
+SQL_EXTRA.update({
+    "bw": (["best"], f"""
+        select stratum, max(case when outcome = '{OUTCOMES[0]}' then best_algo end) as a1,
+                        max(case when outcome = '{OUTCOMES[1]}' then best_algo end) as a2
+        from best group by stratum having a1 is not null and a2 is not null"""),
+    "pts": (["scohort", "bw"], f"""
+        select c.stratum, c.id as row_id, {_case_p6('bw.a1')} as x1, {_case_p6('bw.a2')} as x2,
+          c."{OUTCOMES[0]}" as y1, c."{OUTCOMES[1]}" as y2
+        from scohort c join bw using (stratum)"""),
+    "ctr0": (["strata"], "select s.stratum, 1 as init, c.cluster, cast(c.c1 as double) as c1, cast(c.c2 as double) as c2 "
+             "from strata s cross join (values " + ", ".join(f"({k}, {int(a)}, {int(b)})" for k, a, b in FX.FIXED_CENTRES)
+             + ") as c(cluster, c1, c2)"),
+    "asg0": (["pts", "ctr0"], """
+        select * from (select p.*, c.init, c.cluster, (p.x1 - c.c1) * (p.x1 - c.c1) + (p.x2 - c.c2) * (p.x2 - c.c2) as d2,
+          row_number() over (partition by p.stratum, p.row_id order by
+            (p.x1 - c.c1) * (p.x1 - c.c1) + (p.x2 - c.c2) * (p.x2 - c.c2), c.cluster) as rn
+          from pts p join ctr0 c using (stratum)) z where rn = 1"""),
+    "upd": (["asg0"], """
+        select stratum, init, cluster, cast(count(*) as bigint) as n, sum(cast(x1 as double)) / count(*) as c1,
+          sum(cast(x2 as double)) / count(*) as c2, sum(d2) as inertia6
+        from asg0 group by stratum, init, cluster"""),
+    "rank1": (["upd"], """
+        select *, cast(row_number() over (partition by stratum order by c1 + c2, cluster) as int) as grade from upd"""),
+    "graded": (["pts", "rank1"], """
+        select * from (select p.*, c.cluster, c.grade,
+          row_number() over (partition by p.stratum, p.row_id order by
+            (p.x1 - c.c1) * (p.x1 - c.c1) + (p.x2 - c.c2) * (p.x2 - c.c2), c.cluster) as rn
+          from pts p join rank1 c using (stratum)) z where rn = 1"""),
+    "gsum": (["graded"], f"""
+        select g.stratum, g.grade, l.grade_label, g.n, {O.r4('g.n / sum(g.n) over (partition by g.stratum)')} as share,
+          {O.r4('g.p1')} as prevalence_1, {O.r4('g.p2')} as prevalence_2,
+          {O.r4('g.m1')} as mean_p_1, {O.r4('g.m2')} as mean_p_2, l.policy
+        from (select stratum, grade, cast(count(*) as bigint) as n, cast(sum(y1) as double) / count(*) as p1,
+                cast(sum(y2) as double) / count(*) as p2, cast(sum(x1) as double) / (1e6 * count(*)) as m1,
+                cast(sum(x2) as double) / (1e6 * count(*)) as m2 from graded group by stratum, grade) g
+        left join (values {", ".join(f"({g}, '{lab}', '{pol}')" for g, lab, pol in C.GRADES)}) as l(grade, grade_label, policy)
+          using (grade)"""),
+})
+
+
+@query("kmeans_assign", W("asg0") + "select stratum, row_id, init, cluster, d2 from asg0")
+def q_kmeans_assign(spark, sf_dir):
+    """Nearest-centre assignment of each row's two scores (fixed starting centres)."""
+    a = GR.assign(_points(spark, sf_dir), FX.fixed_centres(spark))
+    return a.select("stratum", "row_id", "init", "cluster", "d2")
+
+
+@query("kmeans_update", W("upd") + "select * from upd")
+def q_kmeans_update(spark, sf_dir):
+    """One Lloyd update: member means and inertia per (stratum, init, cluster)."""
+    return _one_step(spark, sf_dir)[2]
+
+
+@query("grade_rank", W("rank1") + "select stratum, init, cluster, c1, c2, grade from rank1")
+def q_grade_rank(spark, sf_dir):
+    """Grade 1..k by ascending centre sum."""
+    return GR.grade_rank(_one_step(spark, sf_dir)[2]).select("stratum", "init", "cluster", "c1", "c2", "grade")
+
+
+def _graded(spark, sf_dir):
+    pts, _, upd = _one_step(spark, sf_dir)
+    return GR.apply_grades(pts, GR.grade_rank(upd))
+
+
+def _grade_summary(spark, sf_dir):
+    return GR.grade_summary(_graded(spark, sf_dir), C.grades_dim(spark))
+
+
+@query("grade_summary", W("gsum") + "select * from gsum")
+def q_grade_summary(spark, sf_dir):
+    """Per stratum and grade: n, share, prevalence and mean score of both outcomes, policy text."""
+    return _grade_summary(spark, sf_dir)
+
+
+@query("grade_monotone", W("gsum") + f"""
+, lg as (select stratum, grade, '{OUTCOMES[0]}' as outcome, prevalence_1 as prev from gsum
+         union all select stratum, grade, '{OUTCOMES[1]}', prevalence_2 from gsum)
+select stratum, outcome, bool_and(pv is null or prev >= pv) as monotone, cast(count(*) as bigint) as n_grades
+from (select *, lag(prev) over (partition by stratum, outcome order by grade) as pv from lg) z
+group by stratum, outcome""")
+def q_grade_monotone(spark, sf_dir):
+    """Does prevalence rise with grade in every stratum (the published claim)?"""
+    return GR.grade_monotone(_grade_summary(spark, sf_dir), "stratum",
+                             {OUTCOMES[0]: "prevalence_1", OUTCOMES[1]: "prevalence_2"})
+
+
+@query("partitioned_grades", W("graded") + "select row_id, stratum, grade from graded")
+def q_partitioned_grades(spark, sf_dir):
+    """Graded rows written as one folder per stratum and read back."""
+    g = _graded(spark, sf_dir).select("row_id", "stratum", "grade")
+    path = scratch_path(spark, "grades")
+    SK.write_per_stratum(g, path)
+    return SK.read_per_stratum(spark, path).select("row_id", "stratum", "grade")
+
+
+@query("kmeans_grade")
+def q_kmeans_grade(spark, sf_dir):
+    """Full grouped k-means (k = 3, 10 inits, best by inertia), graded rows."""
+    pts = _points(spark, sf_dir)
+    cent, _ = GR.lloyd(pts, k=3, n_init=10, max_iter=100, tol6=10.0)
+    return GR.apply_grades(pts, GR.grade_rank(cent)).select("stratum", "row_id", "grade", "x1", "x2")
+
+
+@query("elbow")
+def q_elbow(spark, sf_dir):
+    """Best-of-10-inits inertia for k = 2..7 per stratum."""
+    return GR.elbow(_points(spark, sf_dir), range(2, 8), n_init=10, max_iter=100)
+
+
+# ---------------------------------------------------------------------------
+# 5. Perturbation robustness (hash-Gaussian noise, rescoring, AUC drop)
+# ---------------------------------------------------------------------------
+
+def _z_sql(row: str, feat: str, rep: str) -> str:
+    base = [f"cast({row} as varchar)", f"'{feat}'", f"cast({rep} as varchar)", "'noise'", "'42'"]
+    u1 = O.uniform_sql(*base, "'u1'")
+    u2 = O.uniform_sql(*base, "'u2'")
+    return f"(sqrt(-2.0 * ln({u1})) * cos(6.283185307179586 * {u2}))"
+
+
+def _noisy_sql(src: str, keys: list[str]) -> str:
+    k = ", ".join(keys)
+    sds = ", ".join(f"stddev_samp(cast({f} as double)) as sd_{f}" for f in FX.FEATURES)
+    cols = ", ".join(
+        f"case when s.sd_{f} > 0 then cast(t.{f} as double) + 0.1 * s.sd_{f} * {_z_sql('t.row_id', f, 'r.repeat')} "
+        f"else cast(t.{f} as double) end as {f}" for f in FX.FEATURES)
+    tk = ", ".join(f"t.{c}" for c in keys)
+    on = " and ".join(f"s.{c} = t.{c}" for c in keys)
+    return f"""(select t.row_id, {tk}, t.y, cast(r.repeat as int) as repeat, {cols}
+      from {src} t join (select {k}, {sds} from {src} group by {k}) s on {on}
+      cross join range(1, {C.PERTURB_REPEATS + 1}) as r(repeat))"""
+
+
+SQL_EXTRA.update({
+    "test_rows": (["split"], "select id as row_id, * exclude (id) from split where is_test"),
+    "noisy_best": (["best_test"], f"select * from {_noisy_sql('best_test', CELL_ALGO)} z"),
+    "noisy_scored": (["noisy_best"], f"select *, {_case_p6('algo')} as p6 from noisy_best"),
+    "pdrop": (["best_test", "noisy_scored"], f"""
+        select b.stratum, b.outcome, b.algo, {O.r4('max(b.auc)')} as auc_base,
+          {O.r4('avg(abs(b.auc - n.auc))')} as drop_mean, {O.r4('stddev_pop(abs(b.auc - n.auc))')} as drop_std,
+          cast(count(*) as bigint) as n_repeats,
+          {O.judge_sql(O.r4('avg(abs(b.auc - n.auc))'), 'G2_perturb_drop')} as verdict
+        from {O.auc_sql('best_test', CELL_ALGO)} b
+        join {O.auc_sql('noisy_scored', CELL_ALGO + ['repeat'])} n using (stratum, outcome, algo)
+        group by b.stratum, b.outcome, b.algo"""),
+})
+
+
+def _test_rows(spark, sf_dir):
+    return FX.split_cells(spark, sf_dir).where(F.col("is_test")).withColumnRenamed("id", "row_id")
+
+
+@query("feature_std", W("test_rows") + " union all ".join(
+    f"select stratum, outcome, '{f}' as feature, {O.r4(f'stddev_samp(cast({f} as double))', 6)} as std "
+    f"from test_rows group by stratum, outcome" for f in FX.FEATURES))
+def q_feature_std(spark, sf_dir):
+    """Per-feature sample std on each cell's hold-out rows (one aggregate)."""
+    s = PT.feature_std(_test_rows(spark, sf_dir), CELL, FX.FEATURES)
+    return s.select(*CELL, "feature", _r6("std").alias("std"))
+
+
+@query("perturb_features", W("test_rows") + "select row_id, stratum, outcome, repeat, " + ", ".join(
+    f"{O.r4(f, 6)} as {f}" for f in FX.FEATURES) + f" from {_noisy_sql('test_rows', CELL)} z")
+def q_perturb_features(spark, sf_dir):
+    """Five noisy copies of every hold-out row: x + 0.10 * std * N(0, 1) per feature."""
+    n = PT.perturb_features(_test_rows(spark, sf_dir), CELL, FX.FEATURES)
+    return n.select("row_id", *CELL, "repeat", *[_r6(f).alias(f) for f in FX.FEATURES])
+
+
+def _pdrop(spark, sf_dir):
+    rows = _best_scored(spark, sf_dir).where(F.col("is_test"))
+    return PT.perturb_run(rows.drop("p6"), CELL_ALGO, FX.FEATURES, lambda d: FX.standin_score_case("algo"))
+
+
+@query("perturb_drop", W("pdrop") + "select * from pdrop")
+def q_perturb_drop(spark, sf_dir):
+    """Noise -> rescore with the cell's best model -> AUC drop mean / std over 5 repeats."""
+    return _pdrop(spark, sf_dir)
+
+
+@query("perturb_matrix", W("pdrop", "strata") + "select s.stratum, s.stratum_order, " + ", ".join(
+    f"max(case when p.outcome = '{o}' then p.drop_mean end) as drop_{o}, "
+    f"case when max(case when p.outcome = '{o}' then p.drop_mean end) is null then null "
+    f"when max(case when p.outcome = '{o}' then p.drop_mean end) < 0.03 then 'good' "
+    f"when max(case when p.outcome = '{o}' then p.drop_mean end) < 0.05 then 'caution' else 'risk' end as status_{o}"
+    for o in OUTCOMES) + " from strata s left join pdrop p using (stratum) group by s.stratum, s.stratum_order")
+def q_perturb_matrix(spark, sf_dir):
+    """stratum x outcome drop heat-map table with strict-limit status."""
+    return PT.perturb_matrix(_pdrop(spark, sf_dir), C.strata_dim(spark), OUTCOMES)
