@@ -34,7 +34,7 @@ def recode(x, mapping: dict) -> Column:
 
 def safe_double(x) -> Column:
     """Numeric cast that turns unparsable text into null (ANSI-safe)."""
-    return F.try_cast(_c(x), "double") if hasattr(F, "try_cast") else F.expr(f"try_cast({x} as double)")
+    return _c(x).try_cast("double")
 
 
 def band(x, uppers=None) -> Column:
@@ -88,7 +88,7 @@ def format_mean_std(mean, std, digits: int = 4) -> Column:
 def parse_mean(text) -> Column:
     """Mean out of 'mean +- std'; the '-' sentinel (or junk) gives null."""
     t = F.nullif(F.trim(_c(text)), F.lit("-"))
-    return F.try_cast(F.trim(F.split(t, r"\+-").getItem(0)), "double")
+    return F.trim(F.split(t, r"\+-").getItem(0)).try_cast("double")
 
 
 def score_to_p6(p) -> Column:

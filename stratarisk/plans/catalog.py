@@ -844,3 +844,247 @@ def q_perturb_drop(spark, sf_dir):
 def q_perturb_matrix(spark, sf_dir):
     """stratum x outcome drop heat-map table with strict-limit status."""
     return PT.perturb_matrix(_pdrop(spark, sf_dir), C.strata_dim(spark), OUTCOMES)
+
+
+# ---------------------------------------------------------------------------
+# 6. Governance: verdict tables, composite score, retraining triggers
+# ---------------------------------------------------------------------------
+
+from stratarisk.plans.study import Study  # noqa: E402
+from stratarisk.functions.scalar import judge_metric, norm_score, parse_mean  # noqa: E402
+
+
+def _d(x) -> str:
+    return f"cast({x!r} as double)"
+
+
+def _norm_sql(v: str, good, bad, floor) -> str:
+    g, b, fl = _d(good), _d(bad), _d(floor)
+    return (f"(case when {v} <= {g} then {_d(1.0)} when {v} >= {b} then {fl} "
+            f"else {fl} + ({_d(1.0)} - {fl}) * ({_d(1.0)} - ({v} - {g}) / ({b} - {g})) end)")
+
+
+_CARD_VALUES = ", ".join(f"('{i}', {str(m).lower()})" for i, m in C.MODEL_CARD_CHECKLIST)
+_GOV_LONG_ROWS = GOV.GOVERNANCE_ROWS
+
+
+def _long_sql() -> str:
+    parts = []
+    col = {"G1_delta_auc": "delta_auc", "G1_eq_odds": "eq_odds", "G1_calib_ece": "delta_ece",
+           "G2_cv_gap": "cv_gap", "G2_temporal_gap": "temporal_gap", "G2_perturb_drop": "perturb_drop",
+           "G3_hhi": "hhi", "G4_model_card": "card_score"}
+    for principle, label, key, limit, basis, note in _GOV_LONG_ROWS:
+        c = col[key]
+        v = O.r4(c)
+        if key == "G3_hhi":
+            text = f"case when hhi is not null then printf('%.4f [%.4f-%.4f]', {O.r4('hhi')}, {O.r4('hhi_lo')}, {O.r4('hhi_hi')}) end"
+        elif key == "G4_model_card":
+            text = "printf('%.2f', card_score)"
+        elif key == "G2_temporal_gap":
+            text = f"case when temporal_gap is null then 'insufficient data' else printf('%.4f', {v}) end"
+        else:
+            text = f"case when {v} is not null then printf('%.4f', {v}) end"
+        miss = "n/a" if key == "G2_temporal_gap" else "-"
+        parts.append(f"""select outcome, '{principle}' as principle, '{label}' as metric, '{key}' as threshold,
+          {v} as value, coalesce({text}, '-') as value_text, '{limit}' as "limit",
+          coalesce({O.judge_sql(c, key)}, '{miss}') as verdict, '{basis}' as basis, '{note}' as note from ind""")
+    return " union all ".join(parts)
+
+
+SQL_EXTRA.update({
+    "fg_all": (["fair_cells"], "select * from fair_cells"),
+    "card": ([], f"""
+        select {O.r4('count_if(met) / count(*)', 2)} as card_score, cast(count_if(met) as bigint) as n_met,
+          cast(count(*) as bigint) as n_total, printf('%d/%d', count_if(met), count(*)) as met_text,
+          coalesce(string_agg(item, '; ' order by item) filter (where not met), '') as unmet_items
+        from (values {_CARD_VALUES}) as t(item, met)"""),
+})
+
+_IND_SQL = (f"""
+, fgx as (select * from fg)
+, indx as (select o.outcome, fg.delta_auc, fg.eq_odds, fg.delta_ece, cg.cv_gap, tt.temporal_gap,
+            pd.perturb_drop, tr.hhi, tr.hhi_lo, tr.hhi_hi, card.card_score, card.met_text, card.unmet_items
+          from (values {", ".join(f"('{o}')" for o in OUTCOMES)}) as o(outcome)
+          left join fg using (outcome)
+          left join (select outcome, avg(gap) as cv_gap from cvg group by outcome) cg using (outcome)
+          left join (select outcome, avg(gap) as temporal_gap from tg group by outcome) tt using (outcome)
+          left join (select outcome, avg(drop_mean) as perturb_drop from pdrop group by outcome) pd using (outcome)
+          left join (select outcome, avg(hhi) as hhi, avg(hhi_ci_lo) as hhi_lo, avg(hhi_ci_hi) as hhi_hi
+                     from transparency group by outcome) tr using (outcome)
+          cross join card)
+""")
+
+
+def GW(*extra_names):
+    """WITH clause holding every governance input, then fg / cvg / tg / indx."""
+    base = W("fair_cells", "cv", "ho_auc", "best", "best_scored", "pdrop", "transparency", "card", "strata",
+             *extra_names)
+    return base + FAIR_GAPS_SQL + CV_GAP_SQL + TEMPORAL_SQL + _IND_SQL.replace("indx", "ind")
+
+
+def _composite_sql() -> str:
+    cols, terms = [], []
+    for name, weight, good, bad, default in C.COMPOSITE:
+        if name == "model_card":
+            s = f"least({_d(1.0)}, card_score)"
+        else:
+            s = _norm_sql(f"coalesce({name}, {_d(default)})", good, bad, C.COMPOSITE_FLOOR)
+        cols.append((name, s))
+        terms.append(f"{s} * {_d(weight)}")
+    raw = terms[0]
+    for t in terms[1:]:
+        raw = f"({raw} + {t})"
+    sel = ", ".join(f"{O.r4(s, 6)} as score_{n}" for n, s in cols)
+    return f"""
+, comp as (select outcome, {sel}, {O.r4(raw, 6)} as composite_raw, {O.r4(raw, 2)} as composite from ind)
+"""
+
+
+@query("governance_long", GW() + f"select * from ({_long_sql()}) z")
+def q_governance_long(spark, sf_dir):
+    """Long verdict table: 8 indicators x outcome with value, text, limit and verdict."""
+    return GOV.governance_long(Study(spark, sf_dir, materialize=True).indicators)
+
+
+@query("composite_score", GW() + _composite_sql() + f"""
+select *, case when composite >= {C.COMPOSITE_GOOD} then 'good' when composite >= {C.COMPOSITE_CAUTION}
+  then 'caution' else 'risk' end as band from comp""")
+def q_composite_score(spark, sf_dir):
+    """Weighted composite of normalised indicators per outcome, with band."""
+    c = GOV.composite_score(Study(spark, sf_dir, materialize=True).indicators)
+    return c.select("outcome", *[_r6(f"score_{n}").alias(f"score_{n}") for n, *_ in C.COMPOSITE],
+                    _r6("composite_raw").alias("composite_raw"), "composite", "band")
+
+
+@query("retrain_triggers", GW("cohort") + _composite_sql() + "," + _COUNTS_SQL + """
+, mp as (select outcome, min(positives) as min_positives from counts group by outcome)
+, tj as (select i.*, c.composite, m.min_positives from ind i left join comp c using (outcome)
+         left join mp m using (outcome))
+""" + " union all ".join(
+    f"select outcome, '{t}' as trigger, '{m}' as metric, {O.r4(f'cast({m} as double)', 6)} as value, "
+    f"'{op} {lim}' as condition, coalesce(cast({m} as double) {op} {lim}, false) as fired from tj"
+    for t, m, op, lim in C.RETRAIN_TRIGGERS))
+def q_retrain_triggers(spark, sf_dir):
+    """Every retraining trigger evaluated per outcome (fired = active)."""
+    st = Study(spark, sf_dir, materialize=True)
+    t = GOV.retrain_triggers(st.indicators, GOV.composite_score(st.indicators), st.min_positives)
+    return t.withColumn("value", _r6("value"))
+
+
+@query("governance_wide", GW() + """
+select f.stratum, f.outcome, f.algo, f.auc, f.tpr, f.fpr, f.ece, f.n, c.gap as cv_gap, c.verdict as cv_verdict,
+  t.hhi, t.hhi_ci_lo, t.hhi_ci_hi, t.verdict as hhi_verdict, p.drop_mean, p.verdict as perturb_verdict,
+  g.gap as temporal_gap, g.verdict as temporal_verdict
+from fair_cells f
+left join (select *, """ + O.judge_sql("gap", "G2_cv_gap") + """ as verdict from cvg) c using (stratum, outcome)
+left join transparency t using (stratum, outcome)
+left join pdrop p using (stratum, outcome)
+left join (select *, """ + O.judge_sql("gap", "G2_temporal_gap") + """ as verdict from tg) g using (stratum, outcome)""")
+def q_governance_wide(spark, sf_dir):
+    """Cell-level table of every indicator with per-principle verdict columns."""
+    st = Study(spark, sf_dir, materialize=True)
+    return GOV.governance_wide(st.fair_cells, st.cv_gap, st.transparency, st.perturb, st.temporal, CELL)
+
+
+@query("accountability", W("fair_cells", "phi", "card") + f"""
+select f.stratum, f.outcome, e.stratum is not null as explanation_available, {str(C.CODE_PUBLIC).lower()} as code_public,
+  card.card_score, card.met_text, card.unmet_items,
+  {O.judge_sql('card.card_score', 'G4_model_card')} as verdict
+from fair_cells f left join (select distinct stratum, outcome from phi) e using (stratum, outcome) cross join card""")
+def q_accountability(spark, sf_dir):
+    """Per cell: explanation available, code public, model-card score and verdict."""
+    st = Study(spark, sf_dir)
+    return GOV.accountability(st.fair_cells, st.phi, st.card, CELL)
+
+
+@query("model_card", W("fair_cells", "card") + f"""
+select f.outcome, cast(count(*) as bigint) as n_cells, max(card.card_score) as card_score,
+  max(card.n_met) as n_met, max(card.n_total) as n_total, max(card.met_text) as met_text,
+  max(card.unmet_items) as unmet_items, {O.judge_sql('max(card.card_score)', 'G4_model_card')} as verdict
+from fair_cells f cross join card group by f.outcome""")
+def q_model_card(spark, sf_dir):
+    """Model-card checklist score (met / total, unmet items) for each evaluated outcome."""
+    st = Study(spark, sf_dir)
+    card = st.card.first()
+    g = st.fair_cells.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_cells"))
+    return g.select("outcome", "n_cells", F.lit(float(card["card_score"])).alias("card_score"),
+                    F.lit(int(card["n_met"])).cast("bigint").alias("n_met"),
+                    F.lit(int(card["n_total"])).cast("bigint").alias("n_total"),
+                    F.lit(card["met_text"]).alias("met_text"), F.lit(card["unmet_items"]).alias("unmet_items"),
+                    F.lit(card["verdict"]).alias("verdict"))
+
+
+_THR_VALUES = ", ".join(f"('{m}', {g}, {w}, {str(lb).lower()}, '{c}')" for m, g, w, lb, c in C.THRESHOLDS)
+
+
+@query("threshold_dim", GW() + f"""
+, gl as ({_long_sql()})
+select t.metric, t.good, t.warn, t.low_best, t.cite,
+  cast(count_if(gl.verdict = 'good') as bigint) as n_good,
+  cast(count_if(gl.verdict = 'caution') as bigint) as n_caution,
+  cast(count_if(gl.verdict = 'risk') as bigint) as n_risk
+from (values {_THR_VALUES}) as t(metric, good, warn, low_best, cite)
+left join gl on gl.threshold = t.metric
+group by t.metric, t.good, t.warn, t.low_best, t.cite""")
+def q_threshold_dim(spark, sf_dir):
+    """Threshold definitions with how many outcome verdicts fell in each band."""
+    gl = GOV.governance_long(Study(spark, sf_dir, materialize=True).indicators)
+    cnt = gl.groupBy("threshold").agg(
+        F.count_if(F.col("verdict") == "good").alias("n_good"),
+        F.count_if(F.col("verdict") == "caution").alias("n_caution"),
+        F.count_if(F.col("verdict") == "risk").alias("n_risk"))
+    t = C.thresholds_dim(spark)
+    j = t.join(cnt, t["metric"] == cnt["threshold"], "left")
+    return j.select("metric", "good", "warn", "low_best", "cite",
+                    *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_good", "n_caution", "n_risk")])
+
+
+@query("judge", W("test") + f"""
+select stratum, outcome, algo, {O.r4('ece')} as ece, {O.judge_sql(O.r4('ece'), 'G1_calib_ece')} as verdict
+from {O.ece_sql('test', CELL_ALGO)} z""")
+def q_judge(spark, sf_dir):
+    """Verdict (good / caution / risk, inclusive limits) of every cell-algorithm ECE."""
+    e = M.ece(_holdout(spark, sf_dir), CELL_ALGO)
+    return e.select(*CELL_ALGO, round_half_up("ece").alias("ece"),
+                    judge_metric(round_half_up("ece"), "G1_calib_ece").alias("verdict"))
+
+
+@query("norm_score", W("cv", "ho_auc", "best") + CV_GAP_SQL + f"""
+select stratum, outcome, gap, {O.r4(_norm_sql('gap', 0.03, 0.06, 0.10), 6)} as score from cvg""")
+def q_norm_score(spark, sf_dir):
+    """Piecewise-linear normalised score of every cell's CV gap (good .03, bad .06, floor .10)."""
+    st = Study(spark, sf_dir)
+    g = st.cv_gap
+    return g.select(*CELL, "gap", _r6(norm_score("gap", F.lit(0.03), F.lit(0.06), 0.10)).alias("score"))
+
+
+@query("report_strings", W("cv", "best", "transparency", "strata") + """
+select c.stratum, c.outcome, printf('%.4f +- %.4f', c.cv_auc_mean, c.cv_auc_std) as cv_auc_text,
+  try_cast(trim(split_part(printf('%.4f +- %.4f', c.cv_auc_mean, c.cv_auc_std), '+-', 1)) as double) as cv_auc_parsed,
+  printf('%.4f [%.4f-%.4f]', t.hhi, t.hhi_ci_lo, t.hhi_ci_hi) as hhi_text,
+  printf('%d-%d years', s.age_min, s.age_max) as age_range
+from cv c join best b on c.stratum = b.stratum and c.outcome = b.outcome and c.algo = b.best_algo
+join transparency t on t.stratum = c.stratum and t.outcome = c.outcome
+join strata s on s.stratum = c.stratum""")
+def q_report_strings(spark, sf_dir):
+    """Formatted report fields ('mean +- std', 'h [lo-hi]', 'a-b years') and the parse back."""
+    st = Study(spark, sf_dir)
+    b = st.best.select(*CELL, F.col("best_algo").alias("algo"))
+    cv = st.cv.join(b, CELL_ALGO)
+    j = cv.join(st.transparency, CELL).join(F.broadcast(C.strata_dim(spark)), "stratum")
+    return j.select("stratum", "outcome", "cv_auc_text", parse_mean("cv_auc_text").alias("cv_auc_parsed"),
+                    F.format_string("%.4f [%.4f-%.4f]", "hhi", "hhi_ci_lo", "hhi_ci_hi").alias("hhi_text"),
+                    F.format_string("%d-%d years", "age_min", "age_max").alias("age_range"))
+
+
+@query("cell_grid", W("ho_auc", "strata", "algos") + f"""
+select s.stratum, o.outcome, a.algo, {O.r4('h.auc')} as auc, h.n
+from strata s cross join (values {", ".join(f"('{o}')" for o in OUTCOMES)}) as o(outcome) cross join algos a
+left join ho_auc h on h.stratum = s.stratum and h.outcome = o.outcome and h.algo = a.algo""")
+def q_cell_grid(spark, sf_dir):
+    """Every stratum x outcome x algorithm, empty combinations kept (null metrics)."""
+    grid = C.strata_dim(spark).select(
+            "stratum", F.explode(F.array(*[F.lit(o) for o in OUTCOMES])).alias("outcome")).select(
+            "stratum", "outcome", F.explode(F.array(*[F.lit(a) for a in FX.STANDIN_ALGOS])).alias("algo"))
+    a = M.auc(_holdout(spark, sf_dir), CELL_ALGO)
+    return grid.join(a, CELL_ALGO, "left").select(*CELL_ALGO, round_half_up("auc").alias("auc"), "n")
