@@ -1088,3 +1088,143 @@ def q_cell_grid(spark, sf_dir):
             "stratum", "outcome", F.explode(F.array(*[F.lit(a) for a in FX.STANDIN_ALGOS])).alias("algo"))
     a = M.auc(_holdout(spark, sf_dir), CELL_ALGO)
     return grid.join(a, CELL_ALGO, "left").select(*CELL_ALGO, round_half_up("auc").alias("auc"), "n")
+
+
+# ---------------------------------------------------------------------------
+# 7. Training with Spark ML (rows-only checks: trained models have no SQL oracle)
+# ---------------------------------------------------------------------------
+
+import json  # noqa: E402
+
+from stratarisk.operators import training as TR  # noqa: E402
+
+# The study tunes with 20 trials per (cell, algorithm). The registered fit
+# queries refit with the default parameters (the no-tuning path, n_trials=0)
+# so the correctness run stays short; ``hpo_trials`` runs the random search
+# itself. ``n_trials`` is a plain parameter of train_grid.
+REGISTERED_TRIALS = 0
+TRAIN_FEATURES = FX.FEATURES
+
+
+def _train_rows(spark, sf_dir):
+    return FX.split_cells(spark, sf_dir).withColumnRenamed("id", "row_id")
+
+
+def _cells(spark, sf_dir):
+    return [tuple(r) for r in CO.trainable_cells(FX.cohort(spark, sf_dir), C.strata_dim(spark), OUTCOMES)
+            .where("trainable").select(*CELL).collect()]
+
+
+def _fit_and_evaluate(spark, sf_dir, algos, n_trials=REGISTERED_TRIALS):
+    rows = _train_rows(spark, sf_dir)
+    res = TR.train_grid(rows, CELL, _cells(spark, sf_dir), algos, TRAIN_FEATURES, n_trials=n_trials)
+    sc = TR.scored_holdout(rows, CELL, res)
+    met = M.cell_metrics(sc, CELL_ALGO)
+    return met.select(*CELL_ALGO, "n", *[round_half_up(c).alias(c) for c in ("auc", "f1", "precision", "recall")])
+
+
+@query("train_lr")
+def q_train_lr(spark, sf_dir):
+    """Balanced logistic regression per cell, hold-out metrics."""
+    return _fit_and_evaluate(spark, sf_dir, ["LR"])
+
+
+@query("train_rf")
+def q_train_rf(spark, sf_dir):
+    """Random forest per cell (random-search tuned), hold-out metrics."""
+    return _fit_and_evaluate(spark, sf_dir, ["RF"])
+
+
+@query("train_gbt")
+def q_train_gbt(spark, sf_dir):
+    """Both boosted-tree configurations per cell, hold-out metrics."""
+    return _fit_and_evaluate(spark, sf_dir, ["LGBM", "XGB"])
+
+
+@query("train_mlp")
+def q_train_mlp(spark, sf_dir):
+    """Multilayer perceptron per cell (unweighted), hold-out metrics."""
+    return _fit_and_evaluate(spark, sf_dir, ["MLP"])
+
+
+@query("hpo_trials")
+def q_hpo_trials(spark, sf_dir):
+    """Random-search trials (params and AUC) of the forest in every cell."""
+    rows = _train_rows(spark, sf_dir)
+    res = TR.train_grid(rows, CELL, _cells(spark, sf_dir), ["RF"], TRAIN_FEATURES, n_trials=2)
+    out = [(c[0], c[1], a, t, json.dumps(p, sort_keys=True), auc)
+           for (c, a), r in res.items() for t, p, auc in r["trials"]]
+    return spark.createDataFrame(out, "stratum string, outcome string, algo string, trial int, "
+                                      "params string, auc double")
+
+
+@query("train_grid")
+def q_train_grid(spark, sf_dir):
+    """All cells x five algorithms, failures isolated, best model by AUC (baseline excluded)."""
+    rows = _train_rows(spark, sf_dir)
+    res = TR.train_grid(rows, CELL, _cells(spark, sf_dir), C.ALGOS, TRAIN_FEATURES, n_trials=REGISTERED_TRIALS)
+    sc = TR.scored_holdout(rows, CELL, res)
+    met = M.cell_metrics(sc, CELL_ALGO)
+    best = CMP.best_algo(met, CELL, C.algos_dim(spark))
+    return CMP.algo_comparison(met, best, CELL, C.algos_dim(spark))
+
+
+def _rf_models(spark, sf_dir):
+    rows = _train_rows(spark, sf_dir)
+    res = TR.train_grid(rows, CELL, _cells(spark, sf_dir), ["RF"], TRAIN_FEATURES, n_trials=0)
+    return rows, {c: r["model"] for (c, _), r in res.items() if r["model"] is not None}
+
+
+@query("score_cells")
+def q_score_cells(spark, sf_dir):
+    """Every row of every cell scored by its cell's forest (probability -> p6)."""
+    rows, models = _rf_models(spark, sf_dir)
+    parts = [TR.score(m, rows.where(TR._cell_filter(CELL, c))) for c, m in models.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("row_id", *CELL, "y", "is_test", "p6")
+
+
+@query("cv_folds")
+def q_cv_folds(spark, sf_dir):
+    """5-fold refits of baseline and forest per cell: per-fold AUC, F1, P, R."""
+    rows = _train_rows(spark, sf_dir)
+    oof = TR.cv_fold_scores(rows, CELL, _cells(spark, sf_dir), ["LR", "RF"], TRAIN_FEATURES)
+    keys = CELL_ALGO + ["fold"]
+    a = M.auc(oof, keys).select(*keys, "auc")
+    p = M.weighted_prf(oof, keys).drop("n")
+    return a.join(p, keys)
+
+
+@query("shapley_rows")
+def q_shapley_rows(spark, sf_dir):
+    """Permutation Shapley values of each cell's forest for 50 hold-out rows (100 background rows)."""
+    rows, models = _rf_models(spark, sf_dir)
+    test = rows.where(F.col("is_test"))
+    explain = TR.index_rows(test, CELL, "row_id", 50, "explain", out="_ei")
+    bg = TR.index_rows(test, CELL, "row_id", 100, "background")
+    parts = []
+    for c, m in models.items():
+        f = TR._cell_filter(CELL, c)
+        parts.append(TR.permutation_shapley(m, explain.where(f), bg.where(f), CELL, TRAIN_FEATURES, n_perm=8))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("perturb_run")
+def q_perturb_run(spark, sf_dir):
+    """Noise -> rescore with each cell's trained forest -> AUC drop over 5 repeats."""
+    rows, models = _rf_models(spark, sf_dir)
+    parts = []
+    for c, m in models.items():
+        test = rows.where(TR._cell_filter(CELL, c) & F.col("is_test")).drop("p6")
+        base = TR.score(m, test)
+        noisy = TR.score(m, PT.perturb_features(test, CELL, TRAIN_FEATURES))
+        parts.append(PT.perturb_drop(base, noisy, CELL))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
