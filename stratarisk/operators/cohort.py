@@ -134,3 +134,16 @@ def weight_rows(rows: DataFrame, weights: DataFrame, cell_cols: list[str],
     """Attach the per-class weight to each row (weights table: cells x 2 rows, broadcast)."""
     w = weights.select(*cell_cols, F.col("y").alias(label_col), F.col("weight").alias(out))
     return rows.join(F.broadcast(w), cell_cols + [label_col], "left")
+
+
+def prevalence_by(df: DataFrame, stratum_col: str, outcomes: list[str],
+                  small_sample: int = C.SMALL_SAMPLE_POSITIVES) -> DataFrame:
+    """Prevalence for any stratum column (no strata dimension needed)."""
+    agg = df.groupBy(stratum_col).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.col(o).cast("bigint")).alias(f"positives__{o}") for o in outcomes])
+    long = _unpivot_outcomes(agg.withColumns({f"n__{o}": F.col("n") for o in outcomes}),
+                             [stratum_col], outcomes, ["n", "positives"])
+    pct = F.floor(F.lit(1000.0) * F.col("positives") / F.nullif(F.col("n"), F.lit(0)) + F.lit(0.5)) / F.lit(10.0)
+    return long.select(stratum_col, "outcome", "n", "positives", pct.alias("prevalence_pct"),
+                       (F.col("positives") < F.lit(small_sample)).alias("small_sample"))

@@ -22,10 +22,7 @@ def fairness_cells(holdout_best: DataFrame, cell_cols: list[str],
                    threshold: float = C.DECISION_THRESHOLD) -> DataFrame:
     """Per cell on the hold-out: AUC, TPR, FPR, ECE (4 dp) and n."""
     keys = cell_cols + ["algo"]
-    a = M.auc(holdout_best, keys).select(*keys, "n", "auc")
-    c = M.confusion(holdout_best, keys, threshold).select(*keys, "tpr", "fpr")
-    e = M.ece(holdout_best, keys).select(*keys, "ece")
-    j = a.join(c, keys).join(e, keys)
+    j = M.cell_metrics(holdout_best, keys, threshold)
     return j.select(*keys, R4("auc").alias("auc"), R4("tpr").alias("tpr"),
                     R4("fpr").alias("fpr"), R4("ece").alias("ece"), "n")
 

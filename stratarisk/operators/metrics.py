@@ -135,12 +135,42 @@ def weighted_prf(df: DataFrame, keys: list[str], threshold: float = C.DECISION_T
     return weighted_prf_from_confusion(confusion(df, keys, threshold, y, p6), keys)
 
 
+def confusion_from_histogram(hist: DataFrame, keys: list[str],
+                             threshold: float = C.DECISION_THRESHOLD, p6: str = "p6") -> DataFrame:
+    pred = F.col(p6) >= F.lit(threshold6(threshold))
+    c = hist.groupBy(*keys).agg(
+        F.sum(F.when(pred, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(pred, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~pred, F.col("pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(~pred, F.col("neg")).otherwise(0)).alias("tn"))
+    return c.select(*keys, "tp", "fp", "fn", "tn",
+                    guarded_ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("tpr"),
+                    guarded_ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"))
+
+
+def ece_from_histogram(hist: DataFrame, keys: list[str], n_bins: int = C.ECE_BINS,
+                       p6: str = "p6") -> DataFrame:
+    b = hist.withColumn("bin", ece_bin(p6, n_bins)).withColumn("_n", F.col("pos") + F.col("neg"))
+    per_bin = b.groupBy(*keys, "bin").agg(
+        F.sum("_n").alias("n"), F.sum("pos").alias("sum_y"),
+        F.sum(F.col(p6).cast("bigint") * F.col("_n")).alias("sum_p6"))
+    gap = F.when(F.col("bin") > 0, F.abs(F.col("sum_y") * F.lit(P6_SCALE) - F.col("sum_p6"))).otherwise(0)
+    g = per_bin.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(gap).alias("abs_gap6"))
+    return g.select(*keys, "n", (F.col("abs_gap6").cast("double") / (F.lit(1e6) * F.col("n"))).alias("ece"))
+
+
 def cell_metrics(df: DataFrame, keys: list[str], threshold: float = C.DECISION_THRESHOLD,
                  n_bins: int = C.ECE_BINS, y: str = "y", p6: str = "p6") -> DataFrame:
-    """AUC, weighted P/R/F1, TPR, FPR and ECE per group, from one cached input."""
-    a = auc(df, keys, y, p6).select(*keys, "n", "n_pos", "auc")
-    c = confusion(df, keys, threshold, y, p6)
+    """AUC, weighted P/R/F1, TPR, FPR and ECE per group from ONE pass over the rows.
+
+    The per-group score histogram (bounded by 1,000,001 rows per group) holds
+    everything: AUC walks it, confusion counts threshold it, calibration bins
+    regroup it. The rows are read and aggregated once.
+    """
+    hist = score_histogram(df, keys, y, p6)
+    a = auc_from_histogram(hist, keys, p6).select(*keys, "n", "n_pos", "auc")
+    c = confusion_from_histogram(hist, keys, threshold, p6)
     prf = weighted_prf_from_confusion(c, keys).drop("n")
-    e = ece(df, keys, n_bins, y, p6).drop("n")
+    e = ece_from_histogram(hist, keys, n_bins, p6).drop("n")
     return (a.join(c.select(*keys, "tpr", "fpr"), keys)
              .join(prf, keys).join(e, keys))

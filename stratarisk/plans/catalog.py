@@ -1228,3 +1228,46 @@ def q_perturb_run(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------------------
+# 8. The same operators on a second data set: strata = document language,
+#    outcomes = the two label columns (nothing is tied to the survey strata)
+# ---------------------------------------------------------------------------
+
+LABEL_OUTCOMES = ["quality", "toxic"]
+# stand-in score: document length on a logistic scale (fixed closed form)
+LABEL_SCORE_SQL = "cast(round(1000000.0 / (1 + exp(-(n_chars / 2000.0 - 1.0)))) as int)"
+
+
+def _labelled(spark, sf_dir):
+    d = ST.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    lab = ST.read_table(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id")
+
+
+@query("label_prevalence", """
+select lang, o.outcome, cast(count(*) as bigint) as n,
+  cast(sum(case o.outcome when 'quality' then quality else toxic end) as bigint) as positives,
+  floor(1000.0 * sum(case o.outcome when 'quality' then quality else toxic end) / count(*) + 0.5) / 10.0
+    as prevalence_pct,
+  sum(case o.outcome when 'quality' then quality else toxic end) < 50 as small_sample
+from documents join labels using (doc_id) cross join (values ('quality'), ('toxic')) as o(outcome)
+group by lang, o.outcome""")
+def q_label_prevalence(spark, sf_dir):
+    """Prevalence of both label outcomes per document language."""
+    return CO.prevalence_by(_labelled(spark, sf_dir), "lang", LABEL_OUTCOMES)
+
+
+@query("label_auc", f"""
+with t as (select lang, o.outcome, case o.outcome when 'quality' then quality else toxic end as y,
+             {LABEL_SCORE_SQL} as p6
+           from documents join labels using (doc_id) cross join (values ('quality'), ('toxic')) as o(outcome))
+select * from {O.auc_sql('t', ['lang', 'outcome'])} z""")
+def q_label_auc(spark, sf_dir):
+    """Exact AUC of a length score for each (language, label) cell."""
+    df = _labelled(spark, sf_dir)
+    arr = F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("y")) for o in LABEL_OUTCOMES])
+    long = df.select("lang", F.expr(LABEL_SCORE_SQL).alias("p6"), F.explode(arr).alias("_o")).select(
+        "lang", "_o.outcome", "_o.y", "p6")
+    return M.auc(long, ["lang", "outcome"])
