@@ -137,8 +137,12 @@ def beeswarm_rows(phi: DataFrame, keys: list[str], top: DataFrame) -> DataFrame:
     """phi and the feature value scaled to [0, 1] per (cell, feature) for top features."""
     t = top.select(*keys, "feature", "rank")
     j = phi.join(F.broadcast(t), keys + ["feature"])
-    w = Window.partitionBy(*keys, "feature")
-    lo, hi = F.min("x").over(w), F.max("x").over(w)
+    # Range per (cell, feature) by partial aggregation (cells x features rows,
+    # broadcast back) rather than a window that would put one cell-feature's
+    # rows on one task.
+    rng = j.groupBy(*keys, "feature").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    j = j.join(F.broadcast(rng), keys + ["feature"])
+    lo, hi = F.col("_lo"), F.col("_hi")
     scaled = F.when(hi > lo, (F.col("x") - lo) / (hi - lo)).otherwise(F.lit(0.5))
     return j.select(*keys, "row_id", "rank", "feature", "phi", scaled.alias("x_scaled"))
 

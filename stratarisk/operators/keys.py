@@ -42,12 +42,10 @@ def hash_rank(df: DataFrame, group_cols: list[str], id_col: str, tag: str,
     it the offset table (max_groups x 2^bits rows) is broadcast.
     """
     shift = 32 - bucket_bits
-    # One shuffle by (group, bucket) feeds both the bucket counts and the
-    # in-bucket ranks: both branches reuse the same exchange, so the input
-    # is read and moved once.
+    # The count branch combines map-side (its shuffle carries at most
+    # groups x 2^bits rows); only the ranking branch moves every row.
     d = (df.withColumn("_h", hash32(F.col(id_col), tag, seed))
-           .withColumn("_b", F.shiftright(F.col("_h"), shift))
-           .repartition(*group_cols, "_b"))
+           .withColumn("_b", F.shiftright(F.col("_h"), shift)))
     counts = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     wg = Window.partitionBy(*group_cols)
     offsets = counts.select(

@@ -122,6 +122,13 @@ def score(model: PipelineModel, df: DataFrame, out: str = "p6") -> DataFrame:
     return s.select(*keep, F.round(p * F.lit(1e6)).cast("int").alias(out))
 
 
+def sized_partitions(n_rows: int, rows_per_partition: int = 1_000_000) -> int:
+    """Partitions for one cell's fit: iterative fitters run one job per
+    iteration over every partition, so a small cell is kept on one partition
+    while a large cell stays spread at ~rows_per_partition rows each."""
+    return max(1, math.ceil(n_rows / rows_per_partition))
+
+
 def _cell_filter(cell_cols: list[str], cell: tuple) -> F.Column:
     cond = None
     for c, v in zip(cell_cols, cell):
@@ -132,7 +139,8 @@ def _cell_filter(cell_cols: list[str], cell: tuple) -> F.Column:
 
 def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos: list[str],
                features: list[str], n_trials: int = 20, seed: int = C.SEED, parallelism: int = 8,
-               tune_on: str = "holdout", min_positives: int = C.MIN_POSITIVES_TRAIN) -> dict:
+               tune_on: str = "holdout", min_positives: int = C.MIN_POSITIVES_TRAIN,
+               rows_per_partition: int = 1_000_000) -> dict:
     """Fit every (cell, algo) with random search; returns {(cell, algo): result dict}.
 
     ``rows`` holds one row per (row, cell) with features, label ``y`` and
@@ -145,8 +153,9 @@ def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos:
     # (reliable checkpoint in the shared folder) instead of recomputing the
     # cohort joins and split shuffles for every fit.
     rows = cut_lineage(rows)
-    pos = {tuple(r[:-1]): r[-1] for r in
-           rows.groupBy(*cell_cols).agg(F.sum("y").alias("p")).collect()}
+    stats = {tuple(r[:-2]): (r[-2], r[-1]) for r in
+             rows.groupBy(*cell_cols).agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).collect()}
+    pos = {k: v[0] for k, v in stats.items()}
     train_all = cut_lineage(prepare_training(rows.where(~F.col("is_test")), cell_cols))
 
     def run(cell, algo):
@@ -154,8 +163,9 @@ def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos:
         if pos.get(tuple(cell), 0) < min_positives:
             return (cell, algo), {"model": None, "error": "too few positives", "trials": []}
         try:
-            tr = train_all.where(_cell_filter(cell_cols, cell))
-            ev = rows.where(_cell_filter(cell_cols, cell) & F.col("is_test"))
+            parts = sized_partitions(stats.get(tuple(cell), (0, 0))[1], rows_per_partition)
+            tr = train_all.where(_cell_filter(cell_cols, cell)).coalesce(parts)
+            ev = rows.where(_cell_filter(cell_cols, cell) & F.col("is_test")).coalesce(parts)
             if tune_on == "inner":
                 inner = tr.withColumn("_iv", hash_uniform(F.col("row_id"), "inner", seed) < 0.2)
                 tr_fit, ev_tune = inner.where(~F.col("_iv")), inner.where(F.col("_iv"))
@@ -206,10 +216,12 @@ def cv_fold_scores(rows: DataFrame, cell_cols: list[str], cells: list[tuple], al
     ``rows`` carries a ``fold`` column (label-stratified, see keys.stratified_folds).
     """
     rows = cut_lineage(rows)
+    sizes = {tuple(r[:-1]): r[-1] for r in rows.groupBy(*cell_cols).count().collect()}
 
     def run(cell, algo, f):
         c = _cell_filter(cell_cols, cell)
-        tr = prepare_training(rows.where(c & (F.col("fold") != f)), cell_cols)
+        parts = sized_partitions(sizes.get(tuple(cell), 0))
+        tr = prepare_training(rows.where(c & (F.col("fold") != f)), cell_cols).coalesce(parts)
         m = fit(tr, algo, features, (params or {}).get((cell, algo), DEFAULT_PARAMS[algo]), seed)
         return score(m, rows.where(c & (F.col("fold") == f))).withColumn("algo", F.lit(algo))
 

@@ -7,6 +7,7 @@ checkpoint folder (never pickles, never driver memory).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -34,9 +35,18 @@ def write_csv_report(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def write_per_stratum(df: DataFrame, path: str, stratum_col: str = "stratum") -> str:
-    """One output folder per stratum (stratum stays a column, no union needed)."""
-    return write_parquet(df.repartition(stratum_col), path, partition_by=[stratum_col])
+def write_per_stratum(df: DataFrame, path: str, stratum_col: str = "stratum",
+                      writers_per_stratum: int = 64) -> str:
+    """One output folder per stratum (stratum stays a column, no union needed).
+
+    Rows are spread over (stratum, row-hash salt) so that a stratum holding a
+    large share of the rows is written by up to ``writers_per_stratum`` tasks
+    instead of one; the salt is a hash of the row, so a retried task writes
+    the same rows.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(writers_per_stratum))
+    spread = df.repartition(F.col(stratum_col), salt)
+    return write_parquet(spread, path, partition_by=[stratum_col])
 
 
 def read_per_stratum(spark: SparkSession, path: str, strata: list[str] | None = None) -> DataFrame:
