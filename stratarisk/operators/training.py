@@ -157,6 +157,7 @@ def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos:
              rows.groupBy(*cell_cols).agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).collect()}
     pos = {k: v[0] for k, v in stats.items()}
     train_all = cut_lineage(prepare_training(rows.where(~F.col("is_test")), cell_cols))
+    n_train = {tuple(r[:-1]): r[-1] for r in train_all.groupBy(*cell_cols).count().collect()}
 
     def run(cell, algo):
         key = ":".join(str(c) for c in cell)
@@ -171,7 +172,7 @@ def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos:
                 tr_fit, ev_tune = inner.where(~F.col("_iv")), inner.where(F.col("_iv"))
             else:
                 tr_fit, ev_tune = tr, ev
-            n_tr = tr_fit.count()
+            n_tr = n_train.get(tuple(cell), 0) if tune_on != "inner" else tr_fit.count()
             trials = []
             best_p, best_auc = DEFAULT_PARAMS[algo], None
             n = n_trials if SEARCH_SPACE[algo] else 0
@@ -182,7 +183,7 @@ def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos:
                 trials.append((t, p, a))
                 if a is not None and (best_auc is None or a > best_auc):
                     best_p, best_auc = p, a
-            model = fit(tr, algo, features, best_p, seed)
+            model = fit(tr, algo, features, best_p, seed, n_train.get(tuple(cell), 0))
             return (cell, algo), {"model": model, "params": best_p, "trials": trials, "error": None}
         except Exception as e:  # noqa: BLE001 - a failed fit is a null result row
             return (cell, algo), {"model": None, "error": f"{type(e).__name__}: {e}"[:300], "trials": []}
@@ -216,13 +217,28 @@ def cv_fold_scores(rows: DataFrame, cell_cols: list[str], cells: list[tuple], al
     ``rows`` carries a ``fold`` column (label-stratified, see keys.stratified_folds).
     """
     rows = cut_lineage(rows)
-    sizes = {tuple(r[:-1]): r[-1] for r in rows.groupBy(*cell_cols).count().collect()}
+    # Balanced weights of every (cell, held-out fold) training set at once:
+    # class counts per (cell, fold, label) are tiny, and the training set of
+    # fold f is "all folds minus f".
+    per = rows.groupBy(*cell_cols, "fold", "y").agg(F.count(F.lit(1)).alias("_c")).collect()
+    tot, by_fold = {}, {}
+    for r in per:
+        key = tuple(r[c] for c in cell_cols)
+        tot[(key, r["y"])] = tot.get((key, r["y"]), 0) + r["_c"]
+        by_fold[(key, r["fold"], r["y"])] = r["_c"]
 
     def run(cell, algo, f):
         c = _cell_filter(cell_cols, cell)
-        parts = sized_partitions(sizes.get(tuple(cell), 0))
-        tr = prepare_training(rows.where(c & (F.col("fold") != f)), cell_cols).coalesce(parts)
-        m = fit(tr, algo, features, (params or {}).get((cell, algo), DEFAULT_PARAMS[algo]), seed)
+        n_cls = {y: tot.get((cell, y), 0) - by_fold.get((cell, f, y), 0) for y in (0, 1)}
+        n_tr = n_cls[0] + n_cls[1]
+        w = F.lit(None).cast("double")
+        for y, n in n_cls.items():
+            if n > 0:
+                w = F.when(F.col("y") == y, F.lit(n_tr / (2.0 * n))).otherwise(w)
+        tr = (rows.where(c & (F.col("fold") != f)).withColumn("weight", w)
+              .withColumn("label", F.col("y").cast("double"))
+              .coalesce(sized_partitions(n_tr)))
+        m = fit(tr, algo, features, (params or {}).get((cell, algo), DEFAULT_PARAMS[algo]), seed, n_tr)
         return score(m, rows.where(c & (F.col("fold") == f))).withColumn("algo", F.lit(algo))
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:
