@@ -44,6 +44,35 @@ def assign(points: DataFrame, centres: DataFrame, group_col: str = "stratum") ->
                      F.col("_b.k").alias("cluster"), F.col("_b.d").alias("d2")))
 
 
+def _nearest_unrolled(k: int):
+    """Nearest of k centres as plain (code-generated) expressions: the least
+    (d2, cluster) struct, so ties go to the lower cluster id."""
+    cands = []
+    for i in range(k):
+        c = F.col("_cs").getItem(i)
+        d = ((F.col("x1") - c["c1"]) * (F.col("x1") - c["c1"]) +
+             (F.col("x2") - c["c2"]) * (F.col("x2") - c["c2"]))
+        cands.append(F.struct(d.alias("d"), c["k"].alias("k")))
+    return cands[0] if k == 1 else F.least(*cands)
+
+
+def assign_arrays(points: DataFrame, centre_arrays: DataFrame, group_col: str = "stratum",
+                  k: int | None = None) -> DataFrame:
+    """``assign`` with centres already packed as one array per (group, init).
+
+    With ``k`` known (every array has k centres sorted by cluster id) the
+    distances are unrolled into code-generated expressions instead of an
+    interpreted lambda.
+    """
+    j = points.join(F.broadcast(centre_arrays), group_col)
+    best = (_nearest_unrolled(k) if k else
+            F.expr("array_min(transform(_cs, c -> named_struct("
+                   "'d', (x1 - c.c1) * (x1 - c.c1) + (x2 - c.c2) * (x2 - c.c2), 'k', c.k)))"))
+    return (j.withColumn("_b", best)
+             .select(*[c for c in points.columns], "init",
+                     F.col("_b.k").alias("cluster"), F.col("_b.d").alias("d2")))
+
+
 def update(assigned: DataFrame, group_col: str = "stratum") -> DataFrame:
     """New centres = member means; also inertia contribution per cluster."""
     return assigned.groupBy(group_col, "init", "cluster").agg(
@@ -64,37 +93,107 @@ def init_centres(points: DataFrame, k: int, n_init: int, seed: int = C.SEED,
                       F.col("x1").cast("double").alias("c1"), F.col("x2").cast("double").alias("c2"))
 
 
+def materialize_points(points: DataFrame) -> DataFrame:
+    """Spread points over the task slots, checkpoint them (reliable, cuts the
+    lineage) and keep an in-memory copy for the passes; a lost cached block is
+    re-read from the checkpoint files, not recomputed from the raw tables."""
+    slots = points.sparkSession.sparkContext.defaultParallelism
+    return cut_lineage(points.repartition(max(slots, 1))).persist()
+
+
+def init_kmeanspp(pts: DataFrame, k: int, n_init: int, seed: int = C.SEED,
+                  group_col: str = "stratum") -> list[tuple]:
+    """k-means++ seeding for every (group, init) at once; returns centre rows.
+
+    Centre 1 is the smallest-hash row; centre j + 1 is drawn with probability
+    proportional to the squared distance to the nearest chosen centre, by an
+    exponential race: the row with the least -ln(u) / d2 wins (u a hash
+    uniform of row, init and step). One grouped aggregate per extra centre;
+    only the chosen centres reach the driver.
+    """
+    from stratarisk.functions.hashing import hash_uniform
+    spark = pts.sparkSession
+    first = init_centres(pts, 1, n_init, seed, group_col).collect()
+    chosen = {(r[0], r[1]): [(0, float(r[3]), float(r[4]))] for r in first}
+    arr_schema = "%s string, init int, _cs array<struct<k:int,c1:double,c2:double>>" % group_col
+    for j in range(1, k):
+        arr = spark.createDataFrame([(g, i, cs) for (g, i), cs in sorted(chosen.items())], arr_schema)
+        d = pts.join(F.broadcast(arr), group_col)
+        d2 = F.expr("array_min(transform(_cs, c -> (x1 - c.c1) * (x1 - c.c1) + (x2 - c.c2) * (x2 - c.c2)))")
+        u = hash_uniform(F.col("row_id"), F.col("init"), F.lit(j), "kpp", seed)
+        key = F.when(d2 > 0, -F.log(u) / d2)
+        win = (d.withColumn("_key", key).where(F.col("_key").isNotNull())
+                 .groupBy(group_col, "init")
+                 .agg(F.min(F.struct("_key", "row_id", "x1", "x2")).alias("_w")).collect())
+        for r in win:
+            chosen[(r[0], r[1])].append((j, float(r[2]["x1"]), float(r[2]["x2"])))
+    return [(g, i, c, c1, c2) for (g, i), cs in sorted(chosen.items()) for c, c1, c2 in cs]
+
+
 def lloyd(points: DataFrame, k: int = 3, n_init: int = 10, max_iter: int = 300,
-          tol6: float = 1.0, seed: int = C.SEED, group_col: str = "stratum",
-          centres: DataFrame | None = None):
+          tol: float = 1e-4, seed: int = C.SEED, group_col: str = "stratum",
+          centres: DataFrame | None = None, init: str = "random", checkpointed: bool = False):
     """Grouped Lloyd iterations for every (group, init) at once.
 
-    Returns (final centres with inertia of the best init per group, number
-    of iterations). Points are checkpointed once so each iteration re-reads
+    A (group, init) run stops when the summed squared shift of its centres
+    is at most ``tol`` x the mean per-coordinate variance of the group's
+    points (the usual relative criterion); converged runs are frozen and
+    dropped from later passes, so each pass only touches active runs.
+    Returns (final centres of the best init per group with its inertia,
+    number of passes). Points are checkpointed once so each pass re-reads
     them from reliable storage instead of recomputing their lineage.
     """
     spark = points.sparkSession
-    pts = cut_lineage(points.select(group_col, "row_id", "x1", "x2"))
-    cur = centres if centres is not None else init_centres(pts, k, n_init, seed, group_col)
-    cur_rows = cur.select(group_col, "init", "cluster", "c1", "c2").collect()
+    # Every pass is CPU work over points x active inits: spread the points
+    # over at least the cluster's task slots before checkpointing (AQE would
+    # otherwise coalesce a small table into one partition).
+    pts = points.select(group_col, "row_id", "x1", "x2")
+    if not checkpointed:
+        pts = materialize_points(pts)
+    tol_abs = {r[0]: tol * (float(r[1] or 0.0) + float(r[2] or 0.0)) / 2.0 for r in
+               pts.groupBy(group_col).agg(F.var_pop(F.col("x1").cast("double")),
+                                          F.var_pop(F.col("x2").cast("double"))).collect()}
+    if centres is not None:
+        start = [tuple(r) for r in centres.select(group_col, "init", "cluster", "c1", "c2").collect()]
+    elif init == "k-means++":
+        start = init_kmeanspp(pts, k, n_init, seed, group_col)
+    else:
+        start = [tuple(r) for r in init_centres(pts, k, n_init, seed, group_col).collect()]
+    state = {}
+    for g, i, c, c1, c2 in start:
+        state.setdefault((g, i), {})[c] = (float(c1), float(c2))
+    active = set(state)
     schema = "%s string, init int, cluster int, c1 double, c2 double" % group_col
+
+    def rows_of(keys):
+        return [(g, i, c, c1, c2) for (g, i) in keys for c, (c1, c2) in state[(g, i)].items()]
+
+    arr_schema = "%s string, init int, _cs array<struct<k:int,c1:double,c2:double>>" % group_col
+
+    def arrays_of(keys):
+        # centres are on the driver already: pack one array per (group, init) here
+        return spark.createDataFrame(
+            [(g, i, [(c, c1, c2) for c, (c1, c2) in sorted(state[(g, i)].items())]) for (g, i) in keys],
+            arr_schema)
+
     it = 0
     for it in range(1, max_iter + 1):
-        cdf = spark.createDataFrame(cur_rows, schema)
-        upd = update(assign(pts, cdf, group_col), group_col)
-        new = {(r[0], r[1], r[2]): (r[3], r[4]) for r in
-               upd.select(group_col, "init", "cluster", "c1", "c2").collect()}
-        moved = 0.0
-        nxt = []
-        for g, i, c, c1, c2 in cur_rows:
-            n1, n2 = new.get((g, i, c), (c1, c2))   # an empty cluster keeps its centre
-            moved = max(moved, (n1 - c1) ** 2 + (n2 - c2) ** 2)
-            nxt.append((g, i, c, float(n1), float(n2)))
-        cur_rows = nxt
-        if moved <= tol6 ** 2:
+        if not active:
             break
-    cdf = spark.createDataFrame(cur_rows, schema)
-    fin = update(assign(pts, cdf, group_col), group_col)
+        upd = update(assign_arrays(pts, arrays_of(sorted(active)), group_col, k), group_col)
+        new = {}
+        for r in upd.select(group_col, "init", "cluster", "c1", "c2").collect():
+            new.setdefault((r[0], r[1]), {})[r[2]] = (r[3], r[4])
+        for run in list(active):
+            shift = 0.0
+            for c, (c1, c2) in state[run].items():
+                n1, n2 = new.get(run, {}).get(c, (c1, c2))   # an empty cluster keeps its centre
+                shift += (n1 - c1) ** 2 + (n2 - c2) ** 2
+                state[run][c] = (float(n1), float(n2))
+            if shift <= tol_abs.get(run[0], 0.0):
+                active.discard(run)
+    cdf = spark.createDataFrame(rows_of(sorted(state)), schema)
+    fin = update(assign_arrays(pts, arrays_of(sorted(state)), group_col, k), group_col)
     inertia = fin.groupBy(group_col, "init").agg(F.sum("inertia6").alias("inertia6"))
     w = Window.partitionBy(group_col).orderBy("inertia6", "init")
     best = inertia.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(group_col, "init", "inertia6")
@@ -148,9 +247,10 @@ def elbow(points: DataFrame, ks=range(2, 8), n_init: int = 10, max_iter: int = 3
           seed: int = C.SEED, group_col: str = "stratum") -> DataFrame:
     """Best-init inertia (in probability units squared) for each k."""
     spark = points.sparkSession
+    pts = materialize_points(points.select(group_col, "row_id", "x1", "x2"))
     rows = []
     for k in ks:
-        cent, _ = lloyd(points, k, n_init, max_iter, seed=seed, group_col=group_col)
+        cent, _ = lloyd(pts, k, n_init, max_iter, seed=seed, group_col=group_col, checkpointed=True)
         for r in cent.select(group_col, "inertia6").distinct().collect():
             rows.append((r[0], int(k), float(r[1]) / 1e12))
     return spark.createDataFrame(rows, f"{group_col} string, k int, inertia double")

@@ -753,15 +753,15 @@ def q_partitioned_grades(spark, sf_dir):
 @query("kmeans_grade")
 def q_kmeans_grade(spark, sf_dir):
     """Full grouped k-means (k = 3, 10 inits, best by inertia), graded rows."""
-    pts = _points(spark, sf_dir)
-    cent, _ = GR.lloyd(pts, k=3, n_init=10, max_iter=100, tol6=10.0)
+    pts = GR.materialize_points(_points(spark, sf_dir))
+    cent, _ = GR.lloyd(pts, k=3, n_init=10, max_iter=300, checkpointed=True)
     return GR.apply_grades(pts, GR.grade_rank(cent)).select("stratum", "row_id", "grade", "x1", "x2")
 
 
 @query("elbow")
 def q_elbow(spark, sf_dir):
     """Best-of-10-inits inertia for k = 2..7 per stratum."""
-    return GR.elbow(_points(spark, sf_dir), range(2, 8), n_init=10, max_iter=100)
+    return GR.elbow(_points(spark, sf_dir), range(2, 8), n_init=10, max_iter=300)
 
 
 # ---------------------------------------------------------------------------
