@@ -129,6 +129,20 @@ def sized_partitions(n_rows: int, rows_per_partition: int = 1_000_000) -> int:
     return max(1, math.ceil(n_rows / rows_per_partition))
 
 
+def fit_parallelism(spark, requested: int) -> int:
+    """Concurrent fits allowed by the driver heap (about one per 1.5 GB).
+
+    Fits submitted together share the driver JVM (tree aggregation buffers,
+    broadcast model state); on a small default heap they run one at a time
+    instead of exhausting it.
+    """
+    try:
+        heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    except Exception:  # noqa: BLE001
+        return max(1, requested)
+    return max(1, min(requested, int(heap // (1.5 * 1024 ** 3))))
+
+
 def _cell_filter(cell_cols: list[str], cell: tuple) -> F.Column:
     cond = None
     for c, v in zip(cell_cols, cell):
@@ -188,7 +202,7 @@ def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos:
         except Exception as e:  # noqa: BLE001 - a failed fit is a null result row
             return (cell, algo), {"model": None, "error": f"{type(e).__name__}: {e}"[:300], "trials": []}
 
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+    with ThreadPoolExecutor(max_workers=fit_parallelism(rows.sparkSession, parallelism)) as ex:
         futs = [ex.submit(run, tuple(c), a) for c in cells for a in algos]
         return dict(f.result() for f in futs)
 
@@ -241,7 +255,7 @@ def cv_fold_scores(rows: DataFrame, cell_cols: list[str], cells: list[tuple], al
         m = fit(tr, algo, features, (params or {}).get((cell, algo), DEFAULT_PARAMS[algo]), seed, n_tr)
         return score(m, rows.where(c & (F.col("fold") == f))).withColumn("algo", F.lit(algo))
 
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+    with ThreadPoolExecutor(max_workers=fit_parallelism(rows.sparkSession, parallelism)) as ex:
         futs = [ex.submit(run, tuple(c), a, f) for c in cells for a in algos for f in range(k)]
         parts = [x.result() for x in futs]
     out = parts[0]
