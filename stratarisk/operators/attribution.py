@@ -37,7 +37,8 @@ def hhi(phi: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bootstrap_hhi_multinomial(phi: DataFrame, keys: list[str], index_col: str,
-                              n_boot: int = C.N_BOOTSTRAP, seed: int = C.SEED) -> DataFrame:
+                              n_boot: int = C.N_BOOTSTRAP, seed: int = C.SEED,
+                              with_point: bool = False) -> DataFrame:
     """Per replicate: n draws with replacement of the group's n rows (exact resampling).
 
     ``index_col`` numbers a group's rows 1..n. Draw j of replicate b picks
@@ -54,6 +55,13 @@ def bootstrap_hhi_multinomial(phi: DataFrame, keys: list[str], index_col: str,
     u = hash_uniform(*[F.col(k) for k in keys], F.col("b"), F.col("_j"), "boot", seed)
     draws = draws.select(*keys, "_n", "b", (F.floor(u * F.col("_n")) + 1).cast("bigint").alias(index_col))
     mult = draws.groupBy(*keys, "_n", "b", index_col).agg(F.count(F.lit(1)).alias("_m"))
+    if with_point:
+        # replicate 0 = every row once: the point estimate rides in the same pass
+        ident = (sizes.select(*keys, "_n", F.lit(0).alias("b"),
+                              F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n").cast("bigint")))
+                              .alias(index_col))
+                 .withColumn("_m", F.lit(1).cast("bigint")))
+        mult = mult.unionByName(ident)
     j = mult.join(phi.select(*keys, index_col, "feature", "phi"), keys + [index_col])
     imp = j.groupBy(*keys, "b", "feature").agg(
         (F.sum(F.col("_m") * F.abs("phi")) / F.first("_n")).alias("mean_abs"))
@@ -88,13 +96,18 @@ def bootstrap_hhi_poisson(phi: DataFrame, keys: list[str], row_col: str = "row_i
 def hhi_interval(phi: DataFrame, keys: list[str], index_col: str, n_boot: int = C.N_BOOTSTRAP,
                  seed: int = C.SEED, method: str = "multinomial") -> DataFrame:
     """Transparency table: HHI, bootstrap 2.5 / 97.5 percentiles, verdict."""
-    point = hhi(phi, keys)
     if method == "multinomial":
-        boots = bootstrap_hhi_multinomial(phi, keys, index_col, n_boot, seed)
+        # point estimate = replicate 0 of the same aggregate: attributions are read once
+        boots = bootstrap_hhi_multinomial(phi, keys, index_col, n_boot, seed, with_point=True)
+        j = boots.groupBy(*keys).agg(
+            F.max(F.when(F.col("b") == 0, F.col("hhi"))).alias("hhi"),
+            F.percentile(F.when(F.col("b") > 0, F.col("hhi")), [0.025, 0.975]).alias("_q"))
     else:
+        point = hhi(phi, keys)
         boots = bootstrap_hhi_poisson(phi, keys, "row_id", n_boot, seed)
-    ci = boots.groupBy(*keys).agg(F.percentile("hhi", [0.025, 0.975]).alias("_q"))
-    j = point.join(ci, keys, "left")
+        ci = boots.groupBy(*keys).agg(F.percentile("hhi", [0.025, 0.975]).alias("_q"))
+        j = point.join(ci, keys, "left")
+    j = j.where(F.col("hhi").isNotNull())
     return j.select(*keys, R4("hhi").alias("hhi"), R4(F.col("_q")[0]).alias("hhi_ci_lo"),
                     R4(F.col("_q")[1]).alias("hhi_ci_hi"),
                     judge_metric(R4("hhi"), "G3_hhi").alias("verdict"))

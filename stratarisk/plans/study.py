@@ -96,13 +96,21 @@ class Study:
 
     @cached_property
     def sample(self) -> DataFrame:
-        test = self.split_cells.where(F.col("is_test"))
+        if self.materialize:
+            # hold-out rows straight from the checkpointed scored table (one row
+            # per (row, cell): any single algorithm's copy)
+            test = (self.scored.where(F.col("is_test") & (F.col("algo") == F.lit(FX.STANDIN_BASELINE)))
+                    .select(F.col("row_id").alias("id"), *CELL, *FX.FEATURES))
+        else:
+            test = self.split_cells.where(F.col("is_test"))
         s = K.sample_n_per_group(test, CELL, "id", C.SHAP_SAMPLE, max_groups=FX.n_cells(self.spark))
         return s.withColumnRenamed("id", "row_id")
 
     @cached_property
     def phi(self) -> DataFrame:
-        return AT.linear_shapley(self.sample, CELL, FX.STANDIN_ATTRIBUTION, carry=["sample_rank"])
+        p = AT.linear_shapley(self.sample, CELL, FX.STANDIN_ATTRIBUTION, carry=["sample_rank"])
+        # a sample-sized table read by several indicators: materialise it once
+        return cut_lineage(p) if self.materialize else p
 
     @cached_property
     def transparency(self) -> DataFrame:
