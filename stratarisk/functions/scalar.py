@@ -94,3 +94,15 @@ def parse_mean(text) -> Column:
 def score_to_p6(p) -> Column:
     """Probability -> integer micro-units, so ties and sums are exact."""
     return F.round(_c(p) * F.lit(1000000.0)).cast("int")
+
+
+def mean_of_rounded(x, digits: int = 4) -> Column:
+    """Aggregate mean of values already rounded to ``digits`` decimals, exactly.
+
+    The values are summed as integers (units of 10^-digits), so the result
+    does not depend on summation order, then divided once: any engine
+    evaluating the same expression gets the same bits.
+    """
+    s = float(10 ** digits)
+    units = F.round(_c(x) * F.lit(s)).cast("bigint")
+    return (F.sum(units).cast("double") / F.count(_c(x))) / F.lit(s)

@@ -900,16 +900,21 @@ SQL_EXTRA.update({
         from (values {_CARD_VALUES}) as t(item, met)"""),
 })
 
+def m4(c: str) -> str:
+    """Exact mean of 4-dp values (integer units), as in mean_of_rounded."""
+    return f"((cast(sum(cast(round({c} * 10000.0) as bigint)) as double) / count({c})) / 10000.0)"
+
+
 _IND_SQL = (f"""
 , fgx as (select * from fg)
 , indx as (select o.outcome, fg.delta_auc, fg.eq_odds, fg.delta_ece, cg.cv_gap, tt.temporal_gap,
             pd.perturb_drop, tr.hhi, tr.hhi_lo, tr.hhi_hi, card.card_score, card.met_text, card.unmet_items
           from (values {", ".join(f"('{o}')" for o in OUTCOMES)}) as o(outcome)
           left join fg using (outcome)
-          left join (select outcome, avg(gap) as cv_gap from cvg group by outcome) cg using (outcome)
-          left join (select outcome, avg(gap) as temporal_gap from tg group by outcome) tt using (outcome)
-          left join (select outcome, avg(drop_mean) as perturb_drop from pdrop group by outcome) pd using (outcome)
-          left join (select outcome, avg(hhi) as hhi, avg(hhi_ci_lo) as hhi_lo, avg(hhi_ci_hi) as hhi_hi
+          left join (select outcome, {m4('gap')} as cv_gap from cvg group by outcome) cg using (outcome)
+          left join (select outcome, {m4('gap')} as temporal_gap from tg group by outcome) tt using (outcome)
+          left join (select outcome, {m4('drop_mean')} as perturb_drop from pdrop group by outcome) pd using (outcome)
+          left join (select outcome, {m4('hhi')} as hhi, {m4('hhi_ci_lo')} as hhi_lo, {m4('hhi_ci_hi')} as hhi_hi
                      from transparency group by outcome) tr using (outcome)
           cross join card)
 """)
