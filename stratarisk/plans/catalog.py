@@ -1088,9 +1088,8 @@ from strata s cross join (values {", ".join(f"('{o}')" for o in OUTCOMES)}) as o
 left join ho_auc h on h.stratum = s.stratum and h.outcome = o.outcome and h.algo = a.algo""")
 def q_cell_grid(spark, sf_dir):
     """Every stratum x outcome x algorithm, empty combinations kept (null metrics)."""
-    grid = C.strata_dim(spark).select(
-            "stratum", F.explode(F.array(*[F.lit(o) for o in OUTCOMES])).alias("outcome")).select(
-            "stratum", "outcome", F.explode(F.array(*[F.lit(a) for a in FX.STANDIN_ALGOS])).alias("algo"))
+    grid = FAIR.cell_grid(C.strata_dim(spark), OUTCOMES).select(
+        "stratum", "outcome", F.explode(F.array(*[F.lit(a) for a in FX.STANDIN_ALGOS])).alias("algo"))
     a = M.auc(_holdout(spark, sf_dir), CELL_ALGO)
     return grid.join(a, CELL_ALGO, "left").select(*CELL_ALGO, round_half_up("auc").alias("auc"), "n")
 
