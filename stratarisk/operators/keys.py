@@ -67,11 +67,44 @@ def stratified_split(df: DataFrame, cell_cols: list[str], label_col: str, id_col
                      test_fraction: float = C.TEST_FRACTION, seed: int = C.SEED,
                      out: str = "is_test", max_groups: int | None = None,
                      bucket_bits: int = 12) -> DataFrame:
-    """Label-stratified hold-out: per (cell, label) the first round(f * n) ranks are test."""
-    r = hash_rank(df, cell_cols + [label_col], id_col, "split", seed, bucket_bits,
-                  "_rk", "_gn", max_groups)
-    n_test = F.floor(F.lit(float(test_fraction)) * F.col("_gn") + F.lit(0.5))
-    return r.withColumn(out, F.col("_rk") <= n_test).drop("_rk", "_gn")
+    """Label-stratified hold-out: per (cell, label) the first round(f * n) rows in
+    (h, id) order are test, without shuffling the rows.
+
+    1. bucket counts per (group, bucket) (map-side combined) give each group's
+       target t = round(f * n) and the bucket holding the t-th row;
+    2. only that bucket's rows are ranked, to find the t-th row's (h, id);
+    3. every row is flagged by comparing its (bucket, h, id) with its group's
+       threshold, a map against a broadcast table of one row per group.
+    """
+    groups = cell_cols + [label_col]
+    shift = 32 - bucket_bits
+    d = (df.withColumn("_h", hash32(F.col(id_col), "split", seed))
+           .withColumn("_b", F.shiftright(F.col("_h"), shift)))
+    counts = d.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    wg = Window.partitionBy(*groups)
+    off = counts.select(*groups, "_b", "_cnt",
+                        (F.sum("_cnt").over(wg.orderBy("_b")) - F.col("_cnt")).alias("_off"),
+                        F.sum("_cnt").over(wg).alias("_gn"))
+    t = F.floor(F.lit(float(test_fraction)) * F.col("_gn") + F.lit(0.5))
+    cut = (off.withColumn("_t", t)
+              .where((F.col("_off") < F.col("_t")) & (F.col("_t") <= F.col("_off") + F.col("_cnt")))
+              .select(*groups, F.col("_b").alias("_cb"), (F.col("_t") - F.col("_off")).alias("_r")))
+    bound = None if max_groups is None else max_groups
+    ren = {g: f"_k{i}" for i, g in enumerate(groups)}
+    cut_r = cut.select(*[F.col(g).alias(ren[g]) for g in groups], "_cb", "_r")
+    cond = [F.col(g) == F.col(ren[g]) for g in groups] + [F.col("_b") == F.col("_cb")]
+    cand = d.join(bounded_broadcast(cut_r, bound), cond).select(*groups, "_cb", "_r", "_h", id_col)
+    rn = F.row_number().over(Window.partitionBy(*groups).orderBy("_h", id_col))
+    thr = (cand.withColumn("_rn", rn).where(F.col("_rn") == F.col("_r"))
+               .select(*groups, "_cb", F.col("_h").alias("_th"), F.col(id_col).alias("_tid")))
+    thr_r = thr.select(*[F.col(g).alias(ren[g]) for g in groups], "_cb", "_th", "_tid")
+    j = d.join(bounded_broadcast(thr_r, bound), [F.col(g).eqNullSafe(F.col(ren[g])) for g in groups], "left")
+    j = j.drop(*ren.values())
+    below = (F.col("_b") < F.col("_cb")) | (
+        (F.col("_b") == F.col("_cb")) &
+        ((F.col("_h") < F.col("_th")) | ((F.col("_h") == F.col("_th")) & (F.col(id_col) <= F.col("_tid")))))
+    # groups with target 0 have no threshold row: nothing is test
+    return j.withColumn(out, F.coalesce(below, F.lit(False))).drop("_h", "_b", "_cb", "_th", "_tid")
 
 
 def stratified_folds(df: DataFrame, cell_cols: list[str], label_col: str, id_col: str,

@@ -54,3 +54,12 @@ def test_top_k_equals_rank_prefix(spark):
     top = K.hash_top_k(df, ["g"], "id", 25, "t", bucket_bits=6)
     full = K.hash_rank(df, ["g"], "id", "t").where("rank <= 25")
     assert sorted((r.id, r._rank) for r in top.collect()) == sorted((r.id, r.rank) for r in full.collect())
+
+
+def test_split_threshold_equals_rank_definition(spark):
+    df = _rows(spark, 5000)
+    s = K.stratified_split(df, ["g"], "y", "id", bucket_bits=5)
+    r = K.hash_rank(df, ["g", "y"], "id", "split", bucket_bits=5)
+    want = r.select("id", (F.col("rank") <= F.floor(0.3 * F.col("group_n") + 0.5)).alias("t"))
+    got = s.select("id", F.col("is_test").alias("t"))
+    assert sorted(got.collect()) == sorted(want.collect())
