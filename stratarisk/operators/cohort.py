@@ -86,7 +86,11 @@ def stratum_outcome_counts(cohort: DataFrame, strata: DataFrame, outcomes: list[
            .agg(F.count(F.lit(1)).alias("n"),
                 *[F.sum(F.col(o).cast("bigint")).alias(f"positives__{o}") for o in outcomes]))
     dim = strata.select("stratum", "stratum_order", "sex", "age_group")
-    j = F.broadcast(dim).join(agg, ["sex", "age_group"], "left")
+    # keep only configured strata (broadcast semi-join), so the aggregate is
+    # bounded by the dimension and can be broadcast into the left join that
+    # keeps empty strata
+    agg = agg.join(F.broadcast(dim.select("sex", "age_group")), ["sex", "age_group"], "left_semi")
+    j = dim.join(F.broadcast(agg), ["sex", "age_group"], "left")
     j = j.select("stratum", "stratum_order",
                  F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
                  *[F.coalesce(f"positives__{o}", F.lit(0)).cast("bigint").alias(f"positives__{o}")
@@ -124,7 +128,7 @@ def class_weights(rows: DataFrame, cell_cols: list[str], label_col: str = "y") -
     """Balanced class weight n / (2 * n_class) per cell and class (one groupBy)."""
     per_class = rows.groupBy(*cell_cols, label_col).agg(F.count(F.lit(1)).alias("n_class"))
     tot = per_class.groupBy(*cell_cols).agg(F.sum("n_class").alias("n_cell"))
-    out = per_class.join(tot, cell_cols)
+    out = per_class.join(F.broadcast(tot), cell_cols)   # one row per cell
     return out.select(*cell_cols, F.col(label_col).alias("y"), "n_class",
                       (F.col("n_cell").cast("double") / (F.lit(2.0) * F.col("n_class"))).alias("weight"))
 
