@@ -122,13 +122,6 @@ def score(model: PipelineModel, df: DataFrame, out: str = "p6") -> DataFrame:
     return s.select(*keep, F.round(p * F.lit(1e6)).cast("int").alias(out))
 
 
-def sized_partitions(n_rows: int, rows_per_partition: int = 1_000_000) -> int:
-    """Partitions for one cell's fit: iterative fitters run one job per
-    iteration over every partition, so a small cell is kept on one partition
-    while a large cell stays spread at ~rows_per_partition rows each."""
-    return max(1, math.ceil(n_rows / rows_per_partition))
-
-
 def fit_parallelism(spark, requested: int) -> int:
     """Concurrent fits allowed by the driver heap (about one per 1.5 GB).
 
@@ -153,8 +146,7 @@ def _cell_filter(cell_cols: list[str], cell: tuple) -> F.Column:
 
 def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos: list[str],
                features: list[str], n_trials: int = 20, seed: int = C.SEED, parallelism: int = 8,
-               tune_on: str = "holdout", min_positives: int = C.MIN_POSITIVES_TRAIN,
-               rows_per_partition: int = 1_000_000) -> dict:
+               tune_on: str = "holdout", min_positives: int = C.MIN_POSITIVES_TRAIN) -> dict:
     """Fit every (cell, algo) with random search; returns {(cell, algo): result dict}.
 
     ``rows`` holds one row per (row, cell) with features, label ``y`` and
@@ -178,9 +170,8 @@ def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos:
         if pos.get(tuple(cell), 0) < min_positives:
             return (cell, algo), {"model": None, "error": "too few positives", "trials": []}
         try:
-            parts = sized_partitions(stats.get(tuple(cell), (0, 0))[1], rows_per_partition)
-            tr = train_all.where(_cell_filter(cell_cols, cell)).coalesce(parts)
-            ev = rows.where(_cell_filter(cell_cols, cell) & F.col("is_test")).coalesce(parts)
+            tr = train_all.where(_cell_filter(cell_cols, cell))
+            ev = rows.where(_cell_filter(cell_cols, cell) & F.col("is_test"))
             if tune_on == "inner":
                 inner = tr.withColumn("_iv", hash_uniform(F.col("row_id"), "inner", seed) < 0.2)
                 tr_fit, ev_tune = inner.where(~F.col("_iv")), inner.where(F.col("_iv"))
@@ -250,8 +241,7 @@ def cv_fold_scores(rows: DataFrame, cell_cols: list[str], cells: list[tuple], al
             if n > 0:
                 w = F.when(F.col("y") == y, F.lit(n_tr / (2.0 * n))).otherwise(w)
         tr = (rows.where(c & (F.col("fold") != f)).withColumn("weight", w)
-              .withColumn("label", F.col("y").cast("double"))
-              .coalesce(sized_partitions(n_tr)))
+              .withColumn("label", F.col("y").cast("double")))
         m = fit(tr, algo, features, (params or {}).get((cell, algo), DEFAULT_PARAMS[algo]), seed, n_tr)
         return score(m, rows.where(c & (F.col("fold") == f))).withColumn("algo", F.lit(algo))
 
