@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,13 +56,44 @@ def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 ** 2
     }
 
 
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make a session ready for the library: shared folder known, package importable on the executors.
+
+    The package goes out as a zip through Spark's own file distribution, as
+    ``--py-files`` would send it; once per application.
+    """
+    ensure_checkpoint_dir(spark)
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="stratarisk-ship-"), "stratarisk_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for top, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(top, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(target)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    Where the setting is absent, a folder of this machine is made in local mode
+    only; on a cluster the executors could not see it, so that is an error.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="stratarisk-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
