@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
+from . import fingerprint
 from . import ngram_join
+from . import pack
+from . import shard
+from . import substring_dedup
+from . import url_filter
+from . import warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,3 +33,98 @@ def query(name: str, sql: str | None = None):
 def op9(spark, sf_dir):
     """Shingle count and link component of every document."""
     return ngram_join.ngram_jaccard_join(C.table(spark, sf_dir, "documents"))
+
+
+@query("op3_substring_dedup")
+def op3(spark, sf_dir):
+    """Words left of every document once all repeated 35-word windows are cut out."""
+    kept = substring_dedup.remove_repeats(C.table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op1_sampled_splitter_shards")
+def op1(spark, sf_dir):
+    """Shard and slot of every document, shards of near-equal bytes."""
+    return shard.shard_documents(C.table(spark, sf_dir, "documents"), shards=8)
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing contract, where the tokenizer package keeps it."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op6_differencing_pack")
+def op6(spark, sf_dir):
+    """Every piece of every document with its place in a sequence of at most 2048 ids."""
+    return pack.pack_documents(C.table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op10_winnowed_fingerprints")
+def op10(spark, sf_dir):
+    """Fingerprint of every document and of its edited text, with the likeness of both and of the next document."""
+    return fingerprint.fingerprint_neighbours(C.table(spark, sf_dir, "documents"))
+
+
+#: fixed values: the rules of the URL contract
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query("op4_tree_url_filter")
+def op4(spark, sf_dir):
+    """Verdict on every page's URL: rules first, boosted trees for the rest."""
+    return url_filter.judge_urls(C.table(spark, sf_dir, "pages"), URL_RULES).drop("score")
+
+
+def archive_records(pages: DataFrame) -> DataFrame:
+    """Stand-in archive records in the schema of resolve_revisits: a response and a later revisit of every page."""
+    url, page = F.coalesce(F.col("url"), F.lit("")), F.col("page_id")
+    digest = F.md5(F.coalesce("html", F.lit("")))
+    day = F.lit("day ")
+    later = page * 60 + F.when(page % 11 == 0, -3600).otherwise(3600)
+    response = F.struct(
+        (page * 2).alias("record_id"), url.alias("url"), (page * 60).alias("ts"), F.lit("response").alias("kind"), F.lit(200).alias("status"),
+        F.concat(F.lit('"'), digest, F.lit('"')).alias("etag"), F.concat(day, (page % 7).cast("string")).alias("last_modified"), digest.alias("digest"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"),
+                     F.lit("date"), (page * 60).cast("string"), F.lit("cache-control"), F.lit("max-age=60")).alias("headers"))
+    revisit = F.struct(
+        (page * 2 + 1).alias("record_id"), F.concat(F.regexp_replace(url, "^https:", "HTTPS:"), F.lit("#again")).alias("url"), later.alias("ts"),
+        F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
+        F.when(page % 3 == 0, F.concat(F.lit('W/"'), digest, F.lit('"'))).when(page % 5 == 0, F.lit('"other"')).otherwise(F.lit(None).cast("string")).alias("etag"),
+        F.when(page % 4 != 0, F.concat(day, (page % 7).cast("string"))).otherwise(F.lit(None).cast("string")).alias("last_modified"),
+        F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), later.cast("string"), F.lit("expires"), F.lit("never")).alias("headers"))
+    return pages.select(F.explode(F.array(response, revisit)).alias("r")).select("r.*")
+
+
+OP7_SQL = r"""
+with p as (select page_id, coalesce(url, '') as url, md5(coalesce(html, '')) as digest, strlen(coalesce(html, '')) as bytes from pages),
+recs as (
+  select page_id * 2 as record_id, url, page_id * 60 as ts, 'response' as kind, '"' || digest || '"' as etag, 'day ' || (page_id % 7) as last_modified, digest, bytes from p
+  union all
+  select page_id * 2 + 1, regexp_replace(url, '^https:', 'HTTPS:') || '#again', page_id * 60 + case when page_id % 11 = 0 then -3600 else 3600 end, 'revisit',
+    case when page_id % 3 = 0 then 'W/"' || digest || '"' when page_id % 5 = 0 then '"other"' end,
+    case when page_id % 4 <> 0 then 'day ' || (page_id % 7) end, null, 0 from p),
+cut as (select *, lower(regexp_extract(regexp_replace(url, '#.*$', ''), '^([^:/?#]+://[^/?]*)', 1)) as head, regexp_replace(url, '#.*$', '') as bare from recs),
+canon as (select *, case when head <> '' then
+    regexp_replace(regexp_replace(head, '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
+    || case when starts_with(substr(bare, length(head) + 1), '/') then substr(bare, length(head) + 1) else '/' || substr(bare, length(head) + 1) end end as canon from cut),
+latest as (
+  select v.record_id, v.canon, v.ts, v.etag, v.last_modified, r.record_id as rid, r.etag as retag, r.last_modified as rlast, r.digest as rdigest, r.bytes, r.ts as rts
+  from canon v left join canon r on r.kind = 'response' and r.canon = v.canon and r.ts < v.ts
+  where v.kind = 'revisit'
+  qualify row_number() over (partition by v.record_id order by r.ts desc nulls last, r.record_id desc) = 1),
+judged as (select *, case when rid is null then 'missing'
+    when coalesce(case when etag is not null and retag is not null then regexp_replace(etag, '^W/', '') = regexp_replace(retag, '^W/', '')
+                       when last_modified is not null and rlast is not null then last_modified = rlast end, true) then 'resolved' else 'changed' end as outcome from latest)
+select record_id, canon, ts, outcome, case when outcome = 'resolved' then rid end as response_id, case when outcome = 'resolved' then rdigest end as digest,
+  case when outcome = 'resolved' then 'cache-control: max-age=60 | content-length: ' || bytes || ' | content-type: text/html | date: ' || ts || ' | expires: never' end as headers
+from judged"""
+
+
+@query("op7_revisit_resolution", OP7_SQL)
+def op7(spark, sf_dir):
+    """Every revisit with the latest earlier response of its canonical URL and the merged headers."""
+    got = warc.resolve_revisits(archive_records(C.table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return got.withColumn("headers", F.array_join(lines, " | "))
