@@ -30,7 +30,6 @@ from . import common as C
 
 U64 = np.uint64
 SKETCH = 1 << 16
-SIGNATURE_LONGS = 16
 
 
 def needed(n):
@@ -68,19 +67,24 @@ def class_keys(at: np.ndarray, keys: np.ndarray) -> pa.Array:
     return pa.array(got.to_pylist(), pa.binary(), mask=np.diff(at) == 0)
 
 
-def signatures(at: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """1024-bit signature of each set, as rows of 64-bit words."""
-    n, row = len(at) - 1, np.repeat(np.arange(len(at) - 1), np.diff(at))
-    bits = np.zeros((n, SIGNATURE_LONGS * 64), bool)
-    bits[row, (keys >> U64(20)).astype(np.int64) & (SIGNATURE_LONGS * 64 - 1)] = True
-    return np.packbits(bits, axis=1, bitorder="little").view(U64) if n else np.zeros((0, SIGNATURE_LONGS), U64)
+def signatures(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds in 64-bit words, words): a signature of each set, of a power of two of at least 4 n bits."""
+    n = np.diff(at)
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(4 * n, 64))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(n)), n)
+    flat = np.zeros(start[-1], bool)
+    flat[start[:-1][row] + ((keys >> U64(20)).astype(np.int64) & (bits[row] - 1))] = True
+    return start // 64, np.packbits(flat, bitorder="little").view(U64)
 
 
-def overlap_bound(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Upper bound of the overlap: every bit that only one side has stands for an element that only it has."""
-    only_a = np.bitwise_count(a & ~b).sum(axis=1).astype(np.int64)
-    only_b = np.bitwise_count(b & ~a).sum(axis=1).astype(np.int64)
-    return np.minimum(na - only_a, nb - only_b)
+def overlap_bound(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> int:
+    """Upper bound of the overlap: every bit that only one side has stands for an element that only it has. The wider signature is folded."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2:]
+    return min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum()))
 
 
 def linked(shared, na, nb):
@@ -102,9 +106,9 @@ def _index(docs: DataFrame, k: int, weights) -> DataFrame:
                 order = np.lexsort((keys, rank[(keys >> U64(48)).astype(np.int64)], row))
                 place = np.arange(len(keys)) - at[:-1][row]
                 first = place < (n - needed(n) + 1)[row]
-                sig = signatures(at, keys)
+                sig_at, sig = signatures(at, keys)
                 yield from out.add([x.column(0).slice(lo, len(n)), class_keys(at, keys), C.longs(n),
-                                    C.packed(sig.reshape(-1), np.arange(len(n) + 1) * SIGNATURE_LONGS),
+                                    C.packed(sig, sig_at),
                                     C.packed(keys[order][first], C.pick(at, first))])
         yield from out.flush()
 
@@ -146,9 +150,10 @@ def _survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for x in batches:
-            a, b = (C.unpacked(x.column(i))[1].reshape(-1, SIGNATURE_LONGS) for i in (4, 5))
+            (at_a, a), (at_b, b) = C.unpacked(x.column(4)), C.unpacked(x.column(5))
             na, nb = (x.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            keep = linked(overlap_bound(a, b, na, nb), na, nb)
+            most = np.array([overlap_bound(a[at_a[i]: at_a[i + 1]], b[at_b[i]: at_b[i + 1]], na[i], nb[i]) for i in range(x.num_rows)], np.int64)
+            keep = linked(most, na, nb)
             yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(keep)), x.column(1).filter(pa.array(keep))], schema=schema)
 
     side = lambda c: classes.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"sig{c}"))
@@ -257,8 +262,7 @@ def _check(docs: DataFrame, k: int, pairs: DataFrame, classes: DataFrame, name:
     """The links among candidate pairs: bit-count bound first, then exact intersection."""
     left = C.materialize(_survivors(pairs, classes), name)
     wanted = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
-    arrays = C.materialize(_arrays(docs, k, wanted), f"{name}-arrays")
-    return C.materialize(_verified(left, arrays), f"{name}-links")
+    return C.materialize(_verified(left, _arrays(docs, k, wanted)), f"{name}-links")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
