@@ -188,9 +188,26 @@ class Buffered:
         return pa.Table.from_batches(out).combine_chunks().to_batches() if out else []
 
 
+def grouped_order(group: np.ndarray, keys: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """Order by (group, rank, key); group ascends already. One integer sort where the leading bits tell all keys apart."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    width = int(group[-1]).bit_length() + (6 if rank is not None else 0)
+    if width < 40:
+        lead = group.astype(U64) if rank is None else (group.astype(U64) << U64(6)) | rank.astype(U64)
+        whole = (lead << U64(64 - width)) | (keys >> U64(width)) if width else keys
+        order = np.argsort(whole)
+        whole = whole[order]
+        same = whole[1:] == whole[:-1]
+        if not (same & (keys[order[1:]] != keys[order[:-1]])).any():
+            return order
+    return np.lexsort((keys, group) if rank is None else (keys, rank, group))
+
+
 def sketch_counts(df: DataFrame, count, buckets: int) -> np.ndarray:
     """Counts per bucket over the whole input. count(batch) gives an array of length ``buckets``; what reaches the driver is that one array."""
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+    span = 12
 
     def run(batches):
         total = np.zeros(buckets, np.int64)
@@ -199,9 +216,23 @@ def sketch_counts(df: DataFrame, count, buckets: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=schema)
 
-    got = df.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    def dense(batches):
+        for x in batches:
+            held = []
+            for part in x.column(1):
+                n = np.zeros(1 << span, np.int64)
+                n[np.asarray(part.values.field(0))] = np.asarray(part.values.field(1))
+                held.append(n.tobytes())
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(held, pa.binary())], names=["chunk", "counts"])
+
+    low = F.col("bucket").bitwiseAND(F.lit((1 << span) - 1))
+    got = (df.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+           .groupBy(F.shiftright("bucket", span).alias("chunk")).agg(F.collect_list(F.struct(low.alias("i"), F.col("n"))).alias("part"))
+           .mapInArrow(dense, "chunk int, counts binary").collect())
     out = np.zeros(buckets, np.int64)
-    out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    for r in got:
+        n = np.frombuffer(r["counts"], np.int64)[: buckets - (r["chunk"] << span)]
+        out[r["chunk"] << span: (r["chunk"] << span) + len(n)] = n
     return out
 
 
