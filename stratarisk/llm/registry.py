@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import decontam
 from . import fingerprint
+from . import line_dedup
 from . import ngram_join
 from . import pack
+from . import quality
 from . import shard
 from . import substring_dedup
 from . import url_filter
@@ -128,3 +131,21 @@ def op7(spark, sf_dir):
     got = warc.resolve_revisits(archive_records(C.table(spark, sf_dir, "pages")))
     lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
     return got.withColumn("headers", F.array_join(lines, " | "))
+
+
+@query("op2_line_set_join")
+def op2(spark, sf_dir):
+    """Lines of every document, and the numbers of those that an earlier line matches."""
+    return line_dedup.line_report(C.table(spark, sf_dir, "documents"))
+
+
+@query("op5_latent_decontamination")
+def op5(spark, sf_dir):
+    """Documents with the benchmark items found in them."""
+    return decontam.find_leaks(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_cotrained_quality")
+def op8(spark, sf_dir):
+    """Quality score of every document and whether it is kept."""
+    return quality.score_documents(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels"))
