@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
 Words are hashed in runs of k; of every window of w consecutive runs the
-smallest hash is marked, the rightmost on ties. Two texts that share k + w - 1
+smallest hash (by its leading 32 bits) is marked, the rightmost on ties. Two texts that share k + w - 1
 consecutive words share a mark there: the choice depends on the window alone.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from . import common as C
 
 GRAM, WINDOW = 5, 8
-BLANK = " \t\n\x0b\x0c\r"
+BLANKS = "\t\n\x0b\x0c\r"
 
 
 def _let(value: Column, use) -> Column:
@@ -23,39 +23,49 @@ def _let(value: Column, use) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    bare = F.btrim(text, F.lit(BLANK))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
+    """Runs without ASCII white space."""
+    for c in BLANKS:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def _merged(x: Column, step: int, join) -> Column:
+    """join(x[i], x[i + step]) for every i that has both."""
+    return F.zip_with(F.slice(x, 1, F.size(x) - step), F.slice(x, 1 + step, F.size(x)), join)
+
+
+def _over(x: Column, width: int, join) -> Column:
+    """A fold of each run of ``width`` elements, by doubling the runs."""
+    def grow(have: int, runs: Column) -> Column:
+        if have == width:
+            return runs
+        step = min(have, width - have)
+        return _let(_merged(runs, step, join), lambda y: grow(have + step, y))
+    return grow(1, x)
 
 
 def gram_hashes(words: Column, k: int) -> Column:
     """A hash of each run of k words; fewer words make one run, none make none."""
     def of(x):
-        last = F.greatest(F.size(x) - F.lit(k), F.lit(0))
-        return F.when(F.size(x) == 0, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(x, i + j) for j in range(k)])))
+        return (F.when(F.size(x) >= k, _let(F.transform(x, lambda w: F.xxhash64(w)), lambda h: _over(h, k, lambda a, b: F.xxhash64(a, b))))
+                .when(F.size(x) > 0, F.array(F.xxhash64(x))).otherwise(F.array().cast("array<bigint>")))
     return _let(words, of)
 
 
-def mark_positions(grams: Column, w: int) -> Column:
-    """Positions of the marked runs, ascending."""
+def _places(grams: Column, w: int) -> Column:
+    """The marks, ascending: leading 32 bits of the smallest hash of each window, and below them how far its place is from the last possible one."""
     def of(g):
-        last = F.greatest(F.size(g) - F.lit(w), F.lit(0))
-
-        def rightmost(i):
-            def at(m):
-                pick = i
-                for j in range(1, w):
-                    pick = F.when(F.get(g, i + j) == m, i + j).otherwise(pick)
-                return pick
-            return _let(F.least(*[F.get(g, i + j) for j in range(w)]), at)
-        return F.when(F.size(g) == 0, F.array().cast("array<int>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), last), rightmost)))
+        placed = F.transform(g, lambda h, i: h.bitwiseAND(F.lit(-(1 << 32))).bitwiseOR((F.lit(0x7FFFFFFF) - i).cast("bigint")))
+        return _let(placed, lambda v: F.when(F.size(v) >= w, F.array_distinct(_over(v, w, lambda a, b: F.least(a, b))))
+                    .when(F.size(v) > 0, F.array(F.array_min(v))).otherwise(v))
     return _let(grams, of)
 
 
 def winnow(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
-    """struct(positions, hashes) of the marks of a text: word positions, and the 32-bit hashes there."""
-    return _let(gram_hashes(words_of(F.coalesce(text, F.lit(""))), k), lambda g: _let(
-        mark_positions(g, w), lambda p: F.struct(p.alias("positions"), F.transform(p, lambda i: F.get(g, i).bitwiseAND(F.lit(0xFFFFFFFF))).alias("hashes"))))
+    """struct(positions, hashes) of the marks of a text: word positions, and the 32 bits of the hashes that were compared."""
+    return _let(_places(gram_hashes(words_of(F.coalesce(text, F.lit(""))), k), w), lambda v: F.struct(
+        F.transform(v, lambda x: (F.lit(0x7FFFFFFF) - x.bitwiseAND(F.lit(0xFFFFFFFF))).cast("int")).alias("positions"),
+        F.transform(v, lambda x: F.shiftright(x, 32).cast("int")).alias("hashes")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -67,7 +77,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(marks: Column) -> Column:
-    return F.array_join(F.transform(marks, lambda h: F.hex(h)), " ")
+    return F.array_join(F.transform(marks, lambda h: F.hex(h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), " ")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = GRAM, w: int = WINDOW) -> DataFrame:
