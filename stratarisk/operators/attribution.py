@@ -89,7 +89,8 @@ def bootstrap_hhi_poisson(phi: DataFrame, keys: list[str], row_col: str = "row_i
     w = sum((u > F.lit(c)).cast("int") for c in cdf)
     r = r.withColumn("_w", w)
     imp = r.groupBy(*keys, "b", "feature").agg(
-        (F.sum(F.col("_w") * F.abs("phi")) / F.sum("_w")).alias("mean_abs"))
+        # a small group can draw no row at all in a replicate: that replicate is left out
+        F.try_divide(F.sum(F.col("_w") * F.abs("phi")), F.sum("_w")).alias("mean_abs"))
     return hhi_from_importance(imp.where(F.col("mean_abs").isNotNull()), keys + ["b"])
 
 

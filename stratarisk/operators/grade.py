@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from stratarisk import config as C
 from stratarisk.functions.scalar import round_half_up
 from stratarisk.operators.keys import hash_top_k
-from stratarisk.session import cut_lineage
+from stratarisk.session import scratch_path
 
 R4 = round_half_up
 
@@ -49,10 +49,11 @@ def _nearest_unrolled(k: int):
     (d2, cluster) struct, so ties go to the lower cluster id."""
     cands = []
     for i in range(k):
-        c = F.col("_cs").getItem(i)
+        c = F.get(F.col("_cs"), i)
         d = ((F.col("x1") - c["c1"]) * (F.col("x1") - c["c1"]) +
              (F.col("x2") - c["c2"]) * (F.col("x2") - c["c2"]))
-        cands.append(F.struct(d.alias("d"), c["k"].alias("k")))
+        # a group of fewer distinct points than k has fewer centres
+        cands.append(F.when(c.isNotNull(), F.struct(d.alias("d"), c["k"].alias("k"))))
     return cands[0] if k == 1 else F.least(*cands)
 
 
@@ -94,11 +95,14 @@ def init_centres(points: DataFrame, k: int, n_init: int, seed: int = C.SEED,
 
 
 def materialize_points(points: DataFrame) -> DataFrame:
-    """Spread points over the task slots, checkpoint them (reliable, cuts the
-    lineage) and keep an in-memory copy for the passes; a lost cached block is
-    re-read from the checkpoint files, not recomputed from the raw tables."""
-    slots = points.sparkSession.sparkContext.defaultParallelism
-    return cut_lineage(points.repartition(max(slots, 1))).persist()
+    """The points written once under the shared folder; the passes read that table.
+
+    The input's partitions stay as they are, and nothing is held in executor
+    memory or on their disks.
+    """
+    path = scratch_path(points.sparkSession, "points")
+    points.write.parquet(path)
+    return points.sparkSession.read.schema(points.schema).parquet(path)
 
 
 def init_kmeanspp(pts: DataFrame, k: int, n_init: int, seed: int = C.SEED,
@@ -132,7 +136,7 @@ def init_kmeanspp(pts: DataFrame, k: int, n_init: int, seed: int = C.SEED,
 
 def lloyd(points: DataFrame, k: int = 3, n_init: int = 10, max_iter: int = 300,
           tol: float = 1e-4, seed: int = C.SEED, group_col: str = "stratum",
-          centres: DataFrame | None = None, init: str = "random", checkpointed: bool = False):
+          centres: DataFrame | None = None, init: str = "k-means++", checkpointed: bool = False):
     """Grouped Lloyd iterations for every (group, init) at once.
 
     A (group, init) run stops when the summed squared shift of its centres
@@ -144,9 +148,6 @@ def lloyd(points: DataFrame, k: int = 3, n_init: int = 10, max_iter: int = 300,
     them from reliable storage instead of recomputing their lineage.
     """
     spark = points.sparkSession
-    # Every pass is CPU work over points x active inits: spread the points
-    # over at least the cluster's task slots before checkpointing (AQE would
-    # otherwise coalesce a small table into one partition).
     pts = points.select(group_col, "row_id", "x1", "x2")
     if not checkpointed:
         pts = materialize_points(pts)

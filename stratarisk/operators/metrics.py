@@ -100,13 +100,17 @@ def ece(df: DataFrame, keys: list[str], n_bins: int = C.ECE_BINS,
 
     In micro-units the numerator is an exact integer.
     """
-    bins = reliability_bins(df, keys, n_bins, y, p6)
-    num = bins.groupBy(*keys).agg(
-        F.sum(F.abs(F.col("sum_y") * F.lit(P6_SCALE) - F.col("sum_p6"))).alias("abs_gap6"))
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    j = n.join(num, keys, "left")
-    return j.select(*keys, "n",
-                    (F.coalesce("abs_gap6", F.lit(0)).cast("double") / (F.lit(1e6) * F.col("n"))).alias("ece"))
+    b = df.withColumn("bin", ece_bin(p6, n_bins))
+    per_bin = b.groupBy(*keys, "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("bigint")).alias("sum_y"), F.sum(F.col(p6).cast("bigint")).alias("sum_p6"))
+    return _ece_of_bins(per_bin, keys)
+
+
+def _ece_of_bins(per_bin: DataFrame, keys: list[str]) -> DataFrame:
+    """Bin 0 holds the scores of no bin: they count in n only."""
+    gap = F.when(F.col("bin") > 0, F.abs(F.col("sum_y") * F.lit(P6_SCALE) - F.col("sum_p6"))).otherwise(0)
+    g = per_bin.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(gap).alias("abs_gap6"))
+    return g.select(*keys, "n", (F.col("abs_gap6").cast("double") / (F.lit(1e6) * F.col("n"))).alias("ece"))
 
 
 def _f1(p: Column, r: Column) -> Column:
@@ -154,9 +158,7 @@ def ece_from_histogram(hist: DataFrame, keys: list[str], n_bins: int = C.ECE_BIN
     per_bin = b.groupBy(*keys, "bin").agg(
         F.sum("_n").alias("n"), F.sum("pos").alias("sum_y"),
         F.sum(F.col(p6).cast("bigint") * F.col("_n")).alias("sum_p6"))
-    gap = F.when(F.col("bin") > 0, F.abs(F.col("sum_y") * F.lit(P6_SCALE) - F.col("sum_p6"))).otherwise(0)
-    g = per_bin.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(gap).alias("abs_gap6"))
-    return g.select(*keys, "n", (F.col("abs_gap6").cast("double") / (F.lit(1e6) * F.col("n"))).alias("ece"))
+    return _ece_of_bins(per_bin, keys)
 
 
 def cell_metrics(df: DataFrame, keys: list[str], threshold: float = C.DECISION_THRESHOLD,

@@ -10,7 +10,8 @@ Model families (Spark ML counterparts of the study's libraries):
 
 * ``LR``   LogisticRegression, balanced weights; C = 1 maps to regParam = 1/n
   because balanced weights sum to n; no standardisation, maxIter 1000.
-* ``RF``   RandomForestClassifier(numTrees, maxDepth, minInstancesPerNode).
+* ``RF``   RandomForestClassifier(numTrees, maxDepth, minInstancesPerNode = half
+  the smallest node that is split).
 * ``LGBM`` GBTClassifier(maxIter, maxDepth, stepSize, subsamplingRate,
   featureSubsetStrategy); Spark grows trees level-wise, not leaf-wise.
 * ``XGB``  GBTClassifier with a second configuration (more histogram bins).
@@ -37,26 +38,27 @@ from stratarisk import config as C
 from stratarisk.functions.hashing import hash_uniform
 from stratarisk.operators import cohort as CO
 from stratarisk.operators import metrics as M
-from stratarisk.session import cut_lineage
+from stratarisk.session import scratch_path
 
 # Search spaces: name -> (low, high, kind) with kind int | float | log.
 SEARCH_SPACE = {
     "LR": {},
     "RF": {"numTrees": (100, 500, "int"), "maxDepth": (3, 15, "int"),
-           "minInstancesPerNode": (2, 10, "int")},
+           "minSplit": (2, 10, "int")},
     "LGBM": {"maxIter": (100, 500, "int"), "maxDepth": (3, 7, "int"), "stepSize": (0.01, 0.1, "log"),
              "subsamplingRate": (0.7, 1.0, "float"), "featureSubset": (0.7, 1.0, "float")},
     "XGB": {"maxIter": (100, 500, "int"), "maxDepth": (3, 7, "int"), "stepSize": (0.01, 0.1, "log"),
             "subsamplingRate": (0.7, 1.0, "float"), "featureSubset": (0.7, 1.0, "float")},
-    "MLP": {"n_layers": (1, 3, "int"), "n_units": (32, 256, "int"), "stepSize": (1e-4, 1e-2, "log")},
+    # no learning rate and no L2 strength: the L-BFGS net of Spark ML has neither
+    "MLP": {"n_layers": (1, 3, "int"), "n_units": (32, 256, "int")},
 }
 # Parameters used when a model is refitted without tuning (k-fold CV falls
 # back to 128 units x 2 layers for the net, as in the study).
 DEFAULT_PARAMS = {
-    "LR": {}, "RF": {"numTrees": 100, "maxDepth": 8, "minInstancesPerNode": 2},
+    "LR": {}, "RF": {"numTrees": 100, "maxDepth": 8, "minSplit": 2},
     "LGBM": {"maxIter": 100, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubset": 0.8},
     "XGB": {"maxIter": 100, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubset": 0.8},
-    "MLP": {"n_layers": 2, "n_units": 128, "stepSize": 1e-3},
+    "MLP": {"n_layers": 2, "n_units": 128},
 }
 
 
@@ -85,7 +87,8 @@ def make_estimator(algo: str, params: dict, n_features: int, n_train: int, seed:
                                   standardization=False, **w, **common)
     if algo == "RF":
         return RandomForestClassifier(numTrees=int(p["numTrees"]), maxDepth=int(p["maxDepth"]),
-                                      minInstancesPerNode=int(p["minInstancesPerNode"]),
+                                      # a node of s rows splits into leaves of s // 2 at least
+                                      minInstancesPerNode=max(1, int(p["minSplit"]) // 2),
                                       seed=seed, **w, **common)
     if algo in ("LGBM", "XGB"):
         return GBTClassifier(maxIter=int(p["maxIter"]), maxDepth=int(p["maxDepth"]),
@@ -94,8 +97,7 @@ def make_estimator(algo: str, params: dict, n_features: int, n_train: int, seed:
                              maxBins=32 if algo == "LGBM" else 256, seed=seed, **w, **common)
     if algo == "MLP":
         layers = [n_features] + [int(p["n_units"])] * int(p["n_layers"]) + [2]
-        return MultilayerPerceptronClassifier(layers=layers, maxIter=300, stepSize=float(p["stepSize"]),
-                                              seed=seed, **common)
+        return MultilayerPerceptronClassifier(layers=layers, maxIter=300, seed=seed, **common)
     raise ValueError(f"unknown algorithm {algo}")
 
 
@@ -122,18 +124,18 @@ def score(model: PipelineModel, df: DataFrame, out: str = "p6") -> DataFrame:
     return s.select(*keep, F.round(p * F.lit(1e6)).cast("int").alias(out))
 
 
-def fit_parallelism(spark, requested: int) -> int:
-    """Concurrent fits allowed by the driver heap (about one per 1.5 GB).
+def training_table(rows: DataFrame, cell_cols: list[str]) -> DataFrame:
+    """``rows`` written once as Parquet, a folder per cell, under the shared folder, and read back.
 
-    Fits submitted together share the driver JVM (tree aggregation buffers,
-    broadcast model state); on a small default heap they run one at a time
-    instead of exhausting it.
+    Fits, scoring, folds, attribution and perturbation all read this table: a
+    filter on the cell columns prunes to one folder, and nothing upstream is
+    computed again. Rows of a cell are spread over several files by a hash of
+    the row, so a large cell is not one writer's work.
     """
-    try:
-        heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
-    except Exception:  # noqa: BLE001
-        return max(1, requested)
-    return max(1, min(requested, int(heap // (1.5 * 1024 ** 3))))
+    path = scratch_path(rows.sparkSession, "training")
+    rows.write.partitionBy(*cell_cols).parquet(path)
+    # partition folders would make numbers of digit-only names: the schema is given
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
 def _cell_filter(cell_cols: list[str], cell: tuple) -> F.Column:
@@ -145,59 +147,69 @@ def _cell_filter(cell_cols: list[str], cell: tuple) -> F.Column:
 
 
 def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos: list[str],
-               features: list[str], n_trials: int = 20, seed: int = C.SEED, parallelism: int = 8,
-               tune_on: str = "holdout", min_positives: int = C.MIN_POSITIVES_TRAIN) -> dict:
+               features: list[str], n_trials: int = 20, seed: int = C.SEED, parallelism: int = 4,
+               tune_on: str = "inner", min_positives: int = C.MIN_POSITIVES_TRAIN) -> dict:
     """Fit every (cell, algo) with random search; returns {(cell, algo): result dict}.
 
-    ``rows`` holds one row per (row, cell) with features, label ``y`` and
-    ``is_test``. Tuning maximises AUC on the reported hold-out when
-    ``tune_on='holdout'`` (parity with the study) or on an inner split of the
-    training part when ``'inner'``. Cells below ``min_positives`` are kept
-    with null results.
+    ``rows`` is a :func:`training_table`: one row per (row, cell) with features,
+    label ``y`` and ``is_test``. Tuning maximises AUC on an inner split of the
+    training part, or on the reported hold-out when ``tune_on='holdout'``.
+    A cell below ``min_positives`` and a fit that fails keep an entry with the
+    error's text. ``parallelism`` fits are submitted at a time.
     """
-    # Iterative fitters re-read their input many times: cut the lineage once
-    # (reliable checkpoint in the shared folder) instead of recomputing the
-    # cohort joins and split shuffles for every fit.
-    rows = cut_lineage(rows)
-    stats = {tuple(r[:-2]): (r[-2], r[-1]) for r in
-             rows.groupBy(*cell_cols).agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).collect()}
-    pos = {k: v[0] for k, v in stats.items()}
-    train_all = cut_lineage(prepare_training(rows.where(~F.col("is_test")), cell_cols))
-    n_train = {tuple(r[:-1]): r[-1] for r in train_all.groupBy(*cell_cols).count().collect()}
+    counts: dict = {}
+    for r in rows.groupBy(*cell_cols, "is_test", "y").agg(F.count(F.lit(1)).alias("_n")).collect():
+        counts[(tuple(r[c] for c in cell_cols), r["is_test"], r["y"])] = r["_n"]
+
+    def weighted(df, n_cls):
+        n = sum(n_cls.values())
+        w = F.lit(None).cast("double")
+        for y, m in n_cls.items():
+            if m:
+                w = F.when(F.col("y") == y, F.lit(n / (2.0 * m))).otherwise(w)
+        return df.withColumn("weight", w).withColumn("label", F.col("y").cast("double"))
 
     def run(cell, algo):
         key = ":".join(str(c) for c in cell)
-        if pos.get(tuple(cell), 0) < min_positives:
+        if sum(counts.get((cell, t, 1), 0) for t in (False, True)) < min_positives:
             return (cell, algo), {"model": None, "error": "too few positives", "trials": []}
+        trials: list = []
         try:
-            tr = train_all.where(_cell_filter(cell_cols, cell))
-            ev = rows.where(_cell_filter(cell_cols, cell) & F.col("is_test"))
-            if tune_on == "inner":
+            own = rows.where(_cell_filter(cell_cols, cell))
+            n_cls = {y: counts.get((cell, False, y), 0) for y in (0, 1)}
+            tr = weighted(own.where(~F.col("is_test")), n_cls)
+            n_tr = sum(n_cls.values())
+            n = n_trials if SEARCH_SPACE[algo] else 0
+            if n and tune_on == "inner":
                 inner = tr.withColumn("_iv", hash_uniform(F.col("row_id"), "inner", seed) < 0.2)
                 tr_fit, ev_tune = inner.where(~F.col("_iv")), inner.where(F.col("_iv"))
+                n_fit = tr_fit.count()
             else:
-                tr_fit, ev_tune = tr, ev
-            n_tr = n_train.get(tuple(cell), 0) if tune_on != "inner" else tr_fit.count()
-            trials = []
+                tr_fit, ev_tune, n_fit = tr, own.where(F.col("is_test")), n_tr
             best_p, best_auc = DEFAULT_PARAMS[algo], None
-            n = n_trials if SEARCH_SPACE[algo] else 0
             for t in range(n):
                 p = draw_params(algo, t, key, seed)
-                m = fit(tr_fit, algo, features, p, seed, n_tr)
+                m = fit(tr_fit, algo, features, p, seed, n_fit)
                 a = M.auc(score(m, ev_tune), []).first()["auc"]
                 trials.append((t, p, a))
                 if a is not None and (best_auc is None or a > best_auc):
                     best_p, best_auc = p, a
-            model = fit(tr, algo, features, best_p, seed, n_train.get(tuple(cell), 0))
+            model = fit(tr, algo, features, best_p, seed, n_tr)
             return (cell, algo), {"model": model, "params": best_p, "trials": trials, "error": None}
         except Exception as e:  # noqa: BLE001 - a failed fit is a null result row
-            return (cell, algo), {"model": None, "error": f"{type(e).__name__}: {e}"[:300], "trials": []}
+            return (cell, algo), {"model": None, "error": f"{type(e).__name__}: {e}", "trials": trials}
 
-    with ThreadPoolExecutor(max_workers=fit_parallelism(rows.sparkSession, parallelism)) as ex:
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         futs = [ex.submit(run, tuple(c), a) for c in cells for a in algos]
         return dict(f.result() for f in futs)
 
 
+def grid_frame(spark, cell_cols: list[str], results: dict) -> DataFrame:
+    """One row per attempted (cell, algo) with the error of those without a model; sized by the grid."""
+    schema = ", ".join(f"{c} string" for c in cell_cols) + ", algo string, error string"
+    return spark.createDataFrame([(*map(str, cell), algo, r.get("error")) for (cell, algo), r in results.items()], schema)
+
+
 def scored_holdout(rows: DataFrame, cell_cols: list[str], results: dict) -> DataFrame | None:
     """Hold-out rows of every fitted (cell, algo) scored, as one long table."""
     parts = []
@@ -216,12 +228,15 @@ def scored_holdout(rows: DataFrame, cell_cols: list[str], results: dict) -> Data
 
 def cv_fold_scores(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos: list[str],
                    features: list[str], params: dict | None = None, k: int = C.N_FOLDS,
-                   seed: int = C.SEED, parallelism: int = 8) -> DataFrame:
+                   seed: int = C.SEED, parallelism: int = 4, pairs: list[tuple] | None = None) -> DataFrame:
     """Out-of-fold scores: for each fold, refit on the other folds and score it.
 
-    ``rows`` carries a ``fold`` column (label-stratified, see keys.stratified_folds).
+    ``rows`` is a :func:`training_table` with a ``fold`` column (label-stratified,
+    see keys.stratified_folds). ``pairs`` names the (cell, algo) to refit, by
+    default all of ``cells`` x ``algos``; ``params`` has the tuned parameters of
+    each; the net always refits with its default layers.
     """
-    rows = cut_lineage(rows)
+    pairs = pairs if pairs is not None else [(tuple(c), a) for c in cells for a in algos]
     # Balanced weights of every (cell, held-out fold) training set at once:
     # class counts per (cell, fold, label) are tiny, and the training set of
     # fold f is "all folds minus f".
@@ -242,11 +257,12 @@ def cv_fold_scores(rows: DataFrame, cell_cols: list[str], cells: list[tuple], al
                 w = F.when(F.col("y") == y, F.lit(n_tr / (2.0 * n))).otherwise(w)
         tr = (rows.where(c & (F.col("fold") != f)).withColumn("weight", w)
               .withColumn("label", F.col("y").cast("double")))
-        m = fit(tr, algo, features, (params or {}).get((cell, algo), DEFAULT_PARAMS[algo]), seed, n_tr)
+        own = DEFAULT_PARAMS[algo] if algo == "MLP" else (params or {}).get((cell, algo), DEFAULT_PARAMS[algo])
+        m = fit(tr, algo, features, own, seed, n_tr)
         return score(m, rows.where(c & (F.col("fold") == f))).withColumn("algo", F.lit(algo))
 
-    with ThreadPoolExecutor(max_workers=fit_parallelism(rows.sparkSession, parallelism)) as ex:
-        futs = [ex.submit(run, tuple(c), a, f) for c in cells for a in algos for f in range(k)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        futs = [ex.submit(run, tuple(c), a, f) for c, a in pairs for f in range(k)]
         parts = [x.result() for x in futs]
     out = parts[0]
     for p in parts[1:]:
@@ -254,6 +270,10 @@ def cv_fold_scores(rows: DataFrame, cell_cols: list[str], cells: list[tuple], al
     return out
 
 
+#: background rows that are broadcast at most (all groups together)
+MAX_BACKGROUND = 100_000
+
+
 def permutation_shapley(model: PipelineModel, explain: DataFrame, background: DataFrame,
                         keys: list[str], features: list[str], n_perm: int = 8,
                         seed: int = C.SEED) -> DataFrame:
@@ -269,6 +289,8 @@ def permutation_shapley(model: PipelineModel, explain: DataFrame, background: Da
     Returns (row_id, keys, feature, phi, x, base).
     """
     d = len(features)
+    if background.limit(MAX_BACKGROUND + 1).count() > MAX_BACKGROUND:
+        raise ValueError(f"the background table is broadcast; sample it to {MAX_BACKGROUND} rows (see index_rows)")
     bg = background.select(*keys, F.col("bg_idx"), *[F.col(f).alias(f"bg_{f}") for f in features])
     nbg = background.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nbg"))
     e = explain.join(F.broadcast(nbg), keys)

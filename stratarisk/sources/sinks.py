@@ -29,23 +29,26 @@ def parquet_roundtrip(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_csv_report(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """CSV report with header. Reports are small cell tables; one file each."""
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+def write_csv_report(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> str:
+    """CSV report with header. Row-level tables are written by as many tasks as they have partitions;
+    ``single_file`` is for cell tables, whose size the configuration bounds."""
+    (df.coalesce(1) if single_file else df).write.mode(mode).option("header", True).csv(path)
     return path
 
 
 def write_per_stratum(df: DataFrame, path: str, stratum_col: str = "stratum",
-                      writers_per_stratum: int = 64) -> str:
+                      rows_per_writer: int = 1_000_000) -> str:
     """One output folder per stratum (stratum stays a column, no union needed).
 
-    Rows are spread over (stratum, row-hash salt) so that a stratum holding a
-    large share of the rows is written by up to ``writers_per_stratum`` tasks
-    instead of one; the salt is a hash of the row, so a retried task writes
-    the same rows.
+    Rows are spread over (stratum, row-hash salt); a stratum has as many salts
+    as its measured row count asks for, so none is one task's work whatever
+    its share. The salt is a hash of the row: a retried task writes the same
+    rows. The table of salts has one row per stratum.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(writers_per_stratum))
-    spread = df.repartition(F.col(stratum_col), salt)
+    salts = df.groupBy(stratum_col).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_writer)).cast("int").alias("_salts"))
+    salted = (df.join(salts.withColumnRenamed(stratum_col, "_stratum"), F.col(stratum_col).eqNullSafe(F.col("_stratum")))
+              .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_salts"))))
+    spread = salted.repartition(F.col(stratum_col), F.col("_salt")).select(*df.columns)
     return write_parquet(spread, path, partition_by=[stratum_col])
 
 

@@ -26,20 +26,26 @@ SCORED_SCHEMA = T.StructType([
 
 
 def start_histogram_stream(spark: SparkSession, source_dir: str, checkpoint: str,
-                           table: str = "auc_histogram", keys=("stratum", "outcome", "algo")):
-    """Start a streaming histogram aggregate into an in-memory table.
+                           out_dir: str, keys=("stratum", "outcome", "algo")):
+    """Start a streaming histogram aggregate; every trigger writes the running histogram as Parquet below ``out_dir``.
 
-    ``checkpoint`` must be a shared folder (e.g. under spark.checkpoint.dir)
-    so the query restarts from its state after a failure.
+    ``checkpoint`` and ``out_dir`` must be shared folders (e.g. under
+    spark.checkpoint.dir): the query restarts from its state after a failure
+    and a repeated trigger overwrites its own folder. Nothing is gathered on
+    the driver.
     """
     keys = list(keys)
     src = spark.readStream.schema(SCORED_SCHEMA).parquet(source_dir)
     hist = M.score_histogram(src, keys)
-    return (hist.writeStream.outputMode("complete").format("memory").queryName(table)
-            .option("checkpointLocation", checkpoint).start())
 
+    def store(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
-def auc_from_stream_table(spark: SparkSession, table: str = "auc_histogram",
-                          keys=("stratum", "outcome", "algo")) -> DataFrame:
-    """Exact AUC per cell from the current streaming histogram."""
-    return M.auc_from_histogram(spark.table(table), list(keys))
+    return hist.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint).start()
+
+
+def auc_from_stream(spark: SparkSession, out_dir: str, keys=("stratum", "outcome", "algo")) -> DataFrame:
+    """Exact AUC per cell from the latest histogram that the stream has written."""
+    every = spark.read.parquet(out_dir)
+    latest = every.agg(F.max("epoch").alias("epoch"))
+    return M.auc_from_histogram(every.join(latest, "epoch").drop("epoch"), list(keys))

@@ -9,7 +9,7 @@ from stratarisk.operators import metrics as M
 from stratarisk.operators import training as TR
 from stratarisk.session import scratch_path
 from stratarisk.sources import sinks as SK
-from stratarisk.streaming import auc_from_stream_table, start_histogram_stream
+from stratarisk.streaming import auc_from_stream, start_histogram_stream
 
 
 def test_csv_report_has_header(spark):
@@ -44,11 +44,12 @@ def test_streaming_histogram_auc_matches_batch(spark):
     rows = [("s", "o", "a", i % 2, (i * 37) % 1000 * 1000) for i in range(400)]
     df = spark.createDataFrame(rows, "stratum string, outcome string, algo string, y int, p6 int")
     df.limit(200).write.mode("append").parquet(src)
-    q = start_histogram_stream(spark, src, scratch_path(spark, "stream-ckpt"), table="hist_t")
+    out = scratch_path(spark, "stream-hist")
+    q = start_histogram_stream(spark, src, scratch_path(spark, "stream-ckpt"), out)
     q.processAllAvailable()
     df.subtract(df.limit(200)).write.mode("append").parquet(src)
     q.processAllAvailable()
-    got = auc_from_stream_table(spark, "hist_t").first()["auc"]
+    got = auc_from_stream(spark, out).first()["auc"]
     q.stop()
     want = M.auc(spark.read.parquet(src), ["stratum", "outcome", "algo"]).first()["auc"]
     assert got == want

@@ -25,10 +25,18 @@ def signal_rows(spark):
 FEATS = [f"f{i}" for i in range(1, 9)]
 
 
-@pytest.mark.parametrize("algo", ["LR", "RF"])
-def test_known_signal_auc(spark, signal_rows, algo):
-    res = TR.train_grid(signal_rows, ["stratum", "outcome"], [("a", "o"), ("b", "o")], [algo], FEATS, n_trials=0)
-    sc = TR.scored_holdout(signal_rows, ["stratum", "outcome"], res)
+@pytest.fixture(scope="module")
+def table(signal_rows):
+    return TR.training_table(signal_rows, ["stratum", "outcome"])
+
+
+@pytest.mark.parametrize("algo", ["LR", "RF", "LGBM", "XGB", "MLP"])
+def test_known_signal_auc(spark, table, algo, monkeypatch):
+    for a, few in (("RF", {"numTrees": 20}), ("LGBM", {"maxIter": 8}), ("XGB", {"maxIter": 8}), ("MLP", {"n_layers": 1, "n_units": 8})):
+        monkeypatch.setitem(TR.DEFAULT_PARAMS, a, {**TR.DEFAULT_PARAMS[a], **few})
+    res = TR.train_grid(table, ["stratum", "outcome"], [("a", "o"), ("b", "o")], [algo], FEATS, n_trials=0)
+    assert all(r["error"] is None for r in res.values())
+    sc = TR.scored_holdout(table, ["stratum", "outcome"], res)
     for r in M.auc(sc, ["stratum", "outcome", "algo"]).collect():
         assert r.auc > 0.65
 
@@ -47,3 +55,26 @@ def test_shapley_additivity_and_ranking(spark, signal_rows):
         assert r.s + r.b == pytest.approx(r.p, abs=2e-6)
     top = (phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("m")).orderBy(F.desc("m")).first().feature)
     assert top in ("f1", "f2")
+
+
+def test_search_failed_fits_and_empty_cells(spark, table, monkeypatch):
+    monkeypatch.setitem(TR.SEARCH_SPACE, "RF", {"numTrees": (5, 10, "int"), "maxDepth": (2, 4, "int"), "minSplit": (2, 10, "int")})
+    real = TR.fit
+
+    def fit(train, algo, *a, **k):
+        if algo == "LR":
+            raise ValueError("no such solver")
+        return real(train, algo, *a, **k)
+
+    monkeypatch.setattr(TR, "fit", fit)
+    res = TR.train_grid(table, ["stratum", "outcome"], [("a", "o"), ("nobody", "o")], ["LR", "RF"], FEATS, n_trials=2)
+    assert len(res[(("a", "o"), "RF")]["trials"]) == 2 and res[(("a", "o"), "RF")]["model"] is not None
+    grid = {(r.stratum, r.algo): r.error for r in TR.grid_frame(spark, ["stratum", "outcome"], res).collect()}
+    assert grid == {("a", "RF"): None, ("a", "LR"): "ValueError: no such solver", ("nobody", "RF"): "too few positives", ("nobody", "LR"): "too few positives"}
+
+
+def test_fold_refits_and_scan_pruning(spark, table):
+    oof = TR.cv_fold_scores(table, ["stratum", "outcome"], [], [], FEATS, pairs=[(("a", "o"), "LR")], k=2)
+    assert oof.where("fold < 2").count() == table.where("stratum = 'a' and fold < 2").count()
+    plan = table.where("stratum = 'a'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(stratum" in plan
