@@ -11,8 +11,8 @@ Two documents link when ``100 * |A & B| >= 80 * |A | B|`` for their sets of
   a guest in the next larger one; sizes of linked classes differ by at most
   one band. Within a tile, a pair is a candidate only if the bit counts of the
   two signatures do not already bound the overlap below the threshold;
-* round 1 compares every class with one pivot (the smallest native key of the
-  tile it shares most tiles with); round 2 compares what is left: pairs of a tile whose
+* round 1 compares every class with one pivot (the first class of the tiles
+  that it shares most often); round 2 compares what is left: pairs of a tile whose
   classes lie in different components. Pairs within a component need no
   comparison, so a large group of near copies costs a multiple of its size.
 
@@ -50,7 +50,10 @@ def sets_of(off: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     short = np.flatnonzero((count > 0) & (count < k))
     keys = np.concatenate([C.run_hashes(h, start, k), C.run_hashes(h, at[short], count[short])])
     rows = np.concatenate([row[start], short])
-    order = np.lexsort((keys, rows))
+    if len(short):
+        order = np.argsort(rows, kind="stable")
+        keys, rows = keys[order], rows[order]
+    order = C.grouped_order(rows, keys)
     keys, rows = keys[order], rows[order]
     if len(keys):
         new = np.ones(len(keys), bool)
@@ -103,7 +106,7 @@ def _index(docs: DataFrame, k: int, weights) -> DataFrame:
                 at, keys = sets_of(off, raw, k)
                 n = np.diff(at)
                 row = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((keys, rank[(keys >> U64(48)).astype(np.int64)], row))
+                order = C.grouped_order(row, keys, rank[(keys >> U64(48)).astype(np.int64)])
                 place = np.arange(len(keys)) - at[:-1][row]
                 first = place < (n - needed(n) + 1)[row]
                 sig_at, sig = signatures(at, keys)
@@ -125,28 +128,41 @@ def _keys(index: DataFrame) -> DataFrame:
     return index.select("toks").mapInArrow(run, "k long")
 
 
-def _tiles(classes: DataFrame, shared) -> DataFrame:
-    """(tok, band, native, sid, n) for the indexed shingles that the bitmap has; twice, in the own band and the next."""
-    schema = pa.schema([("tok", pa.int64()), ("band", pa.int32()), ("native", pa.bool_()), ("sid", pa.binary()), ("n", pa.int64())])
+def _marked_only(index: DataFrame, shared) -> DataFrame:
+    """``index`` (of documents with a set) with the shingles that the bitmap has."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.binary()), ("n", pa.int64()), ("sig", pa.binary()), ("toks", pa.binary())])
+
+    def run(batches):
+        for x in batches:
+            at, keys = C.unpacked(x.column(4))
+            keep = C.marked(shared.value, keys)
+            yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(4)), C.packed(keys[keep], C.pick(at, keep))], schema=schema)
+
+    return index.where("n > 0").mapInArrow(run, "doc_id long, sid binary, n long, sig binary, toks binary")
+
+
+def _tiles(classes: DataFrame, mixed=None) -> DataFrame:
+    """(tok, band, cid, n, root) for the indexed shingles of the classes; mixed: only those that this bitmap has."""
+    schema = pa.schema([("tok", pa.int64()), ("band", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("root", pa.int64())])
 
     def run(batches):
-        bits = shared.value
         for x in batches:
-            at, keys = C.unpacked(x.column(2))
-            keep = C.marked(bits, keys)
-            row = np.repeat(np.arange(x.num_rows), np.diff(at))[keep]
+            at, keys = C.unpacked(x.column(3))
+            row = np.repeat(np.arange(x.num_rows), np.diff(at))
+            if mixed is not None:
+                keep = C.marked(mixed.value, keys)
+                keys, row = keys[keep], row[keep]
             n = x.column(1).to_numpy(zero_copy_only=False)
             band = np.floor(np.log(n) / np.log(1.25) + 1e-9).astype(np.int32)
-            for plus in (0, 1):
-                yield pa.RecordBatch.from_arrays([C.longs(keys[keep]), pa.array(band[row] + np.int32(plus)), pa.array(np.full(len(row), plus == 0)),
-                                                  x.column(0).take(pa.array(row)), pa.array(n[row])], schema=schema)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([C.longs(keys), pa.array(band[row]), x.column(0).take(take), pa.array(n[row].astype(np.int32)), x.column(2).take(take)], schema=schema)
 
-    return classes.select("sid", "n", "toks").mapInArrow(run, "tok long, band int, native boolean, sid binary, n long")
+    return classes.select("cid", "n", "root", "toks").mapInArrow(run, "tok long, band int, cid long, n int, root long")
 
 
 def _survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures leave room for the overlap."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for x in batches:
@@ -156,13 +172,13 @@ def _survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             keep = linked(most, na, nb)
             yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(keep)), x.column(1).filter(pa.array(keep))], schema=schema)
 
-    side = lambda c: classes.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"sig{c}"))
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"sig{c}"))
     return (pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "siga", "sigb")
-            .mapInArrow(run, "a binary, b binary"))
+            .mapInArrow(run, "a long, b long"))
 
 
 def _arrays(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(sid, arr): the sorted shingle hashes of the classes in ``wanted`` (column sid), computed again from the text."""
+    """(cid, arr): the sorted shingle hashes of the classes in ``wanted`` (sid, cid), computed again from the text."""
     spark = docs.sparkSession
     low = F.conv(F.hex(F.substring("sid", 1, 3)), 16, 10).cast("long")
     bits = spark.sparkContext.broadcast(C.bitmap(wanted.select(low.alias("k")), 24))
@@ -181,12 +197,12 @@ def _arrays(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
         yield from out.flush()
 
     got = docs.select("text").mapInArrow(run, "sid binary, arr binary")
-    return got.join(wanted.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("arr").alias("arr"))
+    return got.join(wanted, "sid").groupBy("cid").agg(F.first("arr").alias("arr"))
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """Pairs whose exact intersection reaches the threshold."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for x in batches:
@@ -199,8 +215,8 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
                 keep[i] = linked(int((both[1:] == both[:-1]).sum()), len(p), len(q))
             yield pa.RecordBatch.from_arrays([x.column(0).filter(pa.array(keep)), x.column(1).filter(pa.array(keep))], schema=schema)
 
-    side = lambda c: arrays.select(F.col("sid").alias(c), F.col("arr").alias(f"arr{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "arra", "arrb").mapInArrow(run, "a binary, b binary")
+    side = lambda c: arrays.select(F.col("cid").alias(c), F.col("arr").alias(f"arr{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "arra", "arrb").mapInArrow(run, "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -224,34 +240,37 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seen = C.sketch_counts(docs.select("text"), count, SKETCH)
     rank = np.maximum(0, np.floor(np.log2(np.maximum(seen, 1) / max(1.0, seen.mean())))).astype(np.int8)
     index = C.materialize(_index(docs, k, spark.sparkContext.broadcast(rank)), "ngram-index")
-    keys = _keys(index.where("n > 0"))
-    shared = spark.sparkContext.broadcast(C.bitmap(C.repeated(keys)))
-    classes = (index.where("n > 0").groupBy("sid")
+    shared = spark.sparkContext.broadcast(C.bitmap(C.repeated(_keys(index.where("n > 0")))))
+    classes = (_marked_only(index, shared).groupBy("sid")
                .agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("toks").alias("toks"), F.min("doc_id").alias("least")))
-    classes = C.materialize(classes, "ngram-classes")
-    tiles = C.materialize(_tiles(classes, shared), "ngram-tiles")
-
-    pivots = tiles.where("native").groupBy("tok", "band").agg(F.min("sid").alias("pivot"))
-    first = (tiles.join(pivots, ["tok", "band"]).where("sid <> pivot").groupBy("sid", "pivot").agg(F.count(F.lit(1)).alias("m"))
-             .groupBy("sid").agg(F.max_by("pivot", F.struct("m", "pivot")).alias("pivot")))
-    pairs = first.select(F.greatest("sid", "pivot").alias("a"), F.least("sid", "pivot").alias("b")).distinct()
+    # written at once, so that the numbers stay
+    classes = C.materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
+
+    tiles = _tiles(classes.withColumn("root", F.col("cid")))
+    natives = tiles.groupBy("tok", "band").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("m"))
+    pivots = (natives.select("tok", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), "pivot", "m")
+              .groupBy("tok", "band").agg(F.min("pivot").alias("pivot"), F.sum("m").alias("m")).where("m > 1").drop("m"))
+    first = (tiles.select("tok", "band", "cid").join(pivots, ["tok", "band"]).where("cid <> pivot").groupBy("cid", "pivot").agg(F.count(F.lit(1)).alias("m"))
+             .groupBy("cid").agg(F.max_by("pivot", F.struct("m", "pivot")).alias("pivot")))
+    pairs = C.materialize(first.select(F.greatest("cid", "pivot").alias("a"), F.least("cid", "pivot").alias("b")).distinct(), "ngram-pairs")
     links = _check(docs, k, pairs, classes, "ngram-round1")
-    parts = C.materialize(C.components(links, "ngram-cc"), "ngram-parts")
-
-    labelled = tiles.join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = (labelled.groupBy("tok", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("native").alias("some"))
-             .where("lo <> hi and some").select("tok", "band"))
-    open_tiles = C.materialize(labelled.join(mixed, ["tok", "band"], "left_semi"), "ngram-open")
-    a = open_tiles.where("native").select("tok", "band", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = open_tiles.select("tok", "band", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("native").alias("nat"))
-    more = (a.join(b, ["tok", "band"]).where("ra <> rb and 5 * na >= 4 * nb and 5 * nb >= 4 * na and (not nat or a < b)")
+    parts = C.components(links, "ngram-cc")
+
+    rooted = C.materialize(classes.select("cid", "n", "toks").join(parts.select(F.col("node").alias("cid"), "root"), "cid", "left")
+                           .withColumn("root", F.coalesce("root", "cid")), "ngram-rooted")
+    mixed = _tiles(rooted).groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    bits = spark.sparkContext.broadcast(C.bitmap(mixed.select(F.col("tok").alias("k"))))
+    a = _tiles(rooted, bits).select("tok", "band", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    b = a.select("tok", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own"), F.col("a").alias("b"),
+                 F.col("na").alias("nb"), F.col("ra").alias("rb"))
+    more = (a.join(b, ["tok", "band"]).where("ra <> rb and 5 * na >= 4 * nb and 5 * nb >= 4 * na and (own < band or a < b)")
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
             .join(pairs, ["a", "b"], "left_anti"))
     found = _check(docs, k, more, classes, "ngram-round2")
     parts = C.components(links.union(found), "ngram-cc2")
 
-    labels = classes.select("sid", "least").join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").select(
-        "sid", F.coalesce("root", "sid").alias("root"), "least")
+    labels = classes.select("sid", "cid", "least").join(parts.select(F.col("node").alias("cid"), "root"), "cid", "left").select(
+        "sid", F.coalesce("root", "cid").alias("root"), "least")
     roots = labels.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = labels.join(roots, "root").select("sid", "component_id")
     return (index.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(by_class, "sid", "left")
@@ -261,7 +280,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _check(docs: DataFrame, k: int, pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
     """The links among candidate pairs: bit-count bound first, then exact intersection."""
     left = C.materialize(_survivors(pairs, classes), name)
-    wanted = left.select(F.col("a").alias("sid")).union(left.select(F.col("b").alias("sid"))).distinct()
+    wanted = left.select(F.col("a").alias("cid")).union(left.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "sid"), "cid")
+    wanted = C.materialize(wanted, f"{name}-wanted")
     return C.materialize(_verified(left, _arrays(docs, k, wanted)), f"{name}-links")
 
 
