@@ -132,11 +132,12 @@ def top_features_per_cell(imp: DataFrame, keys: list[str], n: int = 12) -> DataF
 
 
 def waterfall_rows(phi_one: DataFrame, keys: list[str], max_display: int = 12) -> DataFrame:
-    """Contributions of one row per group ranked by |phi|; beyond max_display - 1
-    features the rest is summed into one 'other' row."""
-    w = Window.partitionBy(*keys, "row_id").orderBy(F.abs("phi").desc(), "feature")
-    r = phi_one.withColumn("_rk", F.row_number().over(w))
-    keep = max_display - 1
+    """Contributions of one row per group ranked by |phi|. With more than
+    max_display features, those beyond max_display - 1 are summed into one 'other' row."""
+    whole = Window.partitionBy(*keys, "row_id")
+    w = whole.orderBy(F.abs("phi").desc(), "feature")
+    r = phi_one.withColumn("_rk", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(whole))
+    keep = F.when(F.col("_n") <= max_display, max_display).otherwise(max_display - 1)
     top = r.where(F.col("_rk") <= keep).select(*keys, "row_id", F.col("_rk").alias("rank"),
                                                "feature", "phi", "x")
     rest = (r.where(F.col("_rk") > keep).groupBy(*keys, "row_id")

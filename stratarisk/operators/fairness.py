@@ -55,13 +55,18 @@ def cell_grid(strata: DataFrame, outcomes: list[str]) -> DataFrame:
 
 
 def fairness_chart(cells: DataFrame, strata: DataFrame, outcomes: list[str]) -> DataFrame:
-    """Every stratum x outcome in configured order; min / max of the non-missing AUCs."""
+    """Every stratum x outcome in configured order, with the range of the positive AUCs, its width and verdict.
+
+    An outcome with fewer than two such AUCs has no range.
+    """
     grid = cell_grid(strata, outcomes)
     j = grid.join(cells.select("stratum", "outcome", "auc", "tpr", "fpr"), ["stratum", "outcome"], "left")
     rng = (cells.where(F.col("auc") > 0).groupBy("outcome")
-           .agg(F.min("auc").alias("auc_min"), F.max("auc").alias("auc_max")))
+           .agg(F.min("auc").alias("auc_min"), F.max("auc").alias("auc_max"), F.count(F.lit(1)).alias("_valid"))
+           .where("_valid >= 2").withColumn("delta_auc", R4(F.col("auc_max") - F.col("auc_min"))))
     return j.join(rng, "outcome", "left").select(
-        "outcome", "stratum", "stratum_order", "auc", "tpr", "fpr", "auc_min", "auc_max")
+        "outcome", "stratum", "stratum_order", "auc", "tpr", "fpr", "auc_min", "auc_max", "delta_auc",
+        judge_metric("delta_auc", "G1_delta_auc").alias("status"))
 
 
 def temporal_gap(best_scored: DataFrame, cell_cols: list[str], cut_year: int,

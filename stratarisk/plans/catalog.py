@@ -414,8 +414,10 @@ def q_fairness_gaps(spark, sf_dir):
 @query("fairness_chart", W("fair_cells", "strata") + """
 , grid as (select s.stratum, s.stratum_order, o.outcome from strata s
            cross join (values ('Diabetes'), ('Hypertension')) as o(outcome))
-, rng as (select outcome, min(auc) as auc_min, max(auc) as auc_max from fair_cells where auc > 0 group by outcome)
-select g.outcome, g.stratum, g.stratum_order, f.auc, f.tpr, f.fpr, r.auc_min, r.auc_max
+, rng as (select outcome, min(auc) as auc_min, max(auc) as auc_max, """ + O.r4("max(auc) - min(auc)") + """ as delta_auc
+          from fair_cells where auc > 0 group by outcome having count(*) >= 2)
+select g.outcome, g.stratum, g.stratum_order, f.auc, f.tpr, f.fpr, r.auc_min, r.auc_max, r.delta_auc,
+  """ + O.judge_sql("r.delta_auc", "G1_delta_auc") + """ as status
 from grid g left join fair_cells f on f.stratum = g.stratum and f.outcome = g.outcome
 left join rng r on r.outcome = g.outcome""")
 def q_fairness_chart(spark, sf_dir):
@@ -592,9 +594,16 @@ def q_borderline_case(spark, sf_dir):
 @query("waterfall_rows", W("border", "phi") + f"""
 select stratum, outcome, row_id, rank, feature, {O.r4('phi', 6)} as phi, x from (
   select p.stratum, p.outcome, p.row_id, p.feature, p.phi, p.x,
-    row_number() over (partition by p.stratum, p.outcome, p.row_id order by abs(p.phi) desc, p.feature) as rank
+    row_number() over (partition by p.stratum, p.outcome, p.row_id order by abs(p.phi) desc, p.feature) as rank,
+    count(*) over (partition by p.stratum, p.outcome, p.row_id) as n
   from phi p join border b on b.stratum = p.stratum and b.outcome = p.outcome and b.row_id = p.row_id) z
-where rank <= 11""")
+where rank <= 11 or n <= 12
+union all
+select p.stratum, p.outcome, p.row_id, 12, 'other (' || count(*) || ' features)', {O.r4('sum(p.phi)', 6)}, null from (
+  select p.*, row_number() over (partition by p.stratum, p.outcome, p.row_id order by abs(p.phi) desc, p.feature) as rank,
+    count(*) over (partition by p.stratum, p.outcome, p.row_id) as n
+  from phi p join border b on b.stratum = p.stratum and b.outcome = p.outcome and b.row_id = p.row_id) p
+where rank > 11 and n > 12 group by p.stratum, p.outcome, p.row_id""")
 def q_waterfall_rows(spark, sf_dir):
     """Waterfall data of each cell's borderline case (top contributions + remainder)."""
     b = _border(spark, sf_dir).select(*CELL, "row_id")
@@ -976,11 +985,13 @@ def q_retrain_triggers(spark, sf_dir):
     return t.withColumn("value", _r6("value"))
 
 
-@query("governance_wide", GW() + """
+@query("governance_wide", GW("phi") + """
 select f.stratum, f.outcome, f.algo, f.auc, f.tpr, f.fpr, f.ece, f.n, c.gap as cv_gap, c.verdict as cv_verdict,
-  t.hhi, t.hhi_ci_lo, t.hhi_ci_hi, t.verdict as hhi_verdict, p.drop_mean, p.verdict as perturb_verdict,
-  g.gap as temporal_gap, g.verdict as temporal_verdict
-from fair_cells f
+  t.hhi, t.hhi_ci_lo, t.hhi_ci_hi, t.verdict as hhi_verdict,
+  e.stratum is not null as explanation_available, """ + str(C.CODE_PUBLIC).lower() + """ as code_public, card.card_score, p.drop_mean, p.verdict as perturb_verdict,
+  g.temporal_auc, g.gap as temporal_gap, g.verdict as temporal_verdict
+from fair_cells f cross join card
+left join (select distinct stratum, outcome from phi) e using (stratum, outcome)
 left join (select *, """ + O.judge_sql("gap", "G2_cv_gap") + """ as verdict from cvg) c using (stratum, outcome)
 left join transparency t using (stratum, outcome)
 left join pdrop p using (stratum, outcome)
@@ -988,7 +999,8 @@ left join (select *, """ + O.judge_sql("gap", "G2_temporal_gap") + """ as verdic
 def q_governance_wide(spark, sf_dir):
     """Cell-level table of every indicator with per-principle verdict columns."""
     st = Study(spark, sf_dir, materialize=True)
-    return GOV.governance_wide(st.fair_cells, st.cv_gap, st.transparency, st.perturb, st.temporal, CELL)
+    accountable = GOV.accountability(st.fair_cells, st.phi, st.card, CELL)
+    return GOV.governance_wide(st.fair_cells, st.cv_gap, st.transparency, accountable, st.perturb, st.temporal, CELL)
 
 
 @query("accountability", W("fair_cells", "phi", "card") + f"""

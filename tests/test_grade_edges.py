@@ -37,3 +37,11 @@ def test_ece_counts_scores_without_a_bin(spark):
     h = M.ece_from_histogram(M.score_histogram(df, ["cell"]), ["cell"]).first()
     assert (e.n, e.ece) == (h.n, h.ece) and e.n == 4
     assert e.ece == pytest.approx((abs(1 - .95) + abs(1 - .105)) / 4)
+
+
+@pytest.mark.parametrize("n", [11, 12, 13, 20])
+def test_waterfall_folds_only_beyond_the_limit(spark, n):
+    phi = spark.createDataFrame([("a", 1, f"f{i:02d}", float(i + 1), 0.0) for i in range(n)], "stratum string, row_id long, feature string, phi double, x double")
+    got = {r["rank"]: r for r in A.waterfall_rows(phi, ["stratum"], 12).collect()}
+    assert len(got) == min(n, 12) and sum(r.phi for r in got.values()) == n * (n + 1) / 2
+    assert (got[12].feature == f"other ({n - 11} features)") if n > 12 else all("other" not in r.feature for r in got.values())
