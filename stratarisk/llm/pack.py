@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ from . import common as C
 
 CAPACITY, PIECE, GROUP = 2048, 512, 1024
 #: remembered words per worker; beyond it the memory is emptied and starts anew
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: fixed value: the word pattern of the byte-level vocabulary
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def differencing(sizes: np.ndarray, windows: int) -> list[list[int]]:
@@ -84,10 +87,12 @@ def windows_of(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 class Encoder:
     """Ids of texts by a byte-level BPE file, remembering words.
 
-    A byte-level BPE with the usual word pattern never joins what stands
-    before a space to what follows, so a text is the sum of its space-led
-    chunks. The one exception, a space between two white spaces, is found by a
-    chunk that ends in white space; such a text is encoded whole.
+    A byte-level BPE encodes each match of its word pattern by itself, so a
+    text's ids are those of its matches. Texts are cut at spaces first: a
+    space-led chunk is matched the same alone as within the text, unless the
+    space stands between two white spaces; then the chunk before it ends in
+    white space, and the text is matched whole. Matches not met before are
+    encoded by the tokenizer, many at a time.
     """
 
     def __init__(self, path: str):
@@ -95,39 +100,55 @@ class Encoder:
         from tokenizers import Tokenizer
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
+        self.match = regex.compile(WORD_PATTERN).findall
+        self.words: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.mids: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.t.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, memory: dict, keys: list[str], lead: str) -> None:
-        for k, v in zip(keys, self._ids([lead + k for k in keys])):
-            memory[k] = False if (k[-1:] or lead).isspace() else v
+    def _learn(self, new: list[str]) -> None:
+        """Ids of words not met before; space-led words of letters are encoded in one text and told apart by its word numbers."""
+        led = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        for i in range(0, len(led), 1000):
+            some = led[i: i + 1000]
+            got = self.t.encode("".join(some), add_special_tokens=False)
+            ids, at = np.asarray(got.ids, "<u4"), np.asarray(got.word_ids)
+            cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+            if len(cut) == len(some) + 1:
+                raw, ends = ids.tobytes(), (4 * cut).tolist()
+                self.words.update(zip(some, [raw[x:y] for x, y in zip(ends, ends[1:])]))
+        rest = [w for w in new if w not in self.words]
+        self.words.update(zip(rest, (np.asarray(x.ids, "<u4").tobytes() for x in self.t.encode_batch(rest, add_special_tokens=False))))
+
+    def _remember(self, memory: dict, keys: list[str], lead: str) -> None:
+        matched = [self.match(lead + k) for k in keys]
+        new = {w for m in matched for w in m}
+        self._learn([w for w in new if w not in self.words])
+        get = self.words.__getitem__
+        for k, m in zip(keys, matched):
+            memory[k] = False if (k[-1:] or lead).isspace() else b"".join(map(get, m))
+
+    def _whole(self, text: str) -> bytes:
+        m = self.match(text)
+        self._learn([w for w in set(m) if w not in self.words])
+        return b"".join(map(self.words.__getitem__, m))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.mids) > REMEMBERED:
-            self.mids.clear()
-        if len(self.heads) > REMEMBERED:
-            self.heads.clear()
+        for memory in (self.words, self.heads, self.mids):
+            if len(memory) > REMEMBERED:
+                memory.clear()
         parts = [t.split(" ") for t in texts]
-        new = {p[0] for p in parts if p[0] not in self.heads and p[0]}
-        self._learn(self.heads, list(new), "")
+        self._remember(self.heads, list({p[0] for p in parts if p[0] and p[0] not in self.heads}), "")
         new = set()
         for p in parts:
             new.update(p[1:])
-        self._learn(self.mids, [x for x in new if x not in self.mids], " ")
-        out, whole = [], []
+        self._remember(self.mids, [x for x in new if x not in self.mids], " ")
+        out = []
         head, mid = self.heads.__getitem__, self.mids.__getitem__
-        for i, p in enumerate(parts):
+        for t, p in zip(texts, parts):
             try:
-                got = (head(p[0]) if p[0] else b"")
-                out.append(got + b"".join(map(mid, p[1:])))
+                out.append((head(p[0]) if p[0] else b"") + b"".join(map(mid, p[1:])))
             except TypeError:
-                out.append(b"")
-                whole.append(i)
-        for i, v in zip(whole, self._ids([texts[i] for i in whole]) if whole else []):
-            out[i] = v
+                out.append(self._whole(t))
         return out
 
 
