@@ -31,7 +31,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: lineage ends there."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that no pending plan reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -293,6 +303,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         if tuple(now) == state or not now[0]:
             break
         state = tuple(now)
+        last = e
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         big = (both.join(least(both), "a").where("b > a")
                .select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct())
@@ -300,5 +311,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         small = (big.join(mins, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(mins.select("a", F.col("m").alias("b")))).distinct()
         e = materialize(small, name)
+        discard(last)
     return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").union(
         e.select("b").distinct().join(e.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("b").alias("node"), F.col("b").alias("root")))

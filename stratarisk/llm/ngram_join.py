@@ -11,6 +11,7 @@ Two documents link when ``100 * |A & B| >= 80 * |A | B|`` for their sets of
   a guest in the next larger one; sizes of linked classes differ by at most
   one band. Within a tile, a pair is a candidate only if the bit counts of the
   two signatures do not already bound the overlap below the threshold;
+* a pair whose number of shared tiles cannot make up the overlap is dropped;
 * round 1 compares every class with one pivot (the first class of the tiles
   that it shares most often); round 2 compares what is left: pairs of a tile whose
   classes lie in different components. Pairs within a component need no
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 U64 = np.uint64
-SKETCH = 1 << 16
+#: bits of the rarity sketch; shingles are ranked by quarter octaves of its counts above the mean
+SKETCH_BITS = 18
 
 
 def needed(n):
@@ -37,6 +39,10 @@ def needed(n):
     return (4 * n + 4) // 5
 
 
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> U64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def sets_of(off: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, sorted distinct shingle hashes) of each row of a slice; fewer than k words make one shingle."""
     b = C.LOWER[raw]
@@ -106,7 +112,7 @@ def _index(docs: DataFrame, k: int, weights) -> DataFrame:
                 at, keys = sets_of(off, raw, k)
                 n = np.diff(at)
                 row = np.repeat(np.arange(len(n)), n)
-                order = C.grouped_order(row, keys, rank[(keys >> U64(48)).astype(np.int64)])
+                order = C.grouped_order(row, keys, rank[_bucket(keys)])
                 place = np.arange(len(keys)) - at[:-1][row]
                 first = place < (n - needed(n) + 1)[row]
                 sig_at, sig = signatures(at, keys)
@@ -232,19 +238,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def count(x):
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, off, raw in C.slices(x.column(0)):
-            total += np.bincount((sets_of(off, raw, k)[1] >> U64(48)).astype(np.int64), minlength=SKETCH)
+            total += np.bincount(_bucket(sets_of(off, raw, k)[1]), minlength=1 << SKETCH_BITS)
         return total
 
-    seen = C.sketch_counts(docs.select("text"), count, SKETCH)
-    rank = np.maximum(0, np.floor(np.log2(np.maximum(seen, 1) / max(1.0, seen.mean())))).astype(np.int8)
-    index = C.materialize(_index(docs, k, spark.sparkContext.broadcast(rank)), "ngram-index")
-    shared = spark.sparkContext.broadcast(C.bitmap(C.repeated(_keys(index.where("n > 0")))))
-    classes = (_marked_only(index, shared).groupBy("sid")
+    seen = C.sketch_counts(docs.select("text"), count, 1 << SKETCH_BITS)
+    rank = np.clip(np.floor(4 * np.log2(np.maximum(seen, 1) / max(1.0, seen.mean()))), 0, 63).astype(np.int8)
+    full = C.materialize(_index(docs, k, spark.sparkContext.broadcast(rank)), "ngram-index")
+    index = C.materialize(full.select("doc_id", "n", "sid"), "ngram-members")
+    shared = spark.sparkContext.broadcast(C.bitmap(C.repeated(_keys(full.where("n > 0")))))
+    classes = (_marked_only(full, shared).groupBy("sid")
                .agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("toks").alias("toks"), F.min("doc_id").alias("least")))
     # written at once, so that the numbers stay
     classes = C.materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
+    C.discard(full)
 
     tiles = _tiles(classes.withColumn("root", F.col("cid")))
     natives = tiles.groupBy("tok", "band").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("m"))
@@ -264,17 +272,24 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     b = a.select("tok", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own"), F.col("a").alias("b"),
                  F.col("na").alias("nb"), F.col("ra").alias("rb"))
     more = (a.join(b, ["tok", "band"]).where("ra <> rb and 5 * na >= 4 * nb and 5 * nb >= 4 * na and (own < band or a < b)")
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.greatest("na", "nb").alias("n1"), F.least("na", "nb").alias("n2"))
+            .groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+            # up to the end of the prefix that ends first only the m tiles are shared; behind it lie ceil(.8 n) - 1 shingles at most
+            .where("9 * (m + (4 * n1 + 4) div 5 - 1) >= 4 * (n1 + n2)").select("a", "b")
             .join(pairs, ["a", "b"], "left_anti"))
     found = _check(docs, k, more, classes, "ngram-round2")
+    C.discard(rooted, pairs)
     parts = C.components(links.union(found), "ngram-cc2")
 
     labels = classes.select("sid", "cid", "least").join(parts.select(F.col("node").alias("cid"), "root"), "cid", "left").select(
         "sid", F.coalesce("root", "cid").alias("root"), "least")
     roots = labels.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = labels.join(roots, "root").select("sid", "component_id")
-    return (index.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(by_class, "sid", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    result = (index.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(by_class, "sid", "left")
+              .select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    result = C.materialize(result, "ngram-result")
+    C.discard(index, classes, links, found)
+    return result
 
 
 def _check(docs: DataFrame, k: int, pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
@@ -282,7 +297,9 @@ def _check(docs: DataFrame, k: int, pairs: DataFrame, classes: DataFrame, name:
     left = C.materialize(_survivors(pairs, classes), name)
     wanted = left.select(F.col("a").alias("cid")).union(left.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "sid"), "cid")
     wanted = C.materialize(wanted, f"{name}-wanted")
-    return C.materialize(_verified(left, _arrays(docs, k, wanted)), f"{name}-links")
+    links = C.materialize(_verified(left, _arrays(docs, k, wanted)), f"{name}-links")
+    C.discard(left, wanted)
+    return links
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

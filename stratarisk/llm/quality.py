@@ -155,6 +155,7 @@ def cotrain(seen: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_r
         models = {v: _fit(base.select(v, "label", "weight").union(taught[v]), v) for v in models}
     scales = {v: _fit(held.select(F.array(_logit(v, models[v])).alias("logit"), "label", "weight"), "logit") for v in models}
     good, n = held.agg(F.sum("label"), F.count(F.lit(1))).first()
+    C.discard(known, chosen, pool)
     prior = math.log(((good or 0) + 1) / (n - (good or 0) + 1))
     scales = {v: ((np.maximum(w, 0.0), b) if w[0] > 0 else (np.zeros(1), prior)) for v, (w, b) in scales.items()}
     return {"models": models, "scales": scales, "prior": prior, "fitted": n_known > 0}
@@ -173,7 +174,10 @@ def combined(model: dict, content: np.ndarray, meta: np.ndarray) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> dict:
     labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label"))
-    return cotrain(C.materialize(features(docs, id_col), "quality-features"), labels)
+    seen = C.materialize(features(docs, id_col), "quality-features")
+    model = cotrain(seen, labels)
+    C.discard(seen)
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:

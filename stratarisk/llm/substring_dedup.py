@@ -114,8 +114,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) ->
     partly = (fine.where("places = 1").join(often, ["k", "win"], "left_semi").groupBy("k", "reach")
               .agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask")))
     wholly = classes.where("places > 1").select("k", "reach", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    return (places.select("k", "reach", "doc_id", "tid", "first").join(wholly.union(partly), ["k", "reach"])
-            .groupBy("doc_id", "tid").agg(F.collect_set(F.expr("shiftleft(first, 26) + mask")).alias("marks")))
+    marks = (places.select("k", "reach", "doc_id", "tid", "first").join(wholly.union(partly), ["k", "reach"])
+             .groupBy("doc_id", "tid").agg(F.collect_set(F.expr("shiftleft(first, 26) + mask")).alias("marks")))
+    marks = C.materialize(marks, "substring-marks")
+    C.discard(places, classes)
+    return marks
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
