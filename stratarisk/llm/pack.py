@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CAPACITY, PIECE, GROUP = 2048, 512, 1024
-#: remembered words per worker; beyond it the memory is emptied and starts anew
-REMEMBERED = 500_000
+#: remembered words per worker (some 200 bytes each); beyond it the memory is emptied and starts anew
+REMEMBERED = 2_000_000
+MARKS = ".,;:!?"
 #: fixed value: the word pattern of the byte-level vocabulary
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -104,25 +105,49 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.mids: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of words not met before; space-led words of letters are encoded in one text and told apart by its word numbers."""
-        led = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        for i in range(0, len(led), 1000):
-            some = led[i: i + 1000]
-            got = self.t.encode("".join(some), add_special_tokens=False)
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS))))
+
+    def _ids_of_led(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of " " + word for words of letters: many in one text, told apart by the tokenizer's word numbers."""
+        out: dict[str, bytes] = {}
+        for i in range(0, len(words), 1000):
+            some = words[i: i + 1000]
+            got = self.t.encode(" " + " ".join(some), add_special_tokens=False)
             ids, at = np.asarray(got.ids, "<u4"), np.asarray(got.word_ids)
             cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
             if len(cut) == len(some) + 1:
                 raw, ends = ids.tobytes(), (4 * cut).tolist()
-                self.words.update(zip(some, [raw[x:y] for x, y in zip(ends, ends[1:])]))
-        rest = [w for w in new if w not in self.words]
-        self.words.update(zip(rest, (np.asarray(x.ids, "<u4").tobytes() for x in self.t.encode_batch(rest, add_special_tokens=False))))
+                out.update(zip(some, [raw[x:y] for x, y in zip(ends, ends[1:])]))
+            else:
+                out.update(zip(some, self._ids([" " + w for w in some])))
+        return out
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.t.encode_batch(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, new: list[str]) -> None:
+        self.words.update(zip(new, self._ids(new)))
+
+    def _remember_led(self, keys: set[str]) -> None:
+        """Ids of the space-led chunks: words of letters, such words with one mark behind, and all others by the pattern."""
+        mids, plain, marked, others = self.mids, set(), [], []
+        for k in keys:
+            if k.isalpha():
+                plain.add(k)
+            elif k[:-1].isalpha() and k[-1] in MARKS:
+                marked.append(k)
+                if k[:-1] not in mids:
+                    plain.add(k[:-1])
+            else:
+                others.append(k)
+        mids.update(self._ids_of_led(list(plain)))
+        for k in marked:
+            mids[k] = mids[k[:-1]] + self.marks[k[-1]]
+        self._remember(mids, others, " ")
 
     def _remember(self, memory: dict, keys: list[str], lead: str) -> None:
         matched = [self.match(lead + k) for k in keys]
-        new = {w for m in matched for w in m}
-        self._learn([w for w in new if w not in self.words])
+        self._learn([w for w in {w for m in matched for w in m} if w not in self.words])
         get = self.words.__getitem__
         for k, m in zip(keys, matched):
             memory[k] = False if (k[-1:] or lead).isspace() else b"".join(map(get, m))
@@ -141,7 +166,7 @@ class Encoder:
         new = set()
         for p in parts:
             new.update(p[1:])
-        self._remember(self.mids, [x for x in new if x not in self.mids], " ")
+        self._remember_led(new - self.mids.keys())
         out = []
         head, mid = self.heads.__getitem__, self.mids.__getitem__
         for t, p in zip(texts, parts):
