@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 U64 = np.uint64
-#: bits of the rarity sketch; shingles are ranked by quarter octaves of its counts above the mean
+#: bits of the rarity sketch; shingles are ranked by sixteenths of octaves of its counts around the mean, so that one
+#: shared by a few dozen documents already stands behind the many that are alone in their buckets
 SKETCH_BITS = 18
 
 
@@ -244,7 +245,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return total
 
     seen = C.sketch_counts(docs.select("text"), count, 1 << SKETCH_BITS)
-    rank = np.clip(np.floor(4 * np.log2(np.maximum(seen, 1) / max(1.0, seen.mean()))), 0, 63).astype(np.int8)
+    rank = np.clip(np.floor(32 + 16 * np.log2(np.maximum(seen, 1) / max(1.0, seen.mean()))), 0, 63).astype(np.int8)
     full = C.materialize(_index(docs, k, spark.sparkContext.broadcast(rank)), "ngram-index")
     index = C.materialize(full.select("doc_id", "n", "sid"), "ngram-members")
     shared = spark.sparkContext.broadcast(C.bitmap(C.repeated(_keys(full.where("n > 0")))))
