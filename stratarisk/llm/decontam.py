@@ -3,10 +3,15 @@
 Passages (runs of words) of all documents are TF-IDF vectors over the rarer
 words of the benchmark. A distributed randomised SVD gives their latent space: every
 task adds its passages to the range sketch A'(A Omega), and the driver, which
-sees that matrix of fixed width only, takes the singular vectors from it. Passages are searched
+sees that matrix only, takes the singular vectors from it. Passages are searched
 by cosine in that space; a candidate is then compared word by word: the longest
 common subsequence with the item must be long, or fairly long with the item's
 answer (its last words) standing in the document as they are.
+
+Beside the cosine stands a way that loses nothing by that comparison. A long
+subsequence leaves out few of an item's words, so some of its rarest ones stand
+in the window (prefix filter on counts); and a fairly long one comes with the
+answer, which is looked up as it is. Windows found either way are compared.
 """
 
 from __future__ import annotations
@@ -20,7 +25,10 @@ from . import common as C
 
 U64 = np.uint64
 PASSAGE, STRIDE = 32, 16
-RANK, SKETCH = 64, 80
+#: a sixteenth of the terms is the rank, at least RANK, as long as terms x rank stay within CELLS (128 MB); EXTRA columns more are drawn
+RANK, TERMS_A_RANK, CELLS, EXTRA = 64, 16, 1 << 24, 16
+#: rarest words of an item that a window must have, beyond those that a long subsequence may leave out
+RARE_HITS = 3
 SLOT_BITS = 18
 #: a word of the benchmark is a term if it is in at most this share of the passages, or among the rarest words of an item
 RARE, OWN_WORDS = 0.002, 8
@@ -112,6 +120,29 @@ def lcs_length(bits: dict[int, int], size: int, words: list[int]) -> int:
     return size - v.bit_count()
 
 
+class Postings:
+    """(word, item, value) by word, with a table of slots before the words themselves."""
+
+    def __init__(self, rows: list):
+        rows.sort()
+        word = np.array([r[0] for r in rows], U64)
+        self.item, self.value = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+        self.word, first = np.unique(word, return_index=True)
+        self.bounds = np.append(first, len(rows))
+        self.slot = np.zeros(1 << SLOT_BITS, bool)
+        self.slot[_slots(self.word)] = True
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, value) of every posting of the words ``h``."""
+        pos = np.flatnonzero(self.slot[_slots(h)])
+        at = np.minimum(np.searchsorted(self.word, h[pos]), len(self.word) - 1)
+        keep = self.word[at] == h[pos]
+        pos, at = pos[keep], at[keep]
+        n = self.bounds[at + 1] - self.bounds[at]
+        k = np.repeat(self.bounds[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(pos, n), self.item[k], self.value[k]
+
+
 class Space:
     """The latent space of one block of benchmark items, as every task gets it."""
 
@@ -122,6 +153,7 @@ class Space:
         self.feature[slots] = np.arange(len(slots))
         self.size = len(slots)
         self.idf = self.v = self.owner = self.start = self.z = None
+        self.rare = self.told = None
 
     def keep(self, chosen: np.ndarray) -> None:
         """Only the chosen features stay."""
@@ -132,6 +164,66 @@ class Space:
     def features_of(self, h: np.ndarray) -> np.ndarray:
         return self.feature[_slots(h)].astype(np.int64)
 
+    def look_up(self, seen: np.ndarray) -> None:
+        """Postings of the lossless way. seen: passages that have each feature, before any is left out.
+
+        Of an item's n words FAR * n must stand in a window in their order, so
+        of its n - FAR * n + k rarest at least k do, whatever else is changed.
+        """
+        rare, told = [], []
+        self.least = np.zeros(len(self.ids), np.int64)
+        for i in range(len(self.ids)):
+            h = self.h[self.at[i]: self.at[i + 1]]
+            n, often = len(h), seen[self.features_of(h)]
+            if not n:
+                continue
+            spare = n - int(np.ceil(FAR * n))
+            self.least[i] = min(n, spare + RARE_HITS) - spare
+            word, weight = np.unique(h[np.lexsort((h, often))[: spare + self.least[i]]], return_counts=True)
+            rare += zip(word.tolist(), [i] * len(word), weight.tolist())
+            k = max(0, n - ANSWER_WORDS)
+            told.append((int(h[k + int(np.argmin(often[k:]))]), i, int(np.argmin(often[k:]))))
+        self.rare, self.told = Postings(rare), Postings(told)
+
+    def windows(self, at: np.ndarray, h: np.ndarray) -> set:
+        """(row, block, item) of the windows that may match: a superset of those that do, by counts and answers alone."""
+        size = np.diff(self.at)
+        first, last, item = [], [], []
+        pos, who, weight = self.rare.places(h)
+        if len(pos):
+            row = np.searchsorted(at, pos, "right") - 1
+            order = np.lexsort((pos, row, who))
+            order = np.repeat(order, weight[order])
+            pos, who, row = pos[order], who[order], row[order]
+            other = np.arange(len(pos)) + self.least[who] - 1
+            i = np.flatnonzero(other < len(pos))
+            j = other[i]
+            i, j = (x[(who[i] == who[j]) & (row[i] == row[j]) & (pos[j] - pos[i] < PASSAGE + 2 * size[who[i]])] for x in (i, j))
+            first.append(pos[i]), last.append(pos[j]), item.append(who[i])
+        pos, who, offset = self.told.places(h)
+        if len(pos):
+            row = np.searchsorted(at, pos, "right") - 1
+            n = np.minimum(size[who], ANSWER_WORDS)
+            begin = pos - offset
+            ok = (begin >= at[row]) & (begin + n <= at[row + 1])
+            begin, who, n = begin[ok], who[ok], n[ok]
+            ok = np.ones(len(begin), bool)
+            for k in range(ANSWER_WORDS):
+                has = np.flatnonzero(ok & (k < n))
+                ok[has] = h[begin[has] + k] == self.h[self.at[who[has] + 1] - n[has] + k]
+            first.append(begin[ok]), last.append((begin + n - 1)[ok]), item.append(who[ok])
+        if not first:
+            return set()
+        first, last, item = (np.concatenate(x) for x in (first, last, item))
+        row = np.searchsorted(at, first, "right") - 1
+        # all blocks whose windows have both places
+        a, b = first - at[row], last - at[row]
+        lo = np.maximum(0, -((PASSAGE - 1 + size[item] - b) // STRIDE))
+        hi = np.minimum((a + size[item]) // STRIDE, -(-np.diff(at)[row] // STRIDE) - 1)
+        n = np.maximum(hi - lo + 1, 0)
+        block = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return set(zip(np.repeat(row, n).tolist(), block.tolist(), np.repeat(item, n).tolist()))
+
     def search(self, v: np.ndarray) -> None:
         """Latent vectors of the items' own passages."""
         self.v = v.astype(np.float32)
@@ -160,14 +252,14 @@ class Space:
             self.bits.append(bits)
         self.answers = [tuple(self.h[max(self.at[i], self.at[i + 1] - ANSWER_WORDS): self.at[i + 1]].tolist()) for i in range(len(self.ids))]
 
-    def found(self, at: np.ndarray, h: np.ndarray):
-        """(row, item, lcs, answer) of the matches in the rows of a slice."""
-        if not len(h) or not len(self.z):
-            return []
+    def latent(self, at: np.ndarray, h: np.ndarray) -> set:
+        """(row, block, item) of the passages near an item by cosine."""
+        if not len(self.z):
+            return set()
         feature = self.features_of(h)
         known = np.flatnonzero(feature >= 0)
         if not len(known):
-            return []
+            return set()
         n = np.diff(at)
         blocks = -(-n // STRIDE)
         first = np.concatenate([[0], np.cumsum(blocks)])
@@ -185,24 +277,33 @@ class Space:
         place = np.concatenate([one, two])
         norm = np.linalg.norm(z, axis=1)
         z, place = z[norm > 1e-6] / norm[norm > 1e-6, None], place[norm > 1e-6]
-        got: dict = {}
+        out: set = set()
         for i in range(0, len(z), 4096):
             p, q = np.nonzero(z[i: i + 4096] @ self.z.T >= COSINE)
-            for b, item in sorted(set(zip(place[i + p].tolist(), self.owner[q].tolist()))):
-                r, b = int(owner_row[b]), int(live[b])
-                size = int(self.at[item + 1] - self.at[item])
-                lo = max(int(at[r]), int(at[r]) + (b - int(first[r])) * STRIDE - size)
-                hi = min(int(at[r + 1]), int(at[r]) + (b - int(first[r])) * STRIDE + PASSAGE + size)
-                near = h[lo:hi].tolist()
-                if len(self.bits[item].keys() & set(near)) < NEAR * len(self.bits[item]):
-                    continue
-                lcs = lcs_length(self.bits[item], size, near)
-                if lcs < NEAR * size or lcs <= got.get((r, item), (0, False))[0]:
-                    continue
-                answer = self.answers[item]
-                told = any(tuple(near[k: k + len(answer)]) == answer for k in range(len(near) - len(answer) + 1))
-                if lcs >= FAR * size or told:
-                    got[(r, item)] = (lcs, told)
+            b = place[i + p]
+            out.update(zip(owner_row[b].tolist(), (live[b] - first[owner_row[b]]).tolist(), self.owner[q].tolist()))
+        return out
+
+    def found(self, at: np.ndarray, h: np.ndarray):
+        """(row, item, lcs, answer) of the matches in the rows of a slice."""
+        if not len(h):
+            return []
+        got: dict = {}
+        for r, b, item in sorted(self.latent(at, h) | self.windows(at, h)):
+            size = int(self.at[item + 1] - self.at[item])
+            lo = max(int(at[r]), int(at[r]) + b * STRIDE - size)
+            hi = min(int(at[r + 1]), int(at[r]) + b * STRIDE + PASSAGE + size)
+            near = h[lo:hi].tolist()
+            bits = self.bits[item]
+            if sum(bits[w].bit_count() for w in bits.keys() & set(near)) < NEAR * size:
+                continue
+            lcs = lcs_length(bits, size, near)
+            if lcs < NEAR * size or lcs <= got.get((r, item), (0, False))[0]:
+                continue
+            answer = self.answers[item]
+            told = any(tuple(near[k: k + len(answer)]) == answer for k in range(len(near) - len(answer) + 1))
+            if lcs >= FAR * size or told:
+                got[(r, item)] = (lcs, told)
         return [(r, item, lcs, told) for (r, item), (lcs, told) in sorted(got.items())]
 
 
@@ -235,6 +336,7 @@ def latent_space(texts: DataFrame, items: list, seed: int = 7) -> Space | None:
 
     seen = _summed(texts, frequencies, (d + 1, 1))[:, 0]
     total, seen = seen[-1], seen[:-1]
+    space.look_up(seen)
     chosen = seen <= max(2.0, RARE * total)
     for i in range(len(space.ids)):
         own = np.unique(space.features_of(h[at[i]: at[i + 1]]))
@@ -242,7 +344,8 @@ def latent_space(texts: DataFrame, items: list, seed: int = 7) -> Space | None:
     space.keep(chosen)
     d = space.size
     space.idf = np.log((total + 1) / (seen[chosen] + 1)) + 1e-3
-    width = min(SKETCH, d)
+    rank = max(RANK, min(d // TERMS_A_RANK, CELLS // d))
+    width = min(rank + EXTRA, d)
     omega = np.random.default_rng(seed).standard_normal((d, width))
     fitted, seeds = sc.broadcast(space), sc.broadcast(omega.astype(np.float32))
 
@@ -272,7 +375,7 @@ def latent_space(texts: DataFrame, items: list, seed: int = 7) -> Space | None:
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > 1e-9 * max(values[-1], 1e-30)
     u, size, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    space.search(u[:, size > 1e-6 * size[0]][:, :RANK])
+    space.search(u[:, size > 1e-6 * size[0]][:, :rank])
     return space
 
 

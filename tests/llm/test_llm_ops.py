@@ -252,6 +252,63 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs, bench.where("false")).collect() == []
 
 
+def every_block(docs, bench):
+    """The rule of find_leaks over every block of every text and every item, without any search."""
+    out = {}
+    for i, text in docs:
+        w = plain(text)
+        words = set(w)
+        for j, item in bench:
+            u = plain(item)
+            bits = {}
+            for k, x in enumerate(u):
+                bits[x] = bits.get(x, 0) | 1 << k
+            if len(u) and 2 * sum(x in words for x in u) < len(u):
+                continue
+            for b in range(0, len(w), 16) if u else ():
+                near = w[max(0, b - len(u)): b + 32 + len(u)]
+                some = set(near)
+                if 2 * sum(x in some for x in u) < len(u):
+                    continue
+                lcs = decontam.lcs_length(bits, len(u), near)
+                told = any(near[k: k + len(u[-5:])] == u[-5:] for k in range(len(near)))
+                if lcs >= 0.7 * len(u) or (told and lcs >= 0.5 * len(u)):
+                    out[i, j] = max(out.get((i, j), 0), lcs)
+    return out
+
+
+def plain(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def planted_leaks(docs, bench, share, seed, first_id):
+    """Every item, ``share`` of its words replaced by words of the text around it, within a text that is not its own."""
+    rng, out = random.Random(seed), []
+    hosts = [t.split() for _, t in docs if t and 40 <= len(t.split()) <= 400]
+    for k, (_, item) in enumerate(bench):
+        host, w = rng.choice(hosts), item.split()
+        for i in rng.sample(range(len(w)), round(share * len(w))):
+            w[i] = rng.choice(host)
+        at = rng.randrange(len(host))
+        out.append((first_id + k, " ".join(host[:at] + w + host[at:])))
+    return out
+
+
+def test_leaks_as_by_brute_force(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = [tuple(r) for r in common.table(spark, sf, "documents").select("doc_id", "text").orderBy("doc_id").collect()]
+    bench = [tuple(r) for r in common.table(spark, sf, "benchmark").orderBy("item_id").collect()]
+    planted = planted_leaks(docs, bench, 0.2, 1, 10 ** 6) + planted_leaks(docs, bench, 0.3, 2, 2 * 10 ** 6)
+    want = every_block(planted, bench)
+    assert len(want) >= 300
+    every = common.table(spark, sf, "documents").select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    found = decontam.find_leaks(every, common.table(spark, sf, "benchmark")).where("doc_id >= 1000000").collect()
+    got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in found}
+    print(*(f"{n}: found {sum(k in got for k in part)} of {len(part)}" for n, part in
+            (("20%", [k for k in want if k[0] < 2 * 10 ** 6]), ("30%", [k for k in want if k[0] >= 2 * 10 ** 6]))))
+    assert got == want
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(50):
