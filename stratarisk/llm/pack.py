@@ -93,26 +93,35 @@ class Encoder:
     space-led chunk is matched the same alone as within the text, unless the
     space stands between two white spaces; then the chunk before it ends in
     white space, and the text is matched whole. Matches not met before are
-    encoded by the tokenizer, many at a time.
+    encoded by the tokenizer, many at a time. The file's added tokens are seen
+    before the word pattern and may reach over several matches: a text that
+    contains one goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.added = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.match = regex.compile(WORD_PATTERN).findall
         self.words: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.mids: dict[str, bytes] = {}
         self.marks = dict(zip(MARKS, self._ids(list(MARKS))))
 
+    def _has_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
     def _ids_of_led(self, words: list[str]) -> dict[str, bytes]:
         """Ids of " " + word for words of letters: many in one text, told apart by the tokenizer's word numbers."""
         out: dict[str, bytes] = {}
         for i in range(0, len(words), 1000):
             some = words[i: i + 1000]
-            got = self.t.encode(" " + " ".join(some), add_special_tokens=False)
+            joined = " " + " ".join(some)
+            if self._has_added(joined):
+                out.update(zip(some, self._ids([" " + w for w in some])))
+                continue
+            got = self.t.encode(joined, add_special_tokens=False)
             ids, at = np.asarray(got.ids, "<u4"), np.asarray(got.word_ids)
             cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
             if len(cut) == len(some) + 1:
@@ -158,6 +167,16 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, m))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if self._has_added(t)]
+        if not whole:
+            return self._by_words(texts)
+        out = dict(zip(whole, self._ids([texts[i] for i in whole])))
+        rest = [i for i in range(len(texts)) if i not in out]
+        out.update(zip(rest, self._by_words([texts[i] for i in rest])))
+        return [out[i] for i in range(len(texts))]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens."""
         for memory in (self.words, self.heads, self.mids):
             if len(memory) > REMEMBERED:
                 memory.clear()

@@ -375,6 +375,20 @@ def test_encoder_matches_whole_text():
     assert coder.encode(texts) == want
 
 
+def test_added_tokens_as_by_the_file(spark):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(registry.tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one two<|endoftext|>three  four", "x <|endoftext|><|endoftext|>\n", "<|endoftext|", "a <| endoftext |> b", "no such thing, at all."]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(x, "<u4").tolist() for x in pack.encoder(registry.tokenizer_path()).encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pack.pack_documents(docs, registry.tokenizer_path(), with_ids=True).collect()}
+    for i, ids in enumerate(want):
+        raw = np.array([*ids, 1], "<u4").tobytes()
+        assert (got[i]["ids"], got[i]["ids_crc32"], got[i]["doc_tokens"]) == (raw, zlib.crc32(raw), len(ids) + 1)
+
+
 # --- revisits --------------------------------------------------------------
 
 def test_revisits(spark, monkeypatch):
