@@ -163,6 +163,25 @@ def test_line_variants_meet(spark):
     assert got == {i: late[i] for i, _ in rows}
 
 
+@pytest.mark.parametrize("tight", [False, True])
+def test_lines_of_rows_that_share_an_id(spark, tight, monkeypatch):
+    if tight:
+        for name, v in (("EARLIEST", 1), ("HOT_LIST", 3), ("HOT_FIRST", 1), ("FREQUENT", 2)):
+            monkeypatch.setattr(line_dedup, name, v)
+    rng = random.Random(21)
+    lines = [prose(rng, 12, 1000) for _ in range(12)]
+    near = lines[0] + " besides"
+    # of the rows without an id, and of those with id 7, one repeats a line as it is and one nearly; all others are unlike
+    rows = [(None, lines[0] + "\n" + lines[1]), (None, lines[2]), (None, lines[3] + "\n" + lines[4]), (None, None), (None, lines[5]), (None, lines[5]),
+            (7, lines[0]), (7, lines[6] + "\n" + lines[7]), (7, near + "\n" + lines[8]), (7, lines[9]), (8, lines[6]), (8, lines[10]), (9, lines[11])]
+    want = [lines[0] + "\n" + lines[1], lines[2], lines[3] + "\n" + lines[4], None, lines[5], lines[5],
+            lines[6] + "\n" + lines[7], lines[8], lines[9], lines[10], lines[11]]
+    got = line_dedup.remove_lines(frame(spark, rows)).collect()
+    assert sorted(str(r["text"]) for r in got) == sorted(map(str, want))
+    report = line_dedup.line_report(frame(spark, rows)).collect()
+    assert len(report) == len(rows) and sorted((r["doc_id"], *r["removed"]) for r in report if r["removed"]) == [(7, 0), (7, 0), (8, 0)]
+
+
 # --- substring dedup -------------------------------------------------------
 
 def test_substrings(docs, rows, empty):
