@@ -12,6 +12,8 @@ documents are taken whole, and none more often than the circle is run through.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,8 +25,8 @@ from .fingerprint import words_of
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: a block is this part of the smallest target, and never larger than BLOCK_TOKENS
 BLOCK_PARTS, BLOCK_TOKENS = 128, 4096
-#: rows that one task puts in order, about; copies of a row written by one step
-BUCKET_ROWS, COPIES = 20_000, 4096
+#: copies of a row written by one step
+COPIES = 4096
 
 EVERY = (W.unboundedPreceding, W.unboundedFollowing)
 
@@ -115,14 +117,14 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        F.size(words_of(F.coalesce(F.col(text_col), F.lit("")))).cast("long").alias("size"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string")))
     grouped = C.materialize(slim.groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", key), "mix-sizes")
-    buckets = max(1, grouped.count() // BUCKET_ROWS)
+    # as many order buckets as rows in a bucket: neither their table nor a bucket grows faster than the root of the input
+    buckets = math.isqrt(grouped.count()) + 1
     high = F.conv(F.substring("key", 1, 7), 16, 10).cast("long")
     lined = grouped.withColumn("bucket", F.shiftright(high * F.lit(buckets), 28))
     words = F.col("size") * F.col("copies")
     cells = lined.groupBy("source", "bucket").agg(F.sum(words).alias("held"))
     sources = C.materialize(source_targets(cells.groupBy("source").agg(F.sum("held").alias("source_size")), weights, share, most), "mix-sources")
     upto = F.sum("held").over(W.partitionBy("source").orderBy("bucket")) - F.col("held")
-    cells = cells.select(F.col("source").alias("cell_source"), F.col("bucket").alias("cell"), upto.alias("before"))
     quotas = shard_quotas(sources, shards, share, most).join(sources.select(F.col("source").alias("s"), "block", "source_size"), F.col("source").eqNullSafe(F.col("s")))
     most_tokens = F.floor(F.col("source_size") * F.lit(float(most)))
     arc = F.struct("shard", F.least(F.col("first") * F.col("block"), most_tokens).alias("lo"), F.least((F.col("first") + F.col("blocks")) * F.col("block"), most_tokens).alias("hi"))
@@ -131,10 +133,11 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                    F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("block")))) * F.col("block")
     sources = (sources.withColumn("origin", first).join(arcs, F.col("source").eqNullSafe(F.col("arc_source")), "left")
                .select(F.col("source").alias("own"), "source_size", "target", "origin", "arcs"))
+    cells = (cells.withColumn("before", upto).join(sources, F.col("source").eqNullSafe(F.col("own")))
+             .select("own", F.col("bucket").alias("cell"), "before", "source_size", "target", "origin", "arcs"))
     within = F.sum(words).over(W.partitionBy("source", "bucket").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, 0)) - words
     placed = (lined.withColumn("within", within)
-              .join(cells, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("bucket") == F.col("cell")))
-              .join(sources, F.col("source").eqNullSafe(F.col("own")))
+              .join(cells, F.col("source").eqNullSafe(F.col("own")) & (F.col("bucket") == F.col("cell")))
               .select("id", "source", "size", "source_size", "target", "origin", "copies", "arcs", (F.col("before") + F.col("within")).alias("start")))
     chunk = F.expr(f"sequence(0L, copies - 1, {COPIES}L)")
     each = (placed.withColumn("chunk", F.explode(chunk))
