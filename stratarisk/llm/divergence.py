@@ -25,7 +25,7 @@ SCALE = 1_000_000_000
 #: bytes that are part of a term: ASCII letters, and all of a code point beyond ASCII
 TERM = np.zeros(256, bool)
 TERM[65:91] = TERM[97:123] = TERM[128:] = True
-#: pairs of sources evaluated at once, and pair sums held inside a task before they go out
+#: pairs of sources evaluated at once, and sums held inside a task before they go out
 PAIRS, HELD = 2_000_000, 1_000_000
 #: bytes of text cut into terms at once
 TEXT_BYTES = 4 << 20
@@ -55,14 +55,47 @@ def _runs(off: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
 
 
-def _codes(col) -> tuple[np.ndarray, pa.Array]:
+def _codes(col) -> tuple[np.ndarray, list]:
     """Codes and the values they stand for."""
     d = col.cast(pa.large_string()).dictionary_encode()
-    return np.asarray(d.indices).astype(np.int64), d.dictionary
+    return np.asarray(d.indices).astype(np.int64), d.dictionary.to_pylist()
+
+
+class _Held:
+    """Counts of a task by (group, term), added up whenever enough rows are held; sent on when too many differ."""
+
+    def __init__(self):
+        self.tables, self.rows, self.groups = [], 0, {}
+
+    def codes(self, pairs: list) -> np.ndarray:
+        return np.array([self.groups.setdefault(p, len(self.groups)) for p in pairs], np.int32)
+
+    def add(self, group, term, n, docs):
+        self.tables.append(pa.table({"group": group, "term": term, "n": n, "docs": docs}))
+        self.rows += len(n)
+        if self.rows > HELD:
+            self._sum()
+            if self.rows > HELD // 2:
+                yield from self.flush()
+
+    def _sum(self):
+        summed = pa.concat_tables(self.tables).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        self.tables, self.rows = [summed.select(["group", "term", "n_sum", "docs_sum"]).rename_columns(["group", "term", "n", "docs"])], summed.num_rows
+
+    def flush(self):
+        if not self.rows:
+            return
+        self._sum()
+        names = list(self.groups)
+        lang, source = (pa.array([p[k] for p in names], pa.string()) for k in range(2))
+        for x in self.tables[0].combine_chunks().to_batches(max_chunksize=100_000):
+            yield pa.RecordBatch.from_arrays([lang.take(x.column(0)), source.take(x.column(0)), *x.columns[1:]], names=["lang", "source", "term", "n", "docs"])
+        self.tables, self.rows, self.groups = [], 0, {}
 
 
 def _term_counts(batches):
-    """Batches of (lang, text, holders) to rows (lang, source, term, n, docs), added up within a slice of texts."""
+    """Batches of (lang, text, holders) to rows (lang, source, term, n, docs), added up within the task as far as memory allows."""
+    sums = _Held()
     for x in batches:
         lang, langs = _codes(x.column(0))
         holders = x.column(2)
@@ -90,15 +123,19 @@ def _term_counts(batches):
             key = key[order]
             at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             weight = copies[entry]
-            key, own = key[at], key[at] // size
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(own // len(sources))), sources.take(pa.array(own % len(sources))), terms.take(pa.array(key % size)),
-                                              pa.array(np.add.reduceat((weight * n[each])[order], at)), pa.array(np.add.reduceat(weight[order], at))],
-                                             names=["lang", "source", "term", "n", "docs"])
+            own, back = np.unique(key[at] // size, return_inverse=True)
+            group = sums.codes([(langs[g // len(sources)], sources[g % len(sources)]) for g in own.tolist()])[back]
+            yield from sums.add(pa.array(group), terms.take(pa.array(key[at] % size)), pa.array(np.add.reduceat((weight * n[each])[order], at)), pa.array(np.add.reduceat(weight[order], at)))
+    yield from sums.flush()
 
 
 def kept_terms(texts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term, total, cells): terms that ``least_docs`` documents of the language hold, cells: array of (source, n)."""
-    counts = texts.mapInArrow(_term_counts, "lang string, source string, term string, n long, docs long")
+    """(lang, term, total, cells): terms that ``least_docs`` documents of the language hold, cells: array of (source, n).
+
+    The tasks send sums, so the commonest term arrives as few rows from each of
+    them; dealing those out by term serves both groupings.
+    """
+    counts = texts.mapInArrow(_term_counts, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     counts = counts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     return (counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("cells"))
             .where(F.col("docs") >= least_docs).select("lang", "term", "total", "cells"))
