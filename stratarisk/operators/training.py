@@ -17,6 +17,9 @@ Model families (Spark ML counterparts of the study's libraries):
 * ``XGB``  GBTClassifier with a second configuration (more histogram bins).
 * ``MLP``  MultilayerPerceptronClassifier (sigmoid hidden layers, L-BFGS, no
   L2 term and no class weights).
+
+Where many small fits share a table, ``operators/grid.py`` trains them side by
+side instead (Newton steps, histogram trees, gradient nets).
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import InheritableThread
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
@@ -49,8 +54,8 @@ SEARCH_SPACE = {
              "subsamplingRate": (0.7, 1.0, "float"), "featureSubset": (0.7, 1.0, "float")},
     "XGB": {"maxIter": (100, 500, "int"), "maxDepth": (3, 7, "int"), "stepSize": (0.01, 0.1, "log"),
             "subsamplingRate": (0.7, 1.0, "float"), "featureSubset": (0.7, 1.0, "float")},
-    # no learning rate and no L2 strength: the L-BFGS net of Spark ML has neither
-    "MLP": {"n_layers": (1, 3, "int"), "n_units": (32, 256, "int")},
+    # L2 strength and learning rate are those of the gradient net (operators/nets.py); the L-BFGS net has neither
+    "MLP": {"n_layers": (1, 3, "int"), "n_units": (32, 256, "int"), "alpha": (1e-5, 1e-2, "log"), "learning_rate": (1e-4, 1e-2, "log")},
 }
 # Parameters used when a model is refitted without tuning (k-fold CV falls
 # back to 128 units x 2 layers for the net, as in the study).
@@ -148,14 +153,17 @@ def _cell_filter(cell_cols: list[str], cell: tuple) -> F.Column:
 
 def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos: list[str],
                features: list[str], n_trials: int = 20, seed: int = C.SEED, parallelism: int = 4,
-               tune_on: str = "inner", min_positives: int = C.MIN_POSITIVES_TRAIN) -> dict:
+               tune_on: str = "inner", min_positives: int = C.MIN_POSITIVES_TRAIN, deadline: float | None = None) -> dict:
     """Fit every (cell, algo) with random search; returns {(cell, algo): result dict}.
 
     ``rows`` is a :func:`training_table`: one row per (row, cell) with features,
     label ``y`` and ``is_test``. Tuning maximises AUC on an inner split of the
     training part, or on the reported hold-out when ``tune_on='holdout'``.
     A cell below ``min_positives`` and a fit that fails keep an entry with the
-    error's text. ``parallelism`` fits are submitted at a time.
+    error's text. ``parallelism`` fits are submitted at a time, each family in
+    a scheduler pool of its own (taken up where ``spark.scheduler.mode`` is
+    FAIR). A fit that takes more than ``deadline`` seconds is cancelled and
+    keeps an entry that says so.
     """
     counts: dict = {}
     for r in rows.groupBy(*cell_cols, "is_test", "y").agg(F.count(F.lit(1)).alias("_n")).collect():
@@ -199,11 +207,51 @@ def train_grid(rows: DataFrame, cell_cols: list[str], cells: list[tuple], algos:
         except Exception as e:  # noqa: BLE001 - a failed fit is a null result row
             return (cell, algo), {"model": None, "error": f"{type(e).__name__}: {e}", "trials": trials}
 
+    def timed(cell, algo):
+        late = f"DeadlineExceeded: cancelled after {deadline} s"
+        done, got = within(rows.sparkSession, lambda: run(cell, algo), deadline, pool=algo)
+        return got if done else ((cell, algo), {"model": None, "error": late, "trials": []})
+
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        futs = [ex.submit(run, tuple(c), a) for c in cells for a in algos]
+        futs = [ex.submit(timed, tuple(c), a) for c in cells for a in algos]
         return dict(f.result() for f in futs)
 
 
+def within(spark, work, deadline: float | None, pool: str | None = None, every: float = 0.5):
+    """(True, work()) or, where ``deadline`` seconds do not suffice, (False, None) with all Spark jobs of ``work`` cancelled.
+
+    The work runs in a thread whose jobs carry a tag of its own. After the
+    deadline jobs with that tag are cancelled again and again until the thread
+    ends, as it may start further ones; a thread that hangs outside Spark is
+    left behind after a few tries.
+    """
+    sc, tag, box = spark.sparkContext, f"fit-{uuid.uuid4().hex}", []
+
+    def body():
+        sc.addJobTag(tag)
+        if pool:
+            sc.setLocalProperty("spark.scheduler.pool", pool)
+        try:
+            box.append((True, work()))
+        except Exception as e:  # noqa: BLE001 - handed to the caller's thread
+            box.append((False, e))
+
+    t = InheritableThread(target=body, daemon=True)
+    t.start()
+    t.join(deadline)
+    if not t.is_alive():
+        ok, got = box[0]
+        if not ok:
+            raise got
+        return True, got
+    for _ in range(20):
+        sc.cancelJobsWithTag(tag)
+        t.join(every)
+        if not t.is_alive():
+            break
+    return False, None
+
+
 def grid_frame(spark, cell_cols: list[str], results: dict) -> DataFrame:
     """One row per attempted (cell, algo) with the error of those without a model; sized by the grid."""
     schema = ", ".join(f"{c} string" for c in cell_cols) + ", algo string, error string"
