@@ -102,8 +102,8 @@ def linked(shared, na, nb):
 
 
 def _index(docs: DataFrame, k: int, weights) -> DataFrame:
-    """(doc_id, sid, n, sig, toks): class key, size, signature and indexed shingles of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.binary()), ("n", pa.int64()), ("sig", pa.binary()), ("toks", pa.binary())])
+    """(doc_id, sid, n, sig, toks, key): class key, size, signature and indexed shingles of every document. docs: (doc_id, text, key)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sid", pa.binary()), ("n", pa.int64()), ("sig", pa.binary()), ("toks", pa.binary()), ("key", pa.string())])
 
     def run(batches):
         out = C.Buffered(schema, 20_000)
@@ -119,10 +119,10 @@ def _index(docs: DataFrame, k: int, weights) -> DataFrame:
                 sig_at, sig = signatures(at, keys)
                 yield from out.add([x.column(0).slice(lo, len(n)), class_keys(at, keys), C.longs(n),
                                     C.packed(sig, sig_at),
-                                    C.packed(keys[order][first], C.pick(at, first))])
+                                    C.packed(keys[order][first], C.pick(at, first)), x.column(2).slice(lo, len(n))])
         yield from out.flush()
 
-    return docs.mapInArrow(run, "doc_id long, sid binary, n long, sig binary, toks binary")
+    return docs.mapInArrow(run, "doc_id long, sid binary, n long, sig binary, toks binary, key string")
 
 
 def _keys(index: DataFrame) -> DataFrame:
@@ -235,8 +235,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id is the smallest non-null id reachable (null if there is none).
     Rows may repeat; other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _linked_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("string").alias("key")), k).drop("key", "root")
+
+
+def _linked_rows(keyed: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, key, root) of (doc_id, text, key); root names the component whatever the ids, null for a set that no other row shares a rare shingle with."""
+    spark = keyed.sparkSession
+    docs = keyed.select("doc_id", "text")
 
     def count(x):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -246,14 +251,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     seen = C.sketch_counts(docs.select("text"), count, 1 << SKETCH_BITS)
     rank = np.clip(np.floor(32 + 16 * np.log2(np.maximum(seen, 1) / max(1.0, seen.mean()))), 0, 63).astype(np.int8)
-    full = C.materialize(_index(docs, k, spark.sparkContext.broadcast(rank)), "ngram-index")
-    index = C.materialize(full.select("doc_id", "n", "sid"), "ngram-members")
+    written = C.materialize(_index(keyed, k, spark.sparkContext.broadcast(rank)), "ngram-index")
+    index, full = C.materialize(written.select("doc_id", "n", "sid", "key"), "ngram-members"), written.drop("key")
     shared = spark.sparkContext.broadcast(C.bitmap(C.repeated(_keys(full.where("n > 0")))))
     classes = (_marked_only(full, shared).groupBy("sid")
                .agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("toks").alias("toks"), F.min("doc_id").alias("least")))
     # written at once, so that the numbers stay
     classes = C.materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
-    C.discard(full)
+    C.discard(written)
 
     tiles = _tiles(classes.withColumn("root", F.col("cid")))
     natives = tiles.groupBy("tok", "band").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("m"))
@@ -285,9 +290,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = classes.select("sid", "cid", "least").join(parts.select(F.col("node").alias("cid"), "root"), "cid", "left").select(
         "sid", F.coalesce("root", "cid").alias("root"), "least")
     roots = labels.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = labels.join(roots, "root").select("sid", "component_id")
-    result = (index.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(by_class, "sid", "left")
-              .select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    by_class = labels.join(roots, "root").select("sid", "component_id", "root")
+    result = (index.select("doc_id", F.col("n").alias("n_shingles"), "sid", "key").join(by_class, "sid", "left")
+              .select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", "root"))
     result = C.materialize(result, "ngram-result")
     C.discard(index, classes, links, found)
     return result
@@ -303,11 +308,30 @@ def _check(docs: DataFrame, k: int, pairs: DataFrame, classes: DataFrame, name:
     return links
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that are linked, directly or through others, to a row with a smaller id.
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """``docs`` with one row of each group that is linked, directly or through others.
 
-    The row whose id is its component's id stays, as do rows without a set or id.
+    The row with the smallest id stays, a null id counting as the largest; of
+    equal ids the one whose text has the smaller digest; of rows alike in both
+    the one with the smaller hash of all its columns. Rows are told apart by id
+    and text, so a row stays that only shares its id with a linked one. Rows
+    without words stay, all of them.
     """
-    found = ngram_jaccard_join(docs, id_col, text_col)
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    found = _linked_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key")), k)
+    found = found.where("n_shingles > 0 and root is not null").groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("alike"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("least_id"), F.col("key").alias("least_key"))
+    firsts = found.groupBy(F.col("root").alias("own")).agg(F.min(order).alias("first")).select("own", "first.*")
+    stays = F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("key") == F.col("least_key"))
+    judged = found.join(firsts, F.col("root") == F.col("own")).select(F.col("doc_id").alias("_gone"), F.col("key").alias("_text"), stays.alias("_stays"), "alike")
+    judged = C.materialize(judged.where("alike > 1 or not _stays"), "ngram-judged")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_text"))
+    named = docs.withColumn("_key", key)
+    left = named.join(judged.select("_gone", "_text"), same, "left_anti").select(*docs.columns)
+    if not judged.where("_stays").limit(1).count():
+        return left
+    # rows alike in id and text whose group they stand for: one of them
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    copies = named.join(judged.where("_stays").select("_gone", "_text"), same, "left_semi")
+    one = copies.groupBy(F.col(id_col).alias("_id"), "_key").agg(F.min_by(row, F.xxhash64(*[F.col(c) for c in docs.columns])).alias("r")).select("r.*")
+    return left.unionByName(one)

@@ -504,8 +504,22 @@ def test_ngram_join(docs, rows, empty):
     assert ngram_join.ngram_jaccard_join(empty).collect() == []
     stay = ngram_join.one_per_group(docs)
     assert stay.columns == docs.columns
-    assert sorted(map(str, (r["doc_id"] for r in stay.collect()))) == sorted(
-        str(i) for i, n, c in linked_components(rows) if not (n and i is not None and c is not None and i != c))
+    linked = linked_components(rows)
+    kept = sorted([str(i) for i, n, c in linked if not n] + [str(c) for c in {c for i, n, c in linked if n and c is not None}]
+                  + ["None" for t in {t for (i, n, c), (_, t) in zip(linked, rows) if n and c is None}])
+    assert sorted(str(r["doc_id"]) for r in stay.collect()) == kept
+
+
+def test_one_row_of_a_group_stays_and_no_other_goes(spark):
+    rng = random.Random(4)
+    long, other = prose(rng, 80), prose(rng, 60)
+    near = changed(rng, long, 1)
+    given = [(1, long), (1, long), (2, long), (None, long), (3, other), (3, near), (None, "a lone row without an id"), (4, None), (4, None), (5, " ")]
+    got = ngram_join.one_per_group(frame(spark, given))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(
+        [(1, long), (3, other), (None, "a lone row without an id"), (4, None), (4, None), (5, " ")], key=str)
+    nameless = ngram_join.one_per_group(frame(spark, [(None, long), (None, near), (None, near), (None, other)])).collect()
+    assert len(nameless) == 2 and {r["text"] for r in nameless} - {long, near} == {other}
 
 
 def test_ngram_chains(spark):
