@@ -334,7 +334,9 @@ def permutation_shapley(model: PipelineModel, explain: DataFrame, background: Da
     steps (``lag`` over (row, m)) is the contribution of the feature added
     at that step. Averaging over m gives phi. The walk telescopes, so
     ``sum(phi) + base = p(x)`` with ``base`` the mean background score.
-    Returns (row_id, keys, feature, phi, x, base).
+    Permutations come in antithetic pairs: an order and its reverse from the
+    same background row. ``se`` is the standard error of phi over the pairs
+    (null for a single pair). Returns (row_id, keys, feature, phi, x, base, se).
     """
     d = len(features)
     if background.limit(MAX_BACKGROUND + 1).count() > MAX_BACKGROUND:
@@ -343,20 +345,21 @@ def permutation_shapley(model: PipelineModel, explain: DataFrame, background: Da
     nbg = background.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nbg"))
     e = explain.join(F.broadcast(nbg), keys)
     e = e.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    e = e.withColumn("bg_idx", (F.floor(hash_uniform(F.col("row_id"), F.col("m"), "bg", seed)
+    e = e.withColumn("pair", F.floor((F.col("m") + 1) / 2).cast("int"))
+    e = e.withColumn("bg_idx", (F.floor(hash_uniform(F.col("row_id"), F.col("pair"), "bg", seed)
                                         * F.col("_nbg")) + 1).cast("bigint"))
     e = e.join(F.broadcast(bg), keys + ["bg_idx"])
     feats = F.array(*[F.lit(f) for f in features])
     order = F.transform(
         F.array_sort(F.transform(feats, lambda f: F.struct(
             F.conv(F.substring(F.md5(F.concat_ws(":", F.col("row_id").cast("string"),
-                                                  F.col("m").cast("string"), f, F.lit(str(seed)))), 1, 8), 16, 10)
+                                                  F.col("pair").cast("string"), f, F.lit(str(seed)))), 1, 8), 16, 10)
             .cast("bigint").alias("h"), f.alias("f")))),
         lambda s: s["f"])
-    e = e.withColumn("_order", order).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    e = e.withColumn("_order", F.when(F.col("m") % 2 == 0, F.reverse(order)).otherwise(order)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(d))))
     walk = {f: F.when(F.array_position("_order", f) <= F.col("s"), F.col(f)).otherwise(F.col(f"bg_{f}"))
             for f in features}
-    steps = e.select("row_id", *keys, "m", "s", "_order", *[walk[f].alias(f) for f in features],
+    steps = e.select("row_id", *keys, "m", "pair", "s", "_order", *[walk[f].alias(f) for f in features],
                      *[F.col(f).alias(f"x_{f}") for f in features])
     scored = model.transform(steps).withColumn("_p", vector_to_array("probability").getItem(1))
     w = Window.partitionBy("row_id", *keys, "m").orderBy("s")
@@ -365,8 +368,11 @@ def permutation_shapley(model: PipelineModel, explain: DataFrame, background: Da
              .where(F.col("s") > 0)
              .withColumn("feature", F.element_at("_order", F.col("s").cast("int"))))
     xval = F.coalesce(*[F.when(F.col("feature") == F.lit(f), F.col(f"x_{f}")) for f in features])
-    return diffs.groupBy("row_id", *keys, "feature").agg(
-        F.avg("_dp").alias("phi"), F.first(xval).alias("x"), F.avg("_base").alias("base"))
+    pairs = diffs.groupBy("row_id", *keys, "feature", "pair").agg(
+        F.avg("_dp").alias("_one"), F.sum("_dp").alias("_dp"), F.sum("_base").alias("_base"), F.count(F.lit(1)).alias("_n"), F.first(xval).alias("_x"))
+    return pairs.groupBy("row_id", *keys, "feature").agg(
+        (F.sum("_dp") / F.sum("_n")).alias("phi"), F.first("_x").alias("x"), (F.sum("_base") / F.sum("_n")).alias("base"),
+        F.nanvl(F.stddev_samp("_one") / F.sqrt(F.count(F.lit(1))), F.lit(None).cast("double")).alias("se"))
 
 
 def index_rows(df: DataFrame, keys: list[str], id_col: str, n: int, tag: str, seed: int = C.SEED,

@@ -1246,13 +1246,23 @@ def _trainable_sql(extra: str = "") -> str:
             f"having sum(y) >= {C.MIN_POSITIVES_TRAIN}){extra}")
 
 
-@query("score_cells", with_("split") + _trainable_sql() + """
-select id as row_id, stratum, outcome, y, is_test, true as scored from split join ok using (stratum, outcome)""")
-def q_score_cells(spark, sf_dir):
-    """Every row of every trainable cell scored by its cell's forest; scored: the score is a probability."""
+def _scored_cells(spark, sf_dir):
     rows, models = _rf_models(spark, sf_dir)
     out = _union([TR.score(m, rows.where(TR._cell_filter(CELL, c))) for c, m in models.items()])
-    return out.select("row_id", *CELL, "y", "is_test", F.coalesce(F.col("p6").between(0, 1_000_000), F.lit(False)).alias("scored"))
+    return out.select("row_id", *CELL, "y", "is_test", "p6")
+
+
+@query("score_cells")
+def q_score_cells(spark, sf_dir):
+    """Score of every row of every trainable cell by its cell's forest."""
+    return _scored_cells(spark, sf_dir)
+
+
+@query("scored_rows", with_("split") + _trainable_sql() + """
+select id as row_id, stratum, outcome, y, is_test from split join ok using (stratum, outcome)""")
+def q_scored_rows(spark, sf_dir):
+    """The set of the rows that score_cells gives a probability."""
+    return _scored_cells(spark, sf_dir).where(F.col("p6").between(0, 1_000_000)).drop("p6")
 
 
 @query("model_roundtrip", with_("split") + _trainable_sql() + """
@@ -1294,27 +1304,33 @@ def q_out_of_fold_rows(spark, sf_dir):
     return scores.where("p between 0 and 1").select("row_id", *CELL, "y", "fold")
 
 
-@query("shapley_rows", with_("split") + _trainable_sql(f"""
-, r as (select id, stratum, outcome, row_number() over (partition by stratum, outcome order by {hash_sql('id', 'explain')}, id) as k
-        from split where is_test)""") + f"""
-select id as row_id, stratum, outcome, cast({len(FX.FEATURES)} as bigint) as n_features, true as adds_up
-from r join ok using (stratum, outcome) where k <= {C.SHAP_SAMPLE}""")
-def q_shapley_rows(spark, sf_dir):
-    """Permutation Shapley values of each cell's forest for 500 hold-out rows (100 background rows): do they add up to the score?"""
+def _explained(spark, sf_dir):
+    """phi of each cell's forest for 500 hold-out rows (100 background rows), and the explained rows' scores."""
     rows, models = _rf_models(spark, sf_dir)
     test = rows.where(F.col("is_test"))
-    explain = TR.index_rows(test, CELL, "row_id", C.SHAP_SAMPLE, "explain", out="_ei")
-    bg = TR.index_rows(test, CELL, "row_id", 100, "background")
-    explain = SK.parquet_roundtrip(explain, scratch_path(spark, "explain"))
-    bg = SK.parquet_roundtrip(bg, scratch_path(spark, "background"))
-    parts = []
-    for c, m in models.items():
-        f = TR._cell_filter(CELL, c)
-        phi = TR.permutation_shapley(m, explain.where(f), bg.where(f), CELL, TRAIN_FEATURES, n_perm=8)
-        total = phi.groupBy("row_id", *CELL).agg(F.count(F.lit(1)).alias("n_features"), F.sum("phi").alias("s"), F.first("base").alias("base"))
-        own = TR.score(m, explain.where(f)).select("row_id", "p6")
-        parts.append(total.join(own, "row_id").select("row_id", *CELL, "n_features", (F.abs(F.col("s") + F.col("base") - F.col("p6") / 1e6) < 2e-6).alias("adds_up")))
-    return _union(parts)
+    explain = SK.parquet_roundtrip(TR.index_rows(test, CELL, "row_id", C.SHAP_SAMPLE, "explain", out="_ei"), scratch_path(spark, "explain"))
+    bg = SK.parquet_roundtrip(TR.index_rows(test, CELL, "row_id", 100, "background"), scratch_path(spark, "background"))
+    own = [(m, TR._cell_filter(CELL, c)) for c, m in models.items()]
+    phi = _union([TR.permutation_shapley(m, explain.where(f), bg.where(f), CELL, TRAIN_FEATURES, n_perm=8) for m, f in own])
+    return phi, _union([TR.score(m, explain.where(f)).select("row_id", *CELL, "p6") for m, f in own])
+
+
+@query("shapley_rows")
+def q_shapley_rows(spark, sf_dir):
+    """Permutation Shapley values with their standard errors: phi, x, base and se of every explained row and feature."""
+    return _explained(spark, sf_dir)[0]
+
+
+@query("explained_rows", with_("split") + _trainable_sql(f"""
+, r as (select id, stratum, outcome, row_number() over (partition by stratum, outcome order by {hash_sql('id', 'explain')}, id) as k
+        from split where is_test)""") + f"""
+select id as row_id, stratum, outcome, cast({len(FX.FEATURES)} as bigint) as n_features from r join ok using (stratum, outcome) where k <= {C.SHAP_SAMPLE}""")
+def q_explained_rows(spark, sf_dir):
+    """The set of the explained rows whose contributions and base add up to the score."""
+    phi, scores = _explained(spark, sf_dir)
+    total = phi.groupBy("row_id", *CELL).agg(F.count(F.lit(1)).alias("n_features"), F.sum("phi").alias("s"), F.first("base").alias("base"))
+    return (total.join(scores, ["row_id", *CELL]).where(F.abs(F.col("s") + F.col("base") - F.col("p6") / 1e6) < 2e-6)
+            .select("row_id", *CELL, "n_features"))
 
 
 @query("perturb_run")

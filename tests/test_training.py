@@ -78,3 +78,33 @@ def test_fold_refits_and_scan_pruning(spark, table):
     assert oof.where("fold < 2").count() == table.where("stratum = 'a' and fold < 2").count()
     plan = table.where("stratum = 'a'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(stratum" in plan
+
+
+def test_shapley_within_its_error_of_full_enumeration(spark, signal_rows):
+    import itertools
+    import numpy as np
+    few = FEATS[:4]
+    cell = signal_rows.where("stratum = 'a'")
+    model = TR.fit(TR.prepare_training(cell.where(~F.col("is_test")), ["stratum", "outcome"]), "LR", few)
+    test = cell.where("is_test")
+    explain = TR.index_rows(test, ["stratum", "outcome"], "row_id", 6, "e", out="_e")
+    bg = TR.index_rows(test, ["stratum", "outcome"], "row_id", 10, "bg")
+    coef, b0 = model.stages[-1].coefficients.toArray(), model.stages[-1].intercept
+    p = lambda x: 1 / (1 + np.exp(-(x @ coef + b0)))
+    back = bg.select(*few).toPandas().to_numpy()
+    exact = {}
+    for r in explain.select("row_id", *few).collect():
+        x, total = np.array([r[f] for f in few]), np.zeros(4)
+        for order in itertools.permutations(range(4)):
+            walk = back.copy()
+            before = p(walk).mean()
+            for j in order:
+                walk[:, j] = x[j]
+                total[j] += p(walk).mean() - before
+                before = p(walk).mean()
+        exact.update({(r["row_id"], f): t / 24 for f, t in zip(few, total)})
+    got = TR.permutation_shapley(model, explain, bg, ["stratum", "outcome"], few, n_perm=64).collect()
+    assert len(got) == 24
+    for r in got:
+        assert abs(r.phi - exact[(r.row_id, r.feature)]) <= 5 * r.se + 1e-9
+    assert all(r.se is None for r in TR.permutation_shapley(model, explain, bg, ["stratum", "outcome"], few, n_perm=2).collect())
