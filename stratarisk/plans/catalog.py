@@ -209,6 +209,7 @@ def q_sample_n_per_cell(spark, sf_dir):
 
 from stratarisk.operators import compare as CMP  # noqa: E402
 from stratarisk.operators import fairness as FAIR  # noqa: E402
+from stratarisk.operators import exact as X  # noqa: E402
 from stratarisk.operators import metrics as M  # noqa: E402
 from stratarisk.plans import oracle as O  # noqa: E402
 
@@ -339,6 +340,77 @@ def q_auc_matrix(spark, sf_dir):
     return CMP.auc_matrix(a, CMP.best_algo(a, CELL, _algos(spark)), CELL, FX.STANDIN_ALGOS)
 
 
+# ---- the same metrics on unrounded double scores, and the cross-validation table
+
+def _dholdout(spark, sf_dir):
+    return FX.scored_doubles(spark, sf_dir).where("is_test")
+
+
+SQL_EXTRA.update({
+    "dtest": (["dscored"], "select * from dscored where is_test"),
+    "d_auc": (["dtest"], f"select * from {O.exact_auc_sql('dtest', CELL_ALGO)} z"),
+    "d_conf": (["dtest"], f"select * from {O.exact_conf_sql('dtest', CELL_ALGO)} z"),
+    "d_prf": (["d_conf"], f"select * from {O.prf_sql('d_conf', CELL_ALGO)} z"),
+    "d_best": (["d_auc", "algos"], SQL_EXTRA["best"][1].replace("ho_auc", "d_auc")),
+    "d_folds": (["dscored"], f"""
+        select a.stratum, a.outcome, a.algo, a.fold, a.auc, p.f1, p.precision, p.recall
+        from {O.exact_auc_sql('dscored', CELL_ALGO + ['fold'])} a
+        join {O.prf_sql(O.exact_conf_sql('dscored', CELL_ALGO + ['fold']), CELL_ALGO + ['fold'])} p
+          using (stratum, outcome, algo, fold)"""),
+    "d_cv": (["d_folds"], SQL_EXTRA["cv"][1].replace("fold_metrics", "d_folds")),
+})
+
+
+@query("exact_auc", W("d_auc") + "select * from d_auc")
+def q_exact_auc(spark, sf_dir):
+    """ROC AUC per (stratum, outcome, algo) on double scores, by range totals."""
+    return X.auc(_dholdout(spark, sf_dir), CELL_ALGO)
+
+
+@query("exact_confusion", W("d_conf") + "select * from d_conf")
+def q_exact_confusion(spark, sf_dir):
+    return X.confusion(_dholdout(spark, sf_dir), CELL_ALGO)
+
+
+@query("exact_weighted_prf", W("d_prf") + "select * from d_prf")
+def q_exact_weighted_prf(spark, sf_dir):
+    return X.weighted_prf(_dholdout(spark, sf_dir), CELL_ALGO)
+
+
+@query("exact_reliability_bins", W("dtest") + f"""
+select stratum, outcome, algo, bin, n, sum_y, cast(sum_y as double) / n as mean_y,
+  cast(cast(sum_u as varchar) as double) / (9007199254740992.0::double * n) as mean_p
+from {O.exact_bins_sql('dtest', CELL_ALGO)} z where bin > 0""")
+def q_exact_reliability_bins(spark, sf_dir):
+    return X.reliability_bins(_dholdout(spark, sf_dir), CELL_ALGO)
+
+
+@query("exact_ece", W("dtest") + f"select * from {O.exact_ece_sql('dtest', CELL_ALGO)} z")
+def q_exact_ece(spark, sf_dir):
+    return X.ece(_dholdout(spark, sf_dir), CELL_ALGO)
+
+
+@query("cv_table", W("d_auc", "d_prf", "d_best", "d_cv") + f"""
+select b.stratum, b.outcome, b.best_algo, {O.r4('h.auc')} as ho_auc, {O.r4('p.f1')} as ho_f1,
+  {O.r4('p.precision')} as ho_precision, {O.r4('p.recall')} as ho_recall,
+  c.cv_auc_mean, c.cv_auc_std, c.cv_f1_mean, c.cv_f1_std, c.cv_precision_mean, c.cv_precision_std, c.cv_recall_mean, c.cv_recall_std,
+  {O.r4('l.auc')} as base_ho_auc, lc.cv_auc_mean as base_cv_auc,
+  {O.r4(O.r4('h.auc') + ' - ' + O.r4('l.auc'))} as auc_vs_baseline
+from d_best b
+left join d_auc h on h.stratum = b.stratum and h.outcome = b.outcome and h.algo = b.best_algo
+left join d_prf p on p.stratum = b.stratum and p.outcome = b.outcome and p.algo = b.best_algo
+left join d_cv c on c.stratum = b.stratum and c.outcome = b.outcome and c.algo = b.best_algo
+left join d_auc l on l.stratum = b.stratum and l.outcome = b.outcome and l.algo = '{BASE}'
+left join d_cv lc on lc.stratum = b.stratum and lc.outcome = b.outcome and lc.algo = '{BASE}'""")
+def q_cv_table(spark, sf_dir):
+    """Per cell: the best algorithm's hold-out and fold AUC, F1, P, R, the baseline's AUCs and the difference."""
+    rows = SK.parquet_roundtrip(FX.scored_doubles(spark, sf_dir), scratch_path(spark, "cv-scored"))
+    holdout = X.cell_metrics(rows.where("is_test"), CELL_ALGO)
+    keys = CELL_ALGO + ["fold"]
+    folds = X.cell_metrics(rows, keys).select(*keys, "auc", "f1", "precision", "recall")
+    return X.cv_table(holdout, CMP.cv_summary(folds, CELL_ALGO), CMP.best_algo(holdout, CELL, _algos(spark)), CELL, BASE)
+
+
 def _fold_metrics(spark, sf_dir):
     s = FX.scored(spark, sf_dir)
     keys = CELL_ALGO + ["fold"]

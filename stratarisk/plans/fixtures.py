@@ -65,6 +65,11 @@ def p6_sql(logit_sql: str) -> str:
     return f"cast(round(1000000.0 / (1 + exp(-({logit_sql})))) as int)"
 
 
+def soft_sql(logit_sql: str) -> str:
+    """A double score in (0, 1) by additions, products and a quotient only, so that every engine gets the same bits."""
+    return f"0.5 + 0.5 * ({logit_sql}) / (1 + abs({logit_sql}))"
+
+
 # ---- stand-in attribution: linear logit coefficients per outcome -----------
 STANDIN_ATTRIBUTION = {
     "Diabetes": [("num_a", 0.005), ("num_b", 0.00005), ("cat_a", 0.3), ("age", 0.02)],
@@ -145,6 +150,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_a.algo", "_a.algo_order", "y", "_a.p6", "is_test", "fold", "year", *FEATURES)
 
 
+def scored_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long scored table with an unrounded double score p (:func:`soft_sql`) per (row, outcome, algo)."""
+    arr = F.array(*[F.struct(F.lit(a).alias("algo"), F.expr(soft_sql(lg)).alias("p")) for a, _, lg in STANDIN_SCORERS])
+    return split_cells(spark, sf_dir).select("id", "stratum", "outcome", "y", "is_test", "fold", F.explode(arr).alias("_a")).select(
+        F.col("id").alias("row_id"), "stratum", "outcome", "_a.algo", "y", "_a.p", "is_test", "fold")
+
+
 def standin_p6(algo: str, cols: dict[str, str] | None = None):
     """Score column of one stand-in model, optionally over renamed feature columns."""
     lg = {a: l for a, _, l in STANDIN_SCORERS}[algo]

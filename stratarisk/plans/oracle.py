@@ -97,6 +97,9 @@ CTE = {
                + " ".join(f"when '{a}' then {FX.p6_sql(lg)}" for a, _, lg in FX.STANDIN_SCORERS)
                + " end as p6, s.is_test, s.fold, s.year, s.num_a, s.num_b, s.cat_a, s.age "
                "from split s cross join algos a"),
+    "dscored": (["split", "algos"], "select s.id as row_id, s.stratum, s.outcome, a.algo, s.y, case a.algo "
+                + " ".join(f"when '{a}' then {FX.soft_sql(lg)}" for a, _, lg in FX.STANDIN_SCORERS)
+                + " end as p, s.is_test, s.fold from split s cross join algos a"),
 }
 
 
@@ -184,3 +187,31 @@ def ece_sql(src: str, keys: list[str], n_bins: int = 10) -> str:
       from (select {k}, cast(count(*) as bigint) as n from {src} group by {k}) a
       left join (select {k}, sum(abs(sum_y * 1000000 - sum_p6)) as g from {bins_sql(src, keys, n_bins)} bb
                  group by {k}) b on {on})"""
+
+
+# ---- the same on unrounded double scores ``p`` ------------------------------
+
+def exact_auc_sql(src: str, keys: list[str]) -> str:
+    return auc_sql(f"(select *, p as p6 from {src}) q", keys)
+
+
+def exact_conf_sql(src: str, keys: list[str]) -> str:
+    return conf_sql(f"(select *, case when p >= 0.5::double then 1 else 0 end as p6 from {src}) q", keys, t6=1)
+
+
+def exact_bins_sql(src: str, keys: list[str], n_bins: int = 10) -> str:
+    """Bins of (lo, hi]; scores summed in units of 2^-53."""
+    k = ", ".join(keys)
+    edges = " + ".join(f"cast(p > {i * (1.0 / n_bins)!r}::double as int)" for i in range(1, n_bins))
+    return f"""(select {k}, bin, cast(count(*) as bigint) as n, cast(sum(y) as bigint) as sum_y,
+        sum(cast(floor(p * 9007199254740992.0::double) as hugeint)) as sum_u
+      from (select *, cast(case when p > 0 and p <= 1 then 1 + {edges} else 0 end as int) as bin from {src}) z
+      group by {k}, bin)"""
+
+
+def exact_ece_sql(src: str, keys: list[str], n_bins: int = 10) -> str:
+    k = ", ".join(keys)
+    gap = "sum(case when bin > 0 then abs(sum_y::hugeint * 9007199254740992::hugeint - sum_u) else 0 end)"
+    return f"""(select {k}, cast(sum(n) as bigint) as n,
+        cast(cast({gap} as varchar) as double) / (9007199254740992.0::double * cast(sum(n) as bigint)) as ece
+      from {exact_bins_sql(src, keys, n_bins)} b group by {k})"""
