@@ -523,6 +523,7 @@ def q_temporal_gap(spark, sf_dir):
 
 from stratarisk.operators import attribution as AT  # noqa: E402
 from stratarisk.operators import grade as GR  # noqa: E402
+from stratarisk.operators import tiled as TL  # noqa: E402
 from stratarisk.operators import perturb as PT  # noqa: E402
 from stratarisk.operators import governance as GOV  # noqa: E402
 from stratarisk.functions.scalar import round_half_up  # noqa: E402
@@ -835,14 +836,14 @@ def q_partitioned_grades(spark, sf_dir):
 def q_kmeans_grade(spark, sf_dir):
     """Full grouped k-means (k = 3, 10 inits, best by inertia), graded rows."""
     pts = GR.materialize_points(_points(spark, sf_dir))
-    cent, _ = GR.lloyd(pts, k=3, n_init=10, max_iter=300, checkpointed=True)
+    cent, _ = TL.lloyd(pts, ks=(3,), n_init=10, max_iter=300)
     return GR.apply_grades(pts, GR.grade_rank(cent)).select("stratum", "row_id", "grade", "x1", "x2")
 
 
 @query("elbow")
 def q_elbow(spark, sf_dir):
     """Best-of-10-inits inertia for k = 2..7 per stratum."""
-    return GR.elbow(_points(spark, sf_dir), range(2, 8), n_init=10, max_iter=300)
+    return TL.elbow(GR.materialize_points(_points(spark, sf_dir)), range(2, 8), n_init=10, max_iter=300)
 
 
 # ---------------------------------------------------------------------------
@@ -1182,7 +1183,7 @@ def q_cell_grid(spark, sf_dir):
 # 7. Training with Spark ML (rows-only checks: trained models have no SQL oracle)
 # ---------------------------------------------------------------------------
 
-from stratarisk.operators import grid as GR  # noqa: E402
+from stratarisk.operators import grid as GD  # noqa: E402
 from stratarisk.operators import training as TR  # noqa: E402
 
 # The study tunes with 20 trials per (cell, algorithm): ``hpo_trials``,
@@ -1232,12 +1233,12 @@ def _fold_sets():
 
 def _grouped_metrics(spark, rows, algos, trainings=None):
     """Hold-out metrics of the grid by grouped fits, a cell without a model keeping its row; and all scores, written once."""
-    scores, errors = GR.grouped_scores(rows, CELL, _cells(), algos, TRAIN_FEATURES, trainings or _holdout_set())
+    scores, errors = GD.grouped_scores(rows, CELL, _cells(), algos, TRAIN_FEATURES, trainings or _holdout_set())
     grid = spark.createDataFrame([(*c, a, errors.get((c, a))) for c in _cells() for a in algos], ", ".join(f"{c} string" for c in CELL_ALGO) + ", error string")
     if scores is None:
         return _no_metrics(grid), None
     scores = SK.parquet_roundtrip(scores, scratch_path(spark, "scores"))
-    met = GR.exact_metrics(scores.where("training = 'holdout'"), CELL_ALGO).select(*CELL_ALGO, "n", *[round_half_up(c).alias(c) for c in ("auc", "f1", "precision", "recall")])
+    met = GD.exact_metrics(scores.where("training = 'holdout'"), CELL_ALGO).select(*CELL_ALGO, "n", *[round_half_up(c).alias(c) for c in ("auc", "f1", "precision", "recall")])
     return grid.join(met, CELL_ALGO, "left").select(*met.columns, "error"), scores
 
 
@@ -1266,7 +1267,7 @@ def q_train_mlp(spark, sf_dir):
 
 
 def _trials(spark, sf_dir, algos):
-    found = GR.search(_train_rows(spark, sf_dir), CELL, _cells(), algos, TRAIN_FEATURES, n_trials=SEARCH_TRIALS)
+    found = GD.search(_train_rows(spark, sf_dir), CELL, _cells(), algos, TRAIN_FEATURES, n_trials=SEARCH_TRIALS)
     return spark.createDataFrame([(*t["cell"], t["algo"], t["trial"], t["params"], t["rung"], t["length"], t["auc"], t["best"]) for t in found],
                                  "stratum string, outcome string, algo string, trial int, params string, rung int, length int, auc double, best boolean")
 
@@ -1358,21 +1359,21 @@ def q_model_roundtrip(spark, sf_dir):
 def q_cv_folds(spark, sf_dir):
     """5-fold refits of the baseline and of each cell's best family (by hold-out AUC, among all): per-fold AUC, F1, P, R."""
     def pick(scores):
-        best = CMP.best_algo(GR.exact_metrics(scores, CELL_ALGO).select(*CELL_ALGO, round_half_up("auc").alias("auc")).where("auc is not null"), CELL, C.algos_dim(spark))
+        best = CMP.best_algo(GD.exact_metrics(scores, CELL_ALGO).select(*CELL_ALGO, round_half_up("auc").alias("auc")).where("auc is not null"), CELL, C.algos_dim(spark))
         return {(r["stratum"], r["outcome"]): r["best_algo"] for r in best.collect()}
 
     def keep(scores):
         return SK.parquet_roundtrip(scores, scratch_path(spark, "scores"))
 
-    folds = GR.best_fold_scores(_train_rows(spark, sf_dir), CELL, _cells(), C.ALGOS, TRAIN_FEATURES, _holdout_set(), _fold_sets(), keep, pick)
-    return GR.exact_metrics(keep(folds), CELL_ALGO + ["fold"]).drop("n")
+    folds = GD.best_fold_scores(_train_rows(spark, sf_dir), CELL, _cells(), C.ALGOS, TRAIN_FEATURES, _holdout_set(), _fold_sets(), keep, pick)
+    return GD.exact_metrics(keep(folds), CELL_ALGO + ["fold"]).drop("n")
 
 
 @query("out_of_fold_rows", with_("split") + _trainable_sql() + """
 select id as row_id, stratum, outcome, y, fold from split join ok using (stratum, outcome)""")
 def q_out_of_fold_rows(spark, sf_dir):
     """Every row of a trainable cell scored once by a baseline that has not seen its fold: the set of those rows."""
-    scores, _ = GR.grouped_scores(_train_rows(spark, sf_dir), CELL, _cells(), ["LR"], TRAIN_FEATURES, _fold_sets())
+    scores, _ = GD.grouped_scores(_train_rows(spark, sf_dir), CELL, _cells(), ["LR"], TRAIN_FEATURES, _fold_sets())
     return scores.where("p between 0 and 1").select("row_id", *CELL, "y", "fold")
 
 
