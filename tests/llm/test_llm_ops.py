@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import re
 import zlib
 
@@ -133,7 +134,8 @@ def test_lines(docs, rows, empty, tight, monkeypatch):
     assert len(got) == len(rows)
     for r in got:
         assert set(r["removed"]) == late[r["doc_id"]] and r["n_removed"] == len(r["removed"]), r["doc_id"]
-        assert r["n_lines"] == len(counted[r["doc_id"]])
+    own = collections.Counter((i, sum(bool(tokens(x)) for x in (t or "").split("\n"))) for i, t in rows)
+    assert collections.Counter((r["doc_id"], r["n_lines"]) for r in got) == own
     assert line_dedup.line_report(empty).collect() == []
 
 
@@ -149,6 +151,18 @@ def test_lines_cut(docs, rows, empty):
     assert got[0]["sid"] == "s" and line_dedup.remove_lines(empty).columns == empty.columns
 
 
+def test_cutting_lines_from_a_very_long_text(spark):
+    rng = random.Random(31)
+    fresh = [f"{word(rng)} line number {i} of the long text {i * 7919}" for i in range(60_000)]
+    lines = [x for f in fresh for x in (f, "the same words in every second line")]
+    rows = [(1, "the same words in every second line"), (2, "\n".join(lines)), (3, None), (4, "")]
+    start = time.time()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(frame(spark, rows)).collect()}
+    kept = got[2].split("\n")
+    assert len(kept) == len(set(kept)) and set(kept) <= set(fresh) and got[3] is None and got[4] == ""
+    assert time.time() - start < 90
+
+
 def test_line_variants_meet(spark):
     rng = random.Random(9)
     base = [word(rng) for _ in range(30)]
