@@ -82,8 +82,11 @@ def temporal_gap(best_scored: DataFrame, cell_cols: list[str], cut_year: int,
                     F.when(F.col(year_col) >= F.lit(cut_year), F.lit("temporal")))
     tagged = (best_scored.select(*cell_cols, "algo", "y", "p6", F.explode(parts).alias("part"))
               .where(F.col("part").isNotNull()))
-    keys = cell_cols + ["algo", "part"]
-    a = M.auc(tagged, keys)
+    return gap_of_parts(M.auc(tagged, cell_cols + ["algo", "part"]), cell_cols, min_rows, min_pos)
+
+
+def gap_of_parts(a: DataFrame, cell_cols: list[str], min_rows: int = C.TEMPORAL_MIN_ROWS, min_pos: int = C.TEMPORAL_MIN_POSITIVES) -> DataFrame:
+    """The gap and its verdict from AUCs by (cell, algo, part)."""
     ho = a.where("part = 'holdout'").select(*cell_cols, "algo", F.col("auc").alias("_ho"))
     te = a.where("part = 'temporal'").select(*cell_cols, "algo", F.col("auc").alias("_te"),
                                              F.col("n").alias("n_temporal"),
