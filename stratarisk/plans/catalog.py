@@ -932,7 +932,7 @@ def q_perturb_matrix(spark, sf_dir):
 # 6. Governance: verdict tables, composite score, retraining triggers
 # ---------------------------------------------------------------------------
 
-from stratarisk.plans.study import Study  # noqa: E402
+from stratarisk.plans.study import Study, TableStudy  # noqa: E402
 from stratarisk.functions.scalar import judge_metric, norm_score, parse_mean  # noqa: E402
 
 
@@ -1377,6 +1377,19 @@ def q_out_of_fold_rows(spark, sf_dir):
     return scores.where("p between 0 and 1").select("row_id", *CELL, "y", "fold")
 
 
+@query("trained_verdicts")
+def q_trained_verdicts(spark, sf_dir):
+    """From fits to verdicts: baseline and a boosted family fitted on hold-out split and folds, their unseen scores judged by a study on tables."""
+    algos = ["LR", "LGBM"]
+    scores, _ = GD.grouped_scores(_train_rows(spark, sf_dir), CELL, _cells(), algos, TRAIN_FEATURES, {**_holdout_set(), **_fold_sets()},
+                                  carry=("row_id", "is_test", "fold", "year"))
+    scores = SK.parquet_roundtrip(scores, scratch_path(spark, "scores"))
+    held = scores.where("training = 'holdout'").drop("training")
+    st = TableStudy(spark, held, algos, "LR", out_of_fold=scores.where("training <> 'holdout'").drop("training"), outcomes=OUTCOMES,
+                    cohort=FX.cohort(spark, sf_dir), temporal_cut=FX.TEMPORAL_CUT)
+    return GOV.governance_long(st.indicators)
+
+
 def _explained(spark, sf_dir):
     """phi of each cell's forest for 500 hold-out rows (100 background rows), and the explained rows' scores."""
     rows, models = _rf_models(spark, sf_dir)

@@ -152,7 +152,9 @@ class TableStudy(Study):
 
     scored: (row_id, stratum, outcome, algo, y, is_test, fold) with the score
     ``p`` (double) or ``p6`` (micro-units), and ``year`` if a later period is to
-    be judged (``temporal_cut``). attributions: (stratum, outcome, row_id,
+    be judged (``temporal_cut``). out_of_fold: the same columns, each row scored
+    by fits that have not seen its fold; the fold metrics are taken from it, and
+    from ``scored`` where it is not given. attributions: (stratum, outcome, row_id,
     sample_rank, feature, phi). perturbed: (stratum, outcome, drop_mean), as
     :func:`operators.perturb.perturb_run` gives it. cohort: one row per subject
     with stratum columns and an int column per outcome. What is not given leaves
@@ -161,20 +163,22 @@ class TableStudy(Study):
 
     SCHEMA = {
         "scored": {"row_id": None, "stratum": "string", "outcome": "string", "algo": "string", "y": "int", "is_test": "boolean", "fold": "int"},
+        "out_of_fold": {"stratum": "string", "outcome": "string", "algo": "string", "y": "int", "is_test": "boolean", "fold": "int"},
         "attributions": {"stratum": "string", "outcome": "string", "row_id": None, "sample_rank": None, "feature": "string", "phi": "double"},
         "perturbed": {"stratum": "string", "outcome": "string", "drop_mean": "double"},
     }
 
     def __init__(self, spark: SparkSession, scored: DataFrame, algos: list[str], baseline: str, attributions: DataFrame | None = None,
                  perturbed: DataFrame | None = None, cohort: DataFrame | None = None, outcomes: list[str] | None = None, strata=None,
-                 temporal_cut: int | None = None, materialize: bool = True):
+                 temporal_cut: int | None = None, out_of_fold: DataFrame | None = None, materialize: bool = True):
         super().__init__(spark, "", materialize)
-        given = {"scored": scored, "attributions": attributions, "perturbed": perturbed}
+        given = {"scored": scored, "out_of_fold": out_of_fold, "attributions": attributions, "perturbed": perturbed}
         for name, table in given.items():
             if table is not None:
                 self.check(name, table)
-        if not {"p", "p6"} & set(scored.columns):
-            raise ValueError("scored: no score column p or p6")
+        for name in ("scored", "out_of_fold"):
+            if given[name] is not None and not {"p", "p6"} & set(given[name].columns):
+                raise ValueError(f"{name}: no score column p or p6")
         self.given, self.algo_names, self.baseline = given, algos, baseline
         self.cohort, self.outcomes, self.strata, self.temporal_cut = cohort, outcomes, strata, temporal_cut
 
@@ -197,6 +201,11 @@ class TableStudy(Study):
     def cube(self) -> DataFrame:
         return self.kept(CUBE.score_cube(self.scored, CELL_ALGO, self.temporal_cut), "study-cube")
 
+    @cached_property
+    def cv(self) -> DataFrame:
+        own = self.given["out_of_fold"]
+        return Study.cv.func(self) if own is None else CMP.cv_summary(CUBE.fold_metrics(CUBE.score_cube(own, CELL_ALGO), CELL_ALGO), CELL_ALGO)
+
     @cached_property
     def algos(self) -> DataFrame:
         return C.algos_dim(self.spark, self.algo_names, self.baseline)

@@ -71,6 +71,12 @@ def test_what_is_not_given_is_null(spark, scored):
     assert (r.temporal_gap, r.perturb_drop, r.hhi) == (None, None, None) and r.delta_auc is not None
 
 
+def test_fold_metrics_from_scores_out_of_fold(spark, scored):
+    other = scored.withColumn("p", F.lit(1.0) - F.col("p"))
+    a, b = (study(spark, scored, out_of_fold=o).cv.where("algo = 'good' and stratum = 's1'").first() for o in (None, other))
+    assert a.cv_auc_mean == pytest.approx(1 - b.cv_auc_mean, abs=2e-4)
+
+
 def test_schema_is_checked(spark, scored):
     with pytest.raises(ValueError, match="fold is missing; y is string, not int|y is string, not int; fold is missing"):
         study(spark, scored.drop("fold").withColumn("y", F.col("y").cast("string")))
