@@ -18,6 +18,7 @@ from stratarisk.operators import keys as K
 from stratarisk.plans import fixtures as FX
 from stratarisk.plans.oracle import with_, hash_sql
 from stratarisk.session import scratch_path
+from stratarisk.sources import phases as PH
 from stratarisk.sources import tables as ST
 from stratarisk.sources import sinks as SK
 
@@ -390,6 +391,23 @@ def q_exact_ece(spark, sf_dir):
     return X.ece(_dholdout(spark, sf_dir), CELL_ALGO)
 
 
+@query("resumed_phases", W("d_auc") + "select * from d_auc")
+def q_resumed_phases(spark, sf_dir):
+    """Hold-out AUC through two marked phase tables; a second run reads both by their marks and builds nothing."""
+    root = scratch_path(spark, "phases")
+
+    def no_build():
+        raise RuntimeError("a committed phase was built again")
+
+    def run(scored, metrics):
+        p = PH.Phases(spark, root)
+        rows = p.table("scored", scored, inputs=[f"{sf_dir}/{t}.parquet" for t in ("orders", "customer")], params={"seed": C.SEED})
+        return p.table("auc", lambda: metrics(rows), after=["scored"])
+
+    run(lambda: FX.scored_doubles(spark, sf_dir), lambda rows: X.auc(rows.where("is_test"), CELL_ALGO))
+    return run(no_build, lambda rows: no_build())
+
+
 @query("cv_table", W("d_auc", "d_prf", "d_best", "d_cv") + f"""
 select b.stratum, b.outcome, b.best_algo, {O.r4('h.auc')} as ho_auc, {O.r4('p.f1')} as ho_f1,
   {O.r4('p.precision')} as ho_precision, {O.r4('p.recall')} as ho_recall,
