@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stratarisk import config as C
 from stratarisk.functions.hashing import hash_uniform
 from stratarisk.functions.scalar import judge_metric, round_half_up
+from stratarisk.operators import resample
 
 R4 = round_half_up
 
@@ -96,7 +97,11 @@ def bootstrap_hhi_poisson(phi: DataFrame, keys: list[str], row_col: str = "row_i
 
 def hhi_interval(phi: DataFrame, keys: list[str], index_col: str, n_boot: int = C.N_BOOTSTRAP,
                  seed: int = C.SEED, method: str = "multinomial") -> DataFrame:
-    """Transparency table: HHI, bootstrap 2.5 / 97.5 percentiles, verdict."""
+    """Transparency table: HHI, bootstrap 2.5 / 97.5 percentiles, verdict.
+
+    method: ``multinomial`` lists the draws (samples), ``splits`` deals them out by binomial splits
+    (exact as well, groups of any size), ``poisson`` gives each row independent weights.
+    """
     if method == "multinomial":
         # point estimate = replicate 0 of the same aggregate: attributions are read once
         boots = bootstrap_hhi_multinomial(phi, keys, index_col, n_boot, seed, with_point=True)
@@ -105,7 +110,8 @@ def hhi_interval(phi: DataFrame, keys: list[str], index_col: str, n_boot: int =
             F.percentile(F.when(F.col("b") > 0, F.col("hhi")), [0.025, 0.975]).alias("_q"))
     else:
         point = hhi(phi, keys)
-        boots = bootstrap_hhi_poisson(phi, keys, "row_id", n_boot, seed)
+        boots = (resample.bootstrap_hhi(phi, keys, index_col, n_boot, seed) if method == "splits" else
+                 bootstrap_hhi_poisson(phi, keys, "row_id", n_boot, seed))
         ci = boots.groupBy(*keys).agg(F.percentile("hhi", [0.025, 0.975]).alias("_q"))
         j = point.join(ci, keys, "left")
     j = j.where(F.col("hhi").isNotNull())

@@ -638,6 +638,15 @@ def q_hhi_bootstrap(spark, sf_dir):
     return AT.hhi_interval(_phi(spark, sf_dir), CELL, "sample_rank")
 
 
+@query("hhi_bootstrap_splits")
+def q_hhi_bootstrap_splits(spark, sf_dir):
+    """HHI with its interval over all hold-out rows of a cell, resampled exactly by binomial splits."""
+    test = FX.split_cells(spark, sf_dir).where("is_test")
+    ranked = K.hash_rank(test, CELL, "id", "resample", out="sample_rank", size_out=None, max_groups=FX.n_cells(spark)).withColumnRenamed("id", "row_id")
+    phi = AT.linear_shapley(ranked, CELL, FX.STANDIN_ATTRIBUTION, carry=["sample_rank"])
+    return AT.hhi_interval(phi, CELL, "sample_rank", method="splits")
+
+
 @query("top_features", W("imp") + f"""
 select outcome, rank, feature, {O.r4('importance', 6)} as importance from (
   select *, row_number() over (partition by outcome order by importance desc, feature) as rank from (
