@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +29,37 @@ from . import common as C
 CAPACITY, PIECE, GROUP = 2048, 512, 1024
 #: remembered words per worker (some 200 bytes each); beyond it the memory is emptied and starts anew
 REMEMBERED = 2_000_000
+#: bins of a partial partition up to which plain lists are faster than arrays
+FEW = 32
 MARKS = ".,;:!?"
 #: fixed value: the word pattern of the byte-level vocabulary
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def differencing(sizes: np.ndarray, windows: int) -> list[list[int]]:
-    """Karmarkar-Karp multiway differencing: the items of each of ``windows`` bins."""
-    heap, join = [], {}
-    for i, v in enumerate(sizes):
-        heapq.heappush(heap, (-int(v), i, np.array([v], np.int64), np.array([i], np.int64)))
+    """Karmarkar-Karp multiway differencing: the items of each of ``windows`` bins.
+
+    A partial partition has its bins by falling size: a list of (-size, bin), from ``FEW`` bins on two arrays.
+    """
+    heap, join = [(-v, i, [(-v, i)]) for i, v in enumerate(sizes.tolist())], {}
+    heapq.heapify(heap)
     node = len(sizes)
     turn = len(sizes)
+    by_size = itemgetter(0)
+
+    def arrays(part):
+        return part if isinstance(part, tuple) else (np.array([-v for v, _ in part], np.int64), np.array([i for _, i in part], np.int64))
+
     while len(heap) > 1:
-        _, _, a, at_a = heapq.heappop(heap)
-        _, _, b, at_b = heapq.heappop(heap)
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        if isinstance(a, list) and isinstance(b, list) and len(a) + len(b) <= min(FEW, windows):
+            part = a + b
+            part.sort(key=by_size)
+            spread = -part[0][0] - (-part[-1][0] if len(part) == windows else 0)
+            heapq.heappush(heap, (-spread, turn, part))
+            turn += 1
+            continue
+        (a, at_a), (b, at_b) = arrays(a), arrays(b)
         over = len(a) + len(b) - windows
         if over <= 0:
             s, at = np.concatenate([a, b]), np.concatenate([at_a, at_b])
@@ -58,10 +75,10 @@ def differencing(sizes: np.ndarray, windows: int) -> list[list[int]]:
         order = np.argsort(-s, kind="stable")
         s, at = s[order], at[order]
         spread = int(s[0]) - (int(s[-1]) if len(s) == windows else 0)
-        heapq.heappush(heap, (-spread, turn, s, at))
+        heapq.heappush(heap, (-spread, turn, (s, at)))
         turn += 1
     out = []
-    for root in (heap[0][3].tolist() if heap else []):
+    for root in (arrays(heap[0][2])[1].tolist() if heap else []):
         items, todo = [], [root]
         while todo:
             n = todo.pop()
@@ -108,12 +125,16 @@ class Encoder:
         self.heads: dict[str, bytes] = {}
         self.mids: dict[str, bytes] = {}
         self.marks = dict(zip(MARKS, self._ids(list(MARKS))))
+        vocabulary = self.t.get_vocab()
+        #: whether an id stands for bytes that begin with a space
+        self.led = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.led[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def _has_added(self, text: str) -> bool:
         return any(x in text for x in self.added)
 
     def _ids_of_led(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of " " + word for words of letters: many in one text, told apart by the tokenizer's word numbers."""
+        """Ids of " " + word for words of letters: many in one text, each beginning at the one id that begins with a space."""
         out: dict[str, bytes] = {}
         for i in range(0, len(words), 1000):
             some = words[i: i + 1000]
@@ -121,9 +142,8 @@ class Encoder:
             if self._has_added(joined):
                 out.update(zip(some, self._ids([" " + w for w in some])))
                 continue
-            got = self.t.encode(joined, add_special_tokens=False)
-            ids, at = np.asarray(got.ids, "<u4"), np.asarray(got.word_ids)
-            cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+            ids = np.asarray(self.t.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.append(np.flatnonzero(self.led[ids]), len(ids))
             if len(cut) == len(some) + 1:
                 raw, ends = ids.tobytes(), (4 * cut).tolist()
                 out.update(zip(some, [raw[x:y] for x, y in zip(ends, ends[1:])]))
@@ -132,7 +152,7 @@ class Encoder:
         return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.t.encode_batch(texts, add_special_tokens=False)] if texts else []
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, new: list[str]) -> None:
         self.words.update(zip(new, self._ids(new)))
@@ -181,16 +201,14 @@ class Encoder:
             if len(memory) > REMEMBERED:
                 memory.clear()
         parts = [t.split(" ") for t in texts]
-        self._remember(self.heads, list({p[0] for p in parts if p[0] and p[0] not in self.heads}), "")
-        new = set()
-        for p in parts:
-            new.update(p[1:])
-        self._remember_led(new - self.mids.keys())
+        first = [p.pop(0) for p in parts]
+        self._remember(self.heads, list({f for f in first if f and f not in self.heads}), "")
+        self._remember_led(set().union(*parts) - self.mids.keys())
         out = []
         head, mid = self.heads.__getitem__, self.mids.__getitem__
-        for t, p in zip(texts, parts):
+        for t, f, p in zip(texts, first, parts):
             try:
-                out.append((head(p[0]) if p[0] else b"") + b"".join(map(mid, p[1:])))
+                out.append((head(f) if f else b"") + b"".join(map(mid, p)))
             except TypeError:
                 out.append(self._whole(t))
         return out
