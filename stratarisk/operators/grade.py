@@ -14,10 +14,13 @@ Only centres (a few hundred numbers) reach the driver between iterations.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratarisk import config as C
+from stratarisk.functions.hashing import hash32, hash_uniform
 from stratarisk.functions.scalar import round_half_up
 from stratarisk.operators.keys import hash_top_k
 from stratarisk.session import scratch_path
@@ -105,6 +108,29 @@ def materialize_points(points: DataFrame) -> DataFrame:
     return points.sparkSession.read.schema(points.schema).parquet(path)
 
 
+def _lower(n_runs: int):
+    """Of batches with columns run and key first, the rows that are the least of their run so far (all of equal ones)."""
+    def lower(batches):
+        least = np.full(n_runs, np.inf)
+        for x in batches:
+            run, key = np.asarray(x.column(0)), np.asarray(x.column(1))
+            np.fmin.at(least, run, key)
+            yield x.filter(pa.array(~(key > least[run])))
+    return lower
+
+
+def _least_rows(rows: DataFrame, n_runs: int) -> dict:
+    """{run: its least row by (_key, row_id, x1, x2)} of ``rows`` (run, _key, row_id, x1, x2), runs numbered from 0.
+
+    Each task hands on only the rows that are the least of their run so far, so
+    next to nothing is left for the grouped minimum.
+    """
+    few = rows.select("run", "_key", "row_id", "x1", "x2")
+    few = few.mapInArrow(_lower(n_runs), few.schema)
+    won = few.groupBy("run").agg(F.min(F.struct("_key", "row_id", "x1", "x2")).alias("_w")).collect()
+    return {r["run"]: r["_w"] for r in won}
+
+
 def init_kmeanspp(pts: DataFrame, k: int, n_init: int, seed: int = C.SEED,
                   group_col: str = "stratum") -> list[tuple]:
     """k-means++ seeding for every (group, init) at once; returns centre rows.
@@ -112,25 +138,33 @@ def init_kmeanspp(pts: DataFrame, k: int, n_init: int, seed: int = C.SEED,
     Centre 1 is the smallest-hash row; centre j + 1 is drawn with probability
     proportional to the squared distance to the nearest chosen centre, by an
     exponential race: the row with the least -ln(u) / d2 wins (u a hash
-    uniform of row, init and step). One grouped aggregate per extra centre;
-    only the chosen centres reach the driver.
+    uniform of row, init and step). One grouped minimum per centre; only the
+    chosen centres reach the driver.
     """
-    from stratarisk.functions.hashing import hash_uniform
     spark = pts.sparkSession
-    first = init_centres(pts, 1, n_init, seed, group_col).collect()
-    chosen = {(r[0], r[1]): [(0, float(r[3]), float(r[4]))] for r in first}
-    arr_schema = "%s string, init int, _cs array<struct<k:int,c1:double,c2:double>>" % group_col
-    for j in range(1, k):
-        arr = spark.createDataFrame([(g, i, cs) for (g, i), cs in sorted(chosen.items())], arr_schema)
-        d = pts.join(F.broadcast(arr), group_col)
-        d2 = F.expr("array_min(transform(_cs, c -> (x1 - c.c1) * (x1 - c.c1) + (x2 - c.c2) * (x2 - c.c2)))")
-        u = hash_uniform(F.col("row_id"), F.col("init"), F.lit(j), "kpp", seed)
-        key = F.when(d2 > 0, -F.log(u) / d2)
-        win = (d.withColumn("_key", key).where(F.col("_key").isNotNull())
-                 .groupBy(group_col, "init")
-                 .agg(F.min(F.struct("_key", "row_id", "x1", "x2")).alias("_w")).collect())
-        for r in win:
-            chosen[(r[0], r[1])].append((j, float(r[2]["x1"]), float(r[2]["x2"])))
+    cores = spark.sparkContext.defaultParallelism
+    if pts.rdd.getNumPartitions() < cores:
+        pts = pts.repartition(cores)
+    groups = sorted(r[0] for r in pts.select(group_col).distinct().collect() if r[0] is not None)
+    runs = [(g, i) for g in groups for i in range(1, n_init + 1)]
+    if not runs:
+        return []
+    chosen: dict = {run: [] for run in runs}
+    for j in range(k):
+        own = [(n, *run, *[v for c in chosen[run] + [(None, None, None)] * (j - len(chosen[run])) for v in c[1:]]) for n, run in enumerate(runs)]
+        centre_cols = "".join(f", c1_{m} double, c2_{m} double" for m in range(j))
+        d = pts.join(F.broadcast(spark.createDataFrame(own, f"run int, {group_col} string, init int{centre_cols}")), group_col)
+        if j == 0:
+            key = hash32(F.col("row_id"), "kinit", seed, F.col("init")).cast("double")
+        else:
+            # a group of fewer distinct points than k has fewer centres
+            far = [(F.col("x1") - F.col(f"c1_{m}")) * (F.col("x1") - F.col(f"c1_{m}"))
+                   + (F.col("x2") - F.col(f"c2_{m}")) * (F.col("x2") - F.col(f"c2_{m}")) for m in range(j)]
+            d2 = far[0] if j == 1 else F.least(*far)
+            d = d.where(d2 > 0)
+            key = -F.log(hash_uniform(F.col("row_id"), F.col("init"), F.lit(j), "kpp", seed)) / d2
+        for n, w in _least_rows(d.withColumn("_key", key), len(runs)).items():
+            chosen[runs[n]].append((j, float(w["x1"]), float(w["x2"])))
     return [(g, i, c, c1, c2) for (g, i), cs in sorted(chosen.items()) for c, c1, c2 in cs]
 
 
