@@ -1,6 +1,7 @@
 """Known-signal cohort (FIXTURES section 3): trained models beat chance; Shapley adds up."""
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from stratarisk.functions.hashing import hash_uniform
@@ -41,6 +42,15 @@ def test_known_signal_auc(spark, table, algo, monkeypatch):
         assert r.auc > 0.65
 
 
+def test_forest_keeps_the_node_of_each_row(spark, table):
+    est = TR.make_estimator("RF", {"numTrees": 8, "maxDepth": 5}, len(FEATS), 100)
+    assert est.getCacheNodeIds()
+    rows = TR.prepare_training(table.where("stratum = 'a' and not is_test"), ["stratum", "outcome"])
+    x = VectorAssembler(inputCols=FEATS, outputCol="features").transform(rows)
+    kept, walked = (est.copy({est.cacheNodeIds: c}).fit(x).toDebugString.split("\n", 1)[1] for c in (True, False))
+    assert kept == walked
+
+
 def test_shapley_additivity_and_ranking(spark, signal_rows):
     cell = signal_rows.where("stratum = 'a'")
     tr = TR.prepare_training(cell.where(~F.col("is_test")), ["stratum", "outcome"])
