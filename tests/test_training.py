@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from stratarisk.functions.hashing import hash_uniform
@@ -51,6 +52,14 @@ def test_forest_keeps_the_node_of_each_row(spark, table):
     assert kept == walked
 
 
+def test_filter_on_scores_scores_once(spark):
+    p6 = spark.createDataFrame([(-1,), (0,), (7,), (1_000_000,), (1_000_001,), (None,)], "p6 int")
+    assert sorted(r.p6 for r in p6.where(TR.has_probability()).collect()) == [0, 7, 1_000_000]
+    scored = spark.range(5).select("id", vector_to_array(array_to_vector(F.array(F.col("id").cast("double"))))[0].cast("int").alias("p6"))
+    plan = scored.where(TR.has_probability()).drop("p6")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("UDF(UDF(") == 1
+
+
 def test_shapley_additivity_and_ranking(spark, signal_rows):
     cell = signal_rows.where("stratum = 'a'")
     tr = TR.prepare_training(cell.where(~F.col("is_test")), ["stratum", "outcome"])
