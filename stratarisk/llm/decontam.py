@@ -429,5 +429,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                     for r, *_ in s.value.found(at, h):
                         gone[lo + r] = True
             yield x.filter(pa.array(~gone))
+        C.release()
 
     return docs.mapInArrow(run, docs.schema)

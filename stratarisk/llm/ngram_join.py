@@ -33,6 +33,8 @@ U64 = np.uint64
 #: bits of the rarity sketch; shingles are ranked by sixteenths of octaves of its counts around the mean, so that one
 #: shared by a few dozen documents already stands behind the many that are alone in their buckets
 SKETCH_BITS = 18
+#: bytes of text handled at once
+SLICE_BYTES = 1 << 18
 
 
 def needed(n):
@@ -109,7 +111,7 @@ def _index(docs: DataFrame, k: int, weights) -> DataFrame:
         out = C.Buffered(schema, 20_000)
         rank = weights.value
         for x in batches:
-            for lo, off, raw in C.slices(x.column(1)):
+            for lo, off, raw in C.slices(x.column(1), SLICE_BYTES):
                 at, keys = sets_of(off, raw, k)
                 n = np.diff(at)
                 row = np.repeat(np.arange(len(n)), n)
@@ -121,6 +123,7 @@ def _index(docs: DataFrame, k: int, weights) -> DataFrame:
                                     C.packed(sig, sig_at),
                                     C.packed(keys[order][first], C.pick(at, first)), x.column(2).slice(lo, len(n))])
         yield from out.flush()
+        C.release()
 
     return docs.mapInArrow(run, "doc_id long, sid binary, n long, sig binary, toks binary, key string")
 
@@ -194,7 +197,7 @@ def _arrays(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     def run(batches):
         out = C.Buffered(schema, 5_000)
         for x in batches:
-            for _, off, raw in C.slices(x.column(0)):
+            for _, off, raw in C.slices(x.column(0), SLICE_BYTES):
                 at, keys = sets_of(off, raw, k)
                 sid = class_keys(at, keys)
                 head = np.array([int.from_bytes(v[:3], "big") if v else -1 for v in sid.to_pylist()], np.int64)
@@ -202,6 +205,7 @@ def _arrays(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                 inside = np.repeat(keep, np.diff(at))
                 yield from out.add([sid.filter(pa.array(keep)), C.packed(keys[inside], np.concatenate([[0], np.cumsum(np.diff(at)[keep])]))])
         yield from out.flush()
+        C.release()
 
     got = docs.select("text").mapInArrow(run, "sid binary, arr binary")
     return got.join(wanted, "sid").groupBy("cid").agg(F.first("arr").alias("arr"))
@@ -245,7 +249,7 @@ def _linked_rows(keyed: DataFrame, k: int) -> DataFrame:
 
     def count(x):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for _, off, raw in C.slices(x.column(0)):
+        for _, off, raw in C.slices(x.column(0), SLICE_BYTES):
             total += np.bincount(_bucket(sets_of(off, raw, k)[1]), minlength=1 << SKETCH_BITS)
         return total
 

@@ -28,7 +28,7 @@ from . import common as C
 
 CAPACITY, PIECE, GROUP = 2048, 512, 1024
 #: remembered words per worker (some 200 bytes each); beyond it the memory is emptied and starts anew
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: bins of a partial partition up to which plain lists are faster than arrays
 FEW = 32
 MARKS = ".,;:!?"
@@ -284,5 +284,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             pack(held)
         if out:
             yield rows()
+        C.release()
 
     return docs.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)

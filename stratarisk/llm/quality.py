@@ -25,6 +25,8 @@ from . import common as C
 U64 = np.uint64
 #: at most about so many labelled rows are fitted on, and so many unlabelled ones get pseudo-labels in a round (chosen by hash)
 FIT_ROWS, POOL_ROWS = 20_000, 20_000
+#: bytes of text handled at once
+SLICE_BYTES = 1 << 18
 ROUNDS, SURE, PSEUDO_WEIGHT = 2, 0.98, 0.5
 LANG_BINS, SOURCE_BINS = 8, 32
 N_CONTENT, N_META = 18, 6 + LANG_BINS + SOURCE_BINS
@@ -94,7 +96,7 @@ def _views(batch: pa.RecordBatch, names: list[str]):
     """(first row, content, metadata) for the slices of a batch whose columns are named ``names``."""
     col = batch.column(names.index("text"))
     extra = [batch.column(names.index(c)) if c in names else None for c in ("lang", "source")]
-    for lo, off, raw in C.slices(col):
+    for lo, off, raw in C.slices(col, SLICE_BYTES):
         n = len(off) - 1
         lang, source = (c.slice(lo, n).to_pylist() if c is not None else [None] * n for c in extra)
         yield lo, content_view(off, raw), metadata_view(off, raw, lang, source)
@@ -110,6 +112,7 @@ def features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for lo, a, b in _views(x.select(range(1, x.num_columns)), names):
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.reshape(-1))) for v in (a, b)]
                 yield pa.RecordBatch.from_arrays([x.column(0).slice(lo, len(a)), *lists], schema=schema)
+        C.release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), *names).mapInArrow(run, "doc_id long, content array<double>, meta array<double>")
 
@@ -212,5 +215,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
         for x in batches:
             keep = [combined(model.value, a, b) >= threshold for _, a, b in _views(x, names)]
             yield x.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+        C.release()
 
     return docs.mapInArrow(run, docs.schema)
