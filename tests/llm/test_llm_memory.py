@@ -1,4 +1,4 @@
-"""What a task holds does not follow the size of its batches."""
+"""What a task holds, and how many rows it hands on, does not follow the size of its batches."""
 
 import tracemalloc
 
@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from stratarisk.llm import common as C
-from stratarisk.llm import ngram_join, quality
+from stratarisk.llm import line_dedup, ngram_join, quality
 
 
 def _peak(make) -> float:
@@ -35,3 +35,12 @@ def test_release_empties_the_power_tables():
     C.release()
     assert not C._POWERS
     assert C.powers(C.BYTE_BASE, 3).tolist() == [1, C.BYTE_BASE, C.BYTE_BASE**2 % 2**64]
+
+
+def test_frequent_keys_are_handed_on_once_a_batch(spark):
+    listed = spark.createDataFrame([(7, 10 << 32)] * 300 + [(8, 20 << 32)], "key long, size long").coalesce(1)
+    got = [r["k"] for r in line_dedup._keys_around(listed).collect()]
+    key = np.array([7, 7, 7, 8, 8, 8])
+    n = np.array([10, 10, 10, 20, 20, 20])
+    want = [int(line_dedup._banded(key[i: i + 1], n[i: i + 1], step).view(np.int64)[0]) for i, step in enumerate((-1, 0, 1) * 2)]
+    assert sorted(got) == sorted(want)
