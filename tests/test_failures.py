@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from stratarisk.functions.hashing import hash_uniform
 from stratarisk.operators import boosting as B
 from stratarisk.operators import grid as GR
+from stratarisk.operators import training as TR
+from stratarisk.plans import catalog
 
 CELL, CELLS, FEATS = ["stratum", "outcome"], [("a", "o"), ("b", "o")], ["f1", "f2"]
 
@@ -36,3 +38,19 @@ def test_cells_without_enough_rows_are_no_failures(rows, monkeypatch):
     real = B.Boosting.grow
     monkeypatch.setattr(B.Boosting, "grow", lambda self, n: real(self, 1))
     assert {r["stratum"] for r in folds_of_best(rows).select("stratum").distinct().collect()} == {"a"}
+
+
+@pytest.fixture
+def queries_on(rows, monkeypatch):
+    """The registered queries on the rows above."""
+    table = rows.withColumn("year", F.lit(2000))
+    monkeypatch.setattr(catalog, "_train_rows", lambda spark, sf_dir: table)
+    monkeypatch.setattr(catalog, "_cells", lambda: CELLS)
+    monkeypatch.setattr(catalog, "TRAIN_FEATURES", FEATS)
+    return catalog.QUERIES
+
+
+def test_verdicts_are_not_given_without_a_family_that_failed(spark, queries_on, monkeypatch):
+    monkeypatch.setattr(B.Boosting, "grow", lambda self, n: 1 / 0)
+    with pytest.raises(RuntimeError, match="a:o LGBM: ZeroDivisionError"):
+        queries_on["trained_verdicts"](spark, "")
