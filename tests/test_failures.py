@@ -18,7 +18,7 @@ def rows(spark):
     y = (hash_uniform(F.col("row_id"), "label") < F.col("f1")).cast("int")
     # stratum "b" has too few positives
     df = df.select("*", F.when(F.col("row_id") % 4 > 0, "a").otherwise("b").alias("stratum"), F.lit("o").alias("outcome"), (F.col("row_id") % 3 == 0).alias("is_test"),
-                   (F.col("row_id") % 2).cast("int").alias("fold"), F.when((F.col("row_id") % 4 > 0) | (F.col("row_id") < 40), y).otherwise(0).alias("y"))
+                   (F.col("row_id") % 2).cast("int").alias("fold"), F.when(F.col("row_id") % 4 > 0, y).otherwise((F.col("row_id") < 40).cast("int")).alias("y"))
     return spark.createDataFrame(df.collect(), df.schema)
 
 
@@ -54,3 +54,21 @@ def test_verdicts_are_not_given_without_a_family_that_failed(spark, queries_on,
     monkeypatch.setattr(B.Boosting, "grow", lambda self, n: 1 / 0)
     with pytest.raises(RuntimeError, match="a:o LGBM: ZeroDivisionError"):
         queries_on["trained_verdicts"](spark, "")
+
+
+@pytest.mark.parametrize("name", ["scored_rows", "score_cells", "perturb_run", "model_roundtrip"])
+def test_models_that_failed_are_not_left_out(spark, queries_on, monkeypatch, name):
+    real = TR.fit
+
+    def fit(train, algo, *a, **k):
+        if train.select("stratum").first()[0] == "b":
+            raise ValueError("lost")
+        return real(train, algo, *a, **k)
+
+    monkeypatch.setattr(TR, "fit", fit)
+    monkeypatch.setitem(TR.DEFAULT_PARAMS, "RF", {"numTrees": 2, "maxDepth": 2, "minSplit": 2})
+    queries_on[name](spark, "")
+    grid = TR.train_grid
+    monkeypatch.setattr(TR, "train_grid", lambda *a, **k: grid(*a, **{**k, "min_positives": 1}))
+    with pytest.raises(RuntimeError, match="b:o .*ValueError: lost"):
+        queries_on[name](spark, "")
